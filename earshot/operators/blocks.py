@@ -99,6 +99,39 @@ def lagged(df: DataFrame, keys: list[str], order: list, block, **cols) -> DataFr
     return out.drop(BLOCK, "__prev", "__first", "__carry", "__pick", *[f"__v_{n}" for n in cols])
 
 
+# --- bounded frames ------------------------------------------------------------------------------
+
+def last_rows(df: DataFrame, keys: list[str], order: list, block, rows: int, size: int = 4096, **aggs) -> DataFrame:
+    """Aggregates over the last ``rows`` rows of the key, current row included.
+
+    ``aggs``: name=(aggregate function, column). Each block also receives the ``rows - 1`` rows before
+    it, so a hot key runs as many independent frames.
+    """
+    keep = df.columns
+    df = row_index(df, keys, order, block, "__rn")
+    size = max(size, rows)
+    chunk = F.floor((F.col("__rn") - 1) / F.lit(size))
+    halo = F.pmod(F.col("__rn") - 1, F.lit(size)) >= size - (rows - 1)
+    df = df.withColumn("__own", chunk).withColumn("__chunk", F.explode(F.when(halo, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
+    w = Window.partitionBy(*keys, "__chunk").orderBy("__rn").rowsBetween(-(rows - 1), 0)
+    df = df.withColumns({n: fn(as_col(c)).over(w) for n, (fn, c) in aggs.items()})
+    return df.filter(F.col("__chunk") == F.col("__own")).select(*keep, *aggs)
+
+
+def last_span(df: DataFrame, keys: list[str], position: str, width: float, **aggs) -> DataFrame:
+    """Aggregates over rows whose ``position`` lies within ``width`` before the current row's.
+
+    Blocks span 64 widths; rows near the end of a block are also given to the next one.
+    """
+    keep, span = df.columns, width * 64
+    own = F.floor(F.col(position) / span)
+    halo = F.col(position) >= (own + 1) * span - width
+    df = df.withColumn("__own", own).withColumn("__chunk", F.explode(F.when(halo, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, "__chunk").orderBy(position).rangeBetween(-width, 0)
+    df = df.withColumns({n: fn(as_col(c)).over(w) for n, (fn, c) in aggs.items()})
+    return df.filter(F.col("__chunk") == F.col("__own")).select(*keep, *aggs)
+
+
 # --- recursions ----------------------------------------------------------------------------------
 
 def fold_contracting(
