@@ -27,4 +27,4 @@ def r(expr: str, digits: int) -> str:
 
 
 def load_all() -> None:
-    from . import calls, curation, evaluation, ordered, risk  # noqa: F401
+    from . import calls, curation, evaluation, ledger, ordered, risk  # noqa: F401
