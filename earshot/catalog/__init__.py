@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from ..session import ship_package
+
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
@@ -13,7 +16,13 @@ def query(name: str, sql: str | None = None):
 
     def add(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -27,4 +36,4 @@ def r(expr: str, digits: int) -> str:
 
 
 def load_all() -> None:
-    from . import calls, curation, evaluation, ledger, ordered, risk  # noqa: F401
+    from . import calls, curation, evaluation, ledger, ordered, risk, signal  # noqa: F401

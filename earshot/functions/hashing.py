@@ -9,6 +9,7 @@ import os
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .numeric import as_col
 
@@ -46,7 +47,7 @@ def block_hash(index, ts_us, event_type, payload, previous_hash) -> Column:
     return F.sha2(F.concat(head, as_col(previous_hash), tail), 256)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def foreign_hash_ok(index: pd.Series, timestamp: pd.Series, event_type: pd.Series, payload: pd.Series, previous: pd.Series, current: pd.Series) -> pd.Series:
     """HSH-02 for blocks written elsewhere: float timestamps, compact or spaced JSON."""
     out = []

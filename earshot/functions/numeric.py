@@ -36,3 +36,8 @@ def finite_or_zero(value) -> Column:
     c = as_col(value).cast("double")
     bad = c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
     return F.when(bad, F.lit(0.0)).otherwise(c)
+
+
+def let(value, body) -> Column:
+    """``body(value)`` with the value computed once, also when the body uses it inside another lambda."""
+    return F.get(F.transform(F.array(as_col(value)), lambda v: body(v)), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import as_col, clamp
+from .numeric import as_col, clamp, let
 
 
 def dot(u, v) -> Column:
@@ -18,8 +18,8 @@ def norm(u) -> Column:
 
 def unit(u) -> Column:
     """L2-normalised copy; a (nearly) zero vector stays as it is."""
-    n = norm(u)
-    return F.when(n > 1e-6, F.transform(as_col(u), lambda x: x.cast("double") / n)).otherwise(as_col(u).cast("array<double>"))
+    whole = lambda v: let(norm(v), lambda n: F.when(n > 1e-6, F.transform(v, lambda x: x / n)).otherwise(v))
+    return let(as_col(u).cast("array<double>"), whole)
 
 
 def cosine_distance(u, v) -> Column:
