@@ -94,7 +94,7 @@ def roc_auc_by_language(spark, d):
 WITH {SCORED}, rows_in AS (SELECT * FROM scored), {curve_sql()}, {best_sql()}
 SELECT {r('(fpr + (1e0 - tpr)) / 2e0', 6)} AS eer, threshold AS eer_threshold, true AS both_classes FROM best WHERE pick = 1""")
 def equal_error_rate(spark, d):
-    """AGG-11."""
+    """AGG-11, SRT-06."""
     return E.equal_error_rate(E.roc_curve(scored(spark, d)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.risk import is_alert, risk_level
+from ..operators import blocks
 from ..operators import ledger as L
 from ..session import materialise, scratch, table
 from . import query
@@ -46,7 +47,7 @@ def stored_chain(spark, d):
 def chain(spark, d):
     ev = events(spark, d)
     first = L.genesis(ev.select("ledger_id").distinct(), F.lit(GEN_TS))
-    rest = L.append_events(first, ev, ["o_orderdate", "o_orderkey"], F.year("o_orderdate"))
+    rest = L.append_events(first, ev, ["o_orderdate", "o_orderkey"], blocks.time_block("o_orderdate", 7 * 86400))
     return first.select(*L.BLOCK_COLUMNS).unionByName(rest)
 
 

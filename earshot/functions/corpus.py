@@ -41,7 +41,8 @@ def id_part(stem_col, separator: str, index: int) -> Column:
 
 def pseudo_speaker(stem_col, buckets: int = 30) -> Column:
     """PRJ-04: stable bucket of a stem."""
-    return F.pmod(F.xxhash64(as_col(stem_col)), F.lit(buckets)).cast("int")
+    number = F.conv(F.substring(F.md5(as_col(stem_col)), 1, 8), 16, 10).cast("bigint")
+    return F.pmod(number, F.lit(buckets)).cast("int")
 
 
 def language_name(code, default=None) -> Column:
@@ -86,12 +87,10 @@ def classify_paths(
         if side is None:
             return left.withColumns({f"_{prefix}_{c}": F.lit(None).cast(t) for c, t in
                                      [("speaker", "string"), ("system", "string"), ("label", "int")]})
-        right = side.select(
-            F.col("audio_id").alias(f"_{prefix}_id"),
-            F.col("speaker_id").alias(f"_{prefix}_speaker"),
-            F.col("system_id").alias(f"_{prefix}_system"),
-            F.col("label").cast("int").alias(f"_{prefix}_label"),
-        )
+        # one entry per id, so that a repeated protocol line cannot repeat a clip
+        entry = F.max(F.struct("system_id", "speaker_id", F.col("label").cast("int").alias("label")))
+        right = side.groupBy(F.col("audio_id").alias(f"_{prefix}_id")).agg(entry.alias("e")).select(
+            f"_{prefix}_id", F.col("e.speaker_id").alias(f"_{prefix}_speaker"), F.col("e.system_id").alias(f"_{prefix}_system"), F.col("e.label").alias(f"_{prefix}_label"))
         on = F.col("audio_id") == F.col(f"_{prefix}_id")
         return left.join(right, on if extra is None else on & extra, "left")
 

@@ -173,7 +173,8 @@ def assess_risk(
     indic = is_indic(language, substring_language) if language is not None else F.lit(False)
     tau = F.when(as_col(tau).isNull() | (as_col(tau) == 0), F.lit(0.51)).otherwise(as_col(tau))
     zero = F.lit(0.0)
-    staged = df.withColumns(anomaly_columns(*(F.coalesce(as_col(x), zero) for x in (phase, hf, jitter, contrast)), indic))
+    staged = df.withColumn("__indic", indic)
+    staged = staged.withColumns(anomaly_columns(*(F.coalesce(as_col(x), zero) for x in (phase, hf, jitter, contrast)), "__indic")).drop("__indic")
     staged = staged.withColumns(
         {
             "weighted_anomaly": weighted_anomaly("phase_anomaly", "hf_anomaly", "jitter_anomaly", "contrast_anomaly"),

@@ -29,25 +29,34 @@ def hash_fraction(hex_key) -> Column:
     return F.conv(F.substring(as_col(hex_key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def hash_cuts(df: DataFrame, strata: list[str], key: str, wanted: DataFrame, digits: int = 4) -> DataFrame:
+def key_histogram(keyed: DataFrame, strata: list[str], key: str = KEY, digits: int = 4) -> DataFrame:
+    """Rows per (stratum, key prefix): all that sizes, quotas and cuts need. Combined map-side."""
+    return keyed.groupBy(*strata, F.substring(key, 1, digits).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+def hash_cuts(df: DataFrame, strata: list[str], key: str, wanted: DataFrame, hist: DataFrame | None = None, digits: int = 4) -> DataFrame:
     """Draw key at each wanted rank. ``wanted`` has strata, ``cut`` and 1-based ``rank``.
 
     Returns strata, cut, cut_key with: row is among the first ``rank`` of its stratum exactly when its
-    key <= cut_key.
+    key <= cut_key. Pass the histogram when ``wanted`` was derived from it, so it is computed once.
     """
-    slim = df.select(*strata, F.col(key).alias("k"), F.substring(key, 1, digits).alias("prefix"))
-    counts = slim.groupBy(*strata, "prefix").agg(F.count("*").alias("n"))
+    hist = key_histogram(df, strata, key, digits) if hist is None else hist
     earlier = Window.partitionBy(*strata).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    spans = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    spans = hist.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     hit = spans.join(wanted, strata).filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
     hit = hit.select(*strata, "prefix", "cut", (F.col("rank") - F.col("before")).alias("local_rank"))
     inside = Window.partitionBy(*strata, "prefix", "cut").orderBy("k")
+    slim = df.select(*strata, F.col(key).alias("k"), F.substring(key, 1, digits).alias("prefix"))
     found = slim.join(hit, [*strata, "prefix"]).withColumn("rn", F.row_number().over(inside)).filter("rn = local_rank")
     full = wanted.join(found.select(*strata, "cut", "k"), [*strata, "cut"], "left")
     cut_key = F.when(F.col("rank") <= 0, F.lit(NO_ROWS)).otherwise(F.coalesce(F.col("k"), F.lit(ALL_ROWS)))
     return full.select(*strata, "cut", cut_key.alias("cut_key"))
 
 
+def _sizes(hist: DataFrame, strata: list[str]) -> DataFrame:
+    return hist.groupBy(*strata).agg(F.sum("n").alias("size"))
+
+
 def _scoped(df: DataFrame, ident, seed) -> DataFrame:
     return df.withColumn(KEY, draw_key(ident, seed)).withColumn(SCOPE, F.lit("all"))
 
@@ -67,8 +76,9 @@ def take_quota(df: DataFrame, strata: list[str], quotas: DataFrame, ident, seed=
 def take_random(df: DataFrame, n, ident, seed=42) -> DataFrame:
     """SRT-04: ``n`` random rows without replacement; ``n`` is a number or a scalar subquery."""
     keyed = _scoped(df, ident, seed)
-    wanted = keyed.groupBy(SCOPE).agg(F.lit("q").alias("cut")).withColumn("rank", as_col(n))
-    cut = hash_cuts(keyed, [SCOPE], KEY, wanted).select("cut_key").scalar()
+    hist = key_histogram(keyed, [SCOPE])
+    wanted = _sizes(hist, [SCOPE]).select(SCOPE, F.lit("q").alias("cut")).withColumn("rank", as_col(n))
+    cut = hash_cuts(keyed, [SCOPE], KEY, wanted, hist).select("cut_key").scalar()
     return _clean(keyed.filter(F.col(KEY) <= F.coalesce(cut, F.lit(NO_ROWS))))
 
 
@@ -85,10 +95,11 @@ def head_per_group(df: DataFrame, groups: list[str], order: list, n: int) -> Dat
 
 def _two_cuts(keyed, strata, first, second) -> DataFrame:
     """Join two cut keys per stratum; ``first``/``second`` map the stratum size to ranks."""
-    sizes = keyed.groupBy(*strata).agg(F.count("*").alias("size"))
+    hist = key_histogram(keyed, strata)
+    sizes = _sizes(hist, strata)
     pair = F.array(F.struct(F.lit("a").alias("cut"), first.alias("rank")), F.struct(F.lit("b").alias("cut"), second.alias("rank")))
     wanted = sizes.select(*strata, F.explode(pair).alias("c")).select(*strata, "c.cut", "c.rank")
-    cuts = hash_cuts(keyed, strata, KEY, wanted)
+    cuts = hash_cuts(keyed, strata, KEY, wanted, hist)
     return cuts.groupBy(*strata).agg(
         F.max(F.when(F.col("cut") == "a", F.col("cut_key"))).alias("cut_a"), F.max(F.when(F.col("cut") == "b", F.col("cut_key"))).alias("cut_b"))
 
@@ -146,9 +157,10 @@ def quota_with_refill(df: DataFrame, group: str, target, ident, seed=42, remaind
     """
     keyed = _scoped(df, ident, seed)
     target = as_col(target).cast("bigint")
-    counts = keyed.groupBy(SCOPE, group).agg(F.count("*").alias("n")).withColumn("target", target)
+    hist = key_histogram(keyed, [group])
+    counts = _sizes(hist, [group]).select(F.lit("all").alias(SCOPE), group, F.col("size").alias("n")).withColumn("target", target)
     quotas = _even_quota(counts, group, F.col("target"), remainder, [SCOPE])
-    cuts = hash_cuts(keyed, [group], KEY, quotas.select(group, F.lit("q").alias("cut"), F.col("quota").alias("rank")))
+    cuts = hash_cuts(keyed, [group], KEY, quotas.select(group, F.lit("q").alias("cut"), F.col("quota").alias("rank")), hist)
     marked = keyed.join(cuts.select(group, "cut_key"), [group]).withColumn("chosen", F.col(KEY) <= F.col("cut_key"))
     taken = F.sum(F.least("n", "quota"))
     missing = quotas.groupBy(SCOPE).agg((F.max("target") - taken).alias("rank")).select(SCOPE, F.lit("r").alias("cut"), "rank")

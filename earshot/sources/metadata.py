@@ -72,4 +72,5 @@ def trial_counts(trials: DataFrame) -> DataFrame:
 
 def with_speaker_index(clips: DataFrame, index: DataFrame, default) -> DataFrame:
     """JOIN-03: speaker by file name, else the default."""
-    return clips.join(index, "file_name", "left").withColumn("speaker_id", F.coalesce("speaker_id", default))
+    one = index.groupBy("file_name").agg(F.max("speaker_id").alias("speaker_id"))
+    return clips.join(one, "file_name", "left").withColumn("speaker_id", F.coalesce("speaker_id", default))
