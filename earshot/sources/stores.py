@@ -54,9 +54,17 @@ def parse_ledgers(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks, tagged.select(F.col("file").alias("ledger_id"), "status")
 
 
-def read_ledger_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-08 over a folder of ledger files, one array per file."""
-    return parse_ledgers(spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name()))
+def read_ledger_files(spark: SparkSession, path: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-08 over a folder of ledger files, one array per file.
+
+    Spark plans no work for files of zero length; ``expected`` (ledger_id = path) names the files that
+    should be there, and those without content are reported as EMPTY_FILE.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "utf-8").alias("value"), F.col("path").alias("file"))
+    blocks, status = parse_ledgers(files)
+    if expected is not None:
+        status = expected.select("ledger_id").join(status, "ledger_id", "left").fillna({"status": "EMPTY_FILE"})
+    return blocks, status
 
 
 def append_ledger(blocks: DataFrame, path: str) -> None:
