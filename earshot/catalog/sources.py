@@ -10,7 +10,7 @@ from ..functions.numeric import rnd
 from ..functions.text import clock, role_label
 from ..functions.signal import total as signal_total
 from ..operators import blocks as B
-from ..operators import features, ordered
+from ..operators import features
 from ..operators import ledger as L
 from ..sources import media, metadata, stores
 from ..session import scratch, table
@@ -146,9 +146,9 @@ WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS x, unnest(range(0, 41, 8)) AS s
 SELECT vec_id, CAST(st // 8 AS INTEGER) AS win_idx, {r('list_sum(x[st + 1 : st + 24])', 8)} AS total FROM s""")
 def cut_windows(spark, d):
     """WIN-01, ARR-01: the samples of each window."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("pcm"), F.size("embedding").alias("n_samples"))
-    w = ordered.cut_windows(ordered.sliding_windows(e, window=24, hop=8), window=24)
-    return w.select("vec_id", "win_idx", rnd(signal_total("pcm"), 8).alias("total"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("pcm"))
+    w = features.cut_spans(e.withColumn("spans", features.sliding_spans("pcm", 24, 8)))
+    return w.select("vec_id", F.col("pos").alias("win_idx"), rnd(signal_total("pcm"), 8).alias("total"))
 
 
 @query("report_lines")

@@ -57,7 +57,9 @@ def frames(x, length: int, hop: int, centred: bool = False) -> Column:
     def cut(c):
         count = F.floor((F.size(c) - length) / F.lit(hop)) + 1
         starts = F.when(count >= 1, F.sequence(F.lit(0).cast("bigint"), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(starts, lambda i: F.slice(c, (i * hop + 1).cast("int"), length))
+        # by index: ``slice`` would copy the whole clip for every frame
+        offsets = F.sequence(F.lit(0), F.lit(length - 1))
+        return F.transform(starts, lambda i: F.transform(offsets, lambda j: F.get(c, (i * hop).cast("int") + j)))
 
     return let(samples, cut)
 
@@ -102,21 +104,26 @@ def gate_measures(frame_levels, hop: int = 240, rate: int = 16000) -> dict[str,
     }
 
 
-def cut_silence(x, top_db: float = 30.0, frame: int = 2048, hop: int = 512) -> Column:
-    """SIG-07: keep the hops whose frame is within ``top_db`` of the loudest; unchanged when none is."""
-    c = as_col(x)
+def loud_frames(levels, top_db: float) -> Column:
+    """Per frame: within ``top_db`` of the loudest one."""
+    power = F.transform(as_col(levels), lambda v: F.greatest(F.lit(1e-10), v * v))
+    return let(power, lambda p: let(F.array_max(p) * 10 ** (-top_db / 10.0), lambda floor: F.transform(p, lambda v: v > floor)))
+
 
-    def loud_hops(power):
-        return let(F.array_max(power) * 10 ** (-top_db / 10.0), lambda floor: F.array_compact(F.transform(power, lambda p, i: F.when(p > floor, i))))
+def cut_silence(x, top_db: float = 30.0, frame: int = 2048, hop: int = 512, levels=None) -> Column:
+    """SIG-07: keep the hops whose frame is within ``top_db`` of the loudest; unchanged when none is.
 
-    kept = let(F.transform(frame_rms(c, frame, hop), lambda v: F.greatest(F.lit(1e-10), v * v)), loud_hops)
-    voiced = F.flatten(F.transform(kept, lambda i: F.slice(c, i * hop + 1, hop)))
-    return let(voiced, lambda v: F.when(F.coalesce(F.size(v), F.lit(0)) > 0, v).otherwise(c))
+    ``levels`` takes frame levels measured elsewhere (long clips: by the NumPy helper).
+    """
+    c = as_col(x)
+    measured = frame_rms(c, frame, hop) if levels is None else as_col(levels)
+    keep = lambda flags: F.filter(c, lambda v, i: F.coalesce(F.get(flags, F.floor(i / F.lit(hop)).cast("int")), F.lit(False)))
+    return let(let(loud_frames(measured, top_db), keep), lambda v: F.when(F.coalesce(F.size(v), F.lit(0)) > 0, v).otherwise(c))
 
 
-def voiced_or_whole(x, top_db: float = 28.0, shortest: int = 8000) -> Column:
+def voiced_or_whole(x, top_db: float = 28.0, shortest: int = 8000, levels=None) -> Column:
     """The silence-cut clip when at least half a second remains, the clip itself otherwise."""
-    return let(cut_silence(x, top_db), lambda cut: F.when(F.size(cut) >= shortest, cut).otherwise(as_col(x)))
+    return let(cut_silence(x, top_db, levels=levels), lambda cut: F.when(F.size(cut) >= shortest, cut).otherwise(as_col(x)))
 
 
 def sign_changes(frame) -> Column:

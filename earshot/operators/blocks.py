@@ -169,7 +169,8 @@ def fold_contracting(
         return F.struct(nxt.alias("x"), F.concat(acc["out"], F.array(nxt)).alias("out"))
 
     states = F.aggregate("__rows", start, advance, lambda acc: acc["out"])
-    flat = lists.select(*keys, "__chunk", F.explode(F.arrays_zip(F.col("__rows.k").alias("k"), states.alias("x"))).alias("__z"))
+    # "outer" keeps Spark from adding a filter that would compute the array a second time
+    flat = lists.select(*keys, "__chunk", F.explode_outer(F.arrays_zip(F.col("__rows.k").alias("k"), states.alias("x"))).alias("__z"))
     flat = flat.select(*keys, "__chunk", F.col("__z.k").alias(rn), F.col("__z.x").alias(name))
     own = flat.filter(F.col("__chunk") == F.floor((F.col(rn) - 1) / F.lit(size))).drop("__chunk")
     return df.join(own, [*keys, rn]).select(*keep, name)
@@ -223,7 +224,7 @@ def fold_max_affine(df: DataFrame, keys: list[str], order: list, block, value, i
 
     def spread(grouped, rows, start, inclusive, key, out):
         zipped = F.arrays_zip(F.col(f"{rows}.k").alias("k"), states(F.col(rows), start, inclusive).alias("x"))
-        return grouped.select(*keys, F.explode(zipped).alias("__z")).select(*keys, F.col("__z.k").alias(key), F.col("__z.x").alias(out))
+        return grouped.select(*keys, F.explode_outer(zipped).alias("__z")).select(*keys, F.col("__z.k").alias(key), F.col("__z.x").alias(out))
 
     level1 = df.groupBy(*keys, "__b2", "__b1").agg(ordered(rn, "__m").alias("__rows"))
     level1 = level1.withColumn("__t1", total(F.col("__rows")))

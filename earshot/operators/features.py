@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ..functions import kernels as K
 from ..functions import signal as S
@@ -49,6 +49,46 @@ def usable_clips(clips: DataFrame, pcm: str = "pcm") -> tuple[DataFrame, DataFra
     return tagged.filter("reject_reason IS NULL").drop("reject_reason"), tagged.filter("reject_reason IS NOT NULL")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def silence_levels(pcm: pd.Series) -> pd.Series:
+    """Frame levels for SIG-07 (2048 samples every 512), of clips of any length."""
+    return pcm.map(lambda y: K.frame_levels(np.asarray(y, dtype=np.float64), 2048, 512) if len(y) else np.zeros(1))
+
+
+def cut_spans(df: DataFrame, pcm: str = "pcm", spans: str = "spans", batch: int = 64) -> DataFrame:
+    """One row per span: all other columns, ``pos``, ``s``, ``e`` and the samples, zero padded to e - s.
+
+    ``spans`` is an array of (s, e). Array views in Arrow batches, so the cost is that of the samples
+    cut, whatever the length of the clip.
+    """
+    kept = [c for c in df.columns if c not in (pcm, spans)]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", pos int, s int, e int, pcm array<float>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, rows = [*kept, "pos", "s", "e", "pcm"], []
+        for pdf in batches:
+            for record in pdf[[*kept, pcm, spans]].itertuples(index=False, name=None):
+                *head, y, cuts = record
+                y = np.asarray(y, dtype=np.float32)
+                for pos, cut in enumerate(cuts):
+                    s, e = cut["s"], cut["e"]
+                    part = y[max(s, 0) : max(e, 0)]
+                    rows.append((*head, pos, s, e, np.pad(part, (0, max(0, e - s - len(part)))) if s >= 0 else part[:0]))
+                    if len(rows) >= batch:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    return df.mapInPandas(run, schema)
+
+
+def sliding_spans(pcm: str = "pcm", window: int = 48000, hop: int = 16000) -> Column:
+    """WIN-01 as spans of one clip: a short clip is one padded window, the tail is dropped."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(pcm) - window, F.lit(0)), F.lit(hop))
+    return F.transform(starts, lambda s: F.struct(s.alias("s"), (s + window).alias("e")))
+
+
 def _describe(y: np.ndarray, n_fft: int, hop: int, fmax: float) -> dict:
     y = np.asarray(y, dtype=np.float64)
     if len(y) == 0:
@@ -149,7 +189,7 @@ def feature_vector(features, names: list[str] | None = None) -> Column:
     f = features if isinstance(features, Column) else F.col(features)
     if names is None:
         return F.transform(F.array_sort(F.map_keys(f)), lambda n: finite_or_zero(F.try_element_at(f, n)))
-    return F.array(*[finite_or_zero(F.try_element_at(f, F.lit(n))) for n in names])
+    return F.transform(F.array(*[F.try_element_at(f, F.lit(n)) for n in names]), lambda v: finite_or_zero(v))
 
 
 def neutralise(features, shortcuts: list[str]) -> Column:

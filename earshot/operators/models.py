@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
+from ..session import materialise
 from . import evaluation
 from .features import FEATURE_NAMES, feature_vector, neutralise
 
@@ -78,7 +79,8 @@ class SpoofModel:
     def fit(cls, train: DataFrame, kind: str = "random_forest", names: list[str] | None = None, shortcuts: list[str] = (), seed: int = 42, **overrides) -> "SpoofModel":
         """ML-01 .. ML-04. ``train`` has ``label`` and the feature map ``f``."""
         names = FEATURE_NAMES if names is None else names
-        data = balanced_weights(to_vectors(train, names, shortcuts).select("label", "features"))
+        # fitting reads its rows many times, so they are written once
+        data = balanced_weights(materialise(to_vectors(train, names, shortcuts).select("label", "features"), "train"))
         voters = [e.fit(data) for e in _estimators(kind, {**SETTINGS[kind], **overrides}, seed)]
         return cls(kind, voters, names, 0.5, list(shortcuts))
 

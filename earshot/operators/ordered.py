@@ -19,13 +19,6 @@ def sliding_windows(clips: DataFrame, length: str = "n_samples", window: int = W
     return clips.select("*", F.posexplode(starts).alias("win_idx", "start_sample")).withColumn("padded", F.col(length) < window)
 
 
-def cut_windows(windows: DataFrame, pcm: str = "pcm", window: int = WINDOW_SAMPLES) -> DataFrame:
-    """ARR-01: the samples of each window, zero padded."""
-    piece = F.slice(pcm, F.col("start_sample").cast("int") + 1, F.lit(window))
-    padded = F.concat(piece, F.array_repeat(F.lit(0.0).cast("float"), F.lit(window) - F.size(piece)))
-    return windows.withColumn(pcm, padded)
-
-
 def strategic_windows(clips: DataFrame, length: str = "n_samples", window: int = WINDOW_SAMPLES, minimum: int = 56000, most: int = 5) -> DataFrame:
     """WIN-02: up to five evenly spaced windows for clips of at least 3.5 s; shorter clips give none."""
     long_enough = clips.filter(F.col(length) >= minimum)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import signal as S
+from ..functions.kernels import energy_share, frame_levels
 from ..functions.numeric import let, rnd
 from ..operators import calls as C
 from ..operators import clustering as L
-from ..operators.features import clip_features, describe_clips, timbre_segment
+from ..operators.features import clip_features, cut_spans, describe_clips, timbre_segment
 from ..operators.models import SpoofModel
 from ..session import materialise
 
@@ -32,17 +35,18 @@ class SegmentRules:
     top_db: float = 36.0
 
 
-def speech_spans(pcm, rules: SegmentRules) -> Column:
-    """WIN-03 and WIN-04 inside one row: padded, merged and cut speech intervals as (s, e) pairs."""
+def speech_spans(pcm, rules: SegmentRules, levels=None) -> Column:
+    """WIN-03 and WIN-04 inside one row: padded, merged and cut speech intervals as (s, e) pairs.
+
+    ``levels`` takes frame levels measured elsewhere.
+    """
     c = F.col(pcm) if isinstance(pcm, str) else pcm
     total = F.size(c)
+    measured = S.frame_rms(c, rules.frame, rules.hop) if levels is None else F.col(levels)
     pair = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
     pairs = "array<struct<s:int,e:int>>"
 
-    def active(power):
-        return let(F.array_max(power) * 10 ** (-rules.top_db / 10.0), lambda floor: F.array_compact(F.transform(power, lambda p, i: F.when(p > floor, i))))
-
-    hops = let(F.transform(S.frame_rms(c, rules.frame, rules.hop), lambda v: F.greatest(F.lit(1e-10), v * v)), active)
+    hops = F.array_compact(F.transform(S.loud_frames(measured, rules.top_db), lambda loud, i: F.when(loud, i)))
 
     def extend(acc, i):
         s = F.greatest(F.lit(0), i * rules.hop - rules.margin)
@@ -60,50 +64,75 @@ def speech_spans(pcm, rules: SegmentRules) -> Column:
     return let(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(pair(F.lit(0), total))))
 
 
-def gate(calls: DataFrame, frame: int = 480, hop: int = 240, min_speech: float = Q.MIN_SPEECH_SEC) -> DataFrame:
-    """PRJ-06 with SIG-03, SIG-05 and SIG-06 measured on the audio."""
-    described = describe_clips(calls.select("call_id", F.slice("pcm", 1, 4 * RATE).alias("pcm"))).select("call_id", (F.col("band_share") > 0.88).alias("telephony"))
-    levels = calls.select("call_id", S.frame_rms("pcm", frame, hop).alias("__r"), (S.clipping_ratio("pcm", 0.985) * 100).alias("clipping_percent"), (F.size("pcm") / float(RATE)).alias("total_sec"))
-    levels = levels.withColumns(S.gate_measures("__r", hop)).drop("__r").join(described, "call_id")
-    return levels.withColumns(Q.quality_gate("usable_sec", "snr_db", "clipping_percent", "telephony", min_speech=min_speech, total_sec="total_sec"))
+def call_measures(frame: int, hop: int, rules: SegmentRules):
+    """One Arrow pass per call: SIG-06 band share, gate levels (SIG-05) and segment levels."""
+
+    @F.pandas_udf("band_share double, gate_levels array<double>, levels array<double>")
+    def measure(pcm: pd.Series) -> pd.DataFrame:
+        rows = []
+        for y in pcm:
+            y = np.asarray(y, dtype=np.float64)
+            if len(y):
+                rows.append((energy_share(y[: 4 * RATE], 300.0, 3400.0, 1e-9), frame_levels(y, frame, hop), frame_levels(y, rules.frame, rules.hop)))
+            else:
+                rows.append((0.0, [], []))
+        return pd.DataFrame(rows, columns=["band_share", "gate_levels", "levels"])
+
+    return measure
+
 
+def gate(calls: DataFrame, frame: int = 480, hop: int = 240, min_speech: float = Q.MIN_SPEECH_SEC, rules: SegmentRules = SegmentRules()) -> DataFrame:
+    """PRJ-06 with SIG-03, SIG-05 and SIG-06 measured on the audio; adds ``quality`` and ``levels``, no shuffle."""
+    df = calls.withColumn("__m", call_measures(frame, hop, rules)("pcm"))
+    df = df.withColumns({"clipping_percent": S.clipping_ratio("pcm", 0.985) * 100, "total_sec": F.size("pcm") / float(RATE), "telephony": F.col("__m.band_share") > 0.88})
+    df = df.withColumns(S.gate_measures("__m.gate_levels", hop))
+    df = df.withColumns(Q.quality_gate("usable_sec", "snr_db", "clipping_percent", "telephony", min_speech=min_speech, total_sec="total_sec"))
+    return df.select(*calls.columns, F.col("__m.levels").alias("levels"), F.struct(*GATE_FIELDS).alias("quality"))
 
-def segment_calls(calls: DataFrame, rules: SegmentRules = SegmentRules()) -> DataFrame:
-    """Calls to speech segments with their samples; no shuffle."""
-    spans = calls.select("call_id", "pcm", F.posexplode(speech_spans("pcm", rules)).alias("seg_idx", "p"))
-    start, end = rnd(F.col("p.s") / float(RATE), 2), rnd(F.col("p.e") / float(RATE), 2)
-    return spans.select("call_id", "seg_idx", start.alias("start_sec"), end.alias("end_sec"), rnd(end - start, 2).alias("dur"),
-                        F.slice("pcm", F.col("p.s") + 1, F.col("p.e") - F.col("p.s")).alias("pcm"))
 
+GATE_FIELDS = ["usable_sec", "total_sec", "speech_ratio", "snr_db", "clipping_percent", "telephony", "quality_level", "is_usable", "rejection_reason"]
 
-def diarise(segments: DataFrame) -> DataFrame:
-    """ML-08 and JOIN-08 on segment voices."""
-    described = describe_clips(segments, hop=256, keep_pcm=True)
-    keep = segments.columns
-    return L.assign_by_margin(L.cluster_segments(described.select(*keep, timbre_segment().alias("emb"))), 28)
+
+def segment_calls(gated: DataFrame, rules: SegmentRules = SegmentRules()) -> DataFrame:
+    """Calls to speech segments with their samples, no shuffle.
+
+    A call that failed the gate is one row without samples and with seg_idx -1.
+    """
+    pair = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+    spans = F.when(F.col("quality.is_usable"), speech_spans("pcm", rules, "levels")).otherwise(F.array(pair))
+    rows = cut_spans(gated.select("call_id", F.to_json("quality").alias("quality"), "pcm", spans.alias("spans")))
+    start, end = rnd(F.col("s") / float(RATE), 2), rnd(F.col("e") / float(RATE), 2)
+    return rows.select("call_id", F.when(F.col("s") >= 0, F.col("pos")).otherwise(-1).alias("seg_idx"), F.when(F.col("pos") == 0, F.col("quality")).alias("quality"),
+                       start.alias("start_sec"), end.alias("end_sec"), rnd(end - start, 2).alias("dur"), "pcm")
+
+
+def describe_segments(segments: DataFrame, model: SpoofModel) -> DataFrame:
+    """Voice vector, score and risk signals of every segment; samples are dropped before anything is shuffled."""
+    keep = [c for c in segments.columns if c != "pcm"]
+    voiced = describe_clips(segments, hop=256, keep_pcm=True).select(*keep, "pcm", timbre_segment().alias("emb"))
+    scored = model.score(clip_features(voiced))
+    f = lambda name: F.col("f")[name]
+    return scored.select(*keep, "emb", F.col("model_prob").alias("prob"), f("acoustic_phase_derivative_var").alias("phase_var"), f("spectral_hf_energy_ratio").alias("hf_ratio"),
+                         f("prosody_jitter").alias("jitter"), f("spectral_contrast_std").alias("contrast_std"))
 
 
 def analyse_calls(calls: DataFrame, model: SpoofModel, rules: SegmentRules = SegmentRules(), min_speech: float = Q.MIN_SPEECH_SEC) -> tuple[DataFrame, DataFrame]:
     """``calls``: call_id, pcm, language, role, financial. Returns (verdict per call, report pages).
 
-    Audio that fails the gate is not segmented. Gate results and scored segments are written once,
-    because the later stages read them several times.
+    Audio is read once: gate, segmentation, voices and scores are one pass whose small result is
+    written, because diarisation and the report read it several times.
     """
-    quality = materialise(gate(calls, min_speech=min_speech), "gate")
-    good = calls.join(quality.filter("is_usable").select("call_id"), "call_id", "left_semi")
-    parts = diarise(segment_calls(good, rules))
-    scored = model.score(clip_features(parts))
-    f = lambda name: F.col("f")[name]
-    segments = materialise(
-        scored.select(
-            "call_id", "seg_idx", "start_sec", "end_sec", "dur", "speaker", "is_overlap", "confidence", "cluster_conf", F.col("model_prob").alias("prob"), f("acoustic_phase_derivative_var").alias("phase_var"),
-            f("spectral_hf_energy_ratio").alias("hf_ratio"), f("prosody_jitter").alias("jitter"), f("spectral_contrast_std").alias("contrast_std")), "segments")
+    described = materialise(describe_segments(segment_calls(gate(calls, min_speech=min_speech, rules=rules), rules), model), "segments")
+    quality_type = "usable_sec double, total_sec double, speech_ratio double, snr_db double, clipping_percent double, telephony boolean, quality_level string, is_usable boolean, rejection_reason string"
+    quality = described.filter("quality IS NOT NULL").select("call_id", F.from_json("quality", quality_type).alias("q")).select("call_id", "q.*")
+    voices = described.filter("seg_idx >= 0").drop("quality")
+    segments = materialise(L.assign_by_margin(L.cluster_segments(voices), 28).drop("emb"), "diarised")
     durations = C.call_durations(segments)
     conf = segments.groupBy("call_id").agg(rnd(F.max("cluster_conf"), 3).alias("diarization_confidence"))
     facts = calls.drop("pcm").join(quality, "call_id")
     people = C.speaker_assessments(C.speaker_scores(segments, durations), facts.join(conf, "call_id"), model.threshold)
     empty = {"n_segments": 0, "total_speech_seconds": 0.0, "overlap_seconds": 0.0, "overlap_percent": 0.0, "seconds_a": 0.0, "seconds_b": 0.0, "num_speakers": 0}
-    all_durations = facts.select("call_id").join(durations, "call_id", "left").fillna(empty)
-    remote = facts.select("call_id").join(C.remote_risk(people), "call_id", "left").fillna({"overall_call_risk": 0.0, "remote_level": "low"})
+    all_durations = quality.select("call_id").join(durations, "call_id", "left").fillna(empty)
+    remote = quality.select("call_id").join(C.remote_risk(people), "call_id", "left").fillna({"overall_call_risk": 0.0, "remote_level": "low"})
     verdicts = C.call_verdicts(all_durations, remote, facts)
     return verdicts, C.call_report(segments, verdicts, people)

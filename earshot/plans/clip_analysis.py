@@ -9,62 +9,62 @@ from ..functions import risk as R
 from ..functions import signal as S
 from ..functions.hashing import event_payload
 from ..functions.quality import near_silent
-from ..operators import calls, ordered
-from ..operators.features import clip_features
+from ..operators import calls
+from ..operators.features import clip_features, cut_spans, silence_levels, sliding_spans
 from ..operators.models import SpoofModel
 from ..session import materialise
 
 RESULT = ["audio_id", "model_prob", "spoof_prob", "risk_score", "risk_level", "alert", "signal_breakdown", "explanation"]
+SILENT_NOTE = "Audio level is near silent / ambient room noise. No synthetic voice detected. Please speak closer to the microphone."
+
+
+def _piece_spans(window: int, minimum: int):
+    """The whole clip and up to five windows of it (WIN-02) as (s, e)."""
+    n = F.size("pcm")
+    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    step = F.greatest(F.lit(1), F.floor((n - window) / 4).cast("int"))
+    starts = F.when(n >= minimum, F.slice(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)), step), 1, 5)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(span(F.lit(0), n)), F.transform(starts, lambda s: span(s, s + window)))
 
 
 def analyse_clips(clips: DataFrame, model: SpoofModel, window: int = 48000, minimum: int = 56000, shortest: int = 8000) -> DataFrame:
     """``clips``: audio_id, pcm, language, unknown_number, high_value, prior_fraud, ext_prob.
 
-    Near-silent clips never reach the feature job. The whole clip and its windows go through one
-    feature pass; the only shuffle of scores is the blend per clip.
+    Audio is read once. A near-silent clip keeps its row but hands no samples to the feature job. The
+    only shuffle is one aggregation of at most six score rows per clip.
     """
-    facts = clips.columns
-    levels = clips.withColumns({"__rms": S.rms("pcm"), "__peak": S.peak("pcm")})
-    quiet = near_silent("batch", "__rms", "__peak")
-    loud = levels.filter(~quiet).select(*[c for c in facts if c != "pcm"], S.normalise_peak(S.voiced_or_whole("pcm", 28.0, shortest)).alias("pcm"))
-    loud = loud.withColumn("n_samples", F.size("pcm"))
-
-    n = F.col("n_samples")
-    step = F.greatest(F.lit(1), F.floor((n - window) / 4).cast("int"))
-    starts = F.when(n >= minimum, F.slice(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)), step), 1, 5)).otherwise(F.array().cast("array<int>"))
-    parts = F.concat(F.array(F.struct(F.lit(-1).alias("win"), F.col("pcm").alias("pcm"))),
-                     F.transform(starts, lambda s, i: F.struct(i.alias("win"), F.slice("pcm", s + 1, window).alias("pcm"))))
-    pieces = loud.select("audio_id", F.explode(parts).alias("p")).select("audio_id", "p.win", "p.pcm")
-    pieces = pieces.filter((F.col("win") < 0) | (S.rms("pcm") >= 0.003))
-    pieces = pieces.withColumn("pcm", F.when(F.col("win") < 0, F.col("pcm")).otherwise(S.normalise_peak("pcm")))
-    scored = model.score(clip_features(pieces)).select("audio_id", "win", "model_prob", F.when(F.col("win") < 0, F.col("f")).alias("f"))
-
-    # at most six rows per clip: one aggregation gives the global score, the window quantiles and the features
+    facts = [c for c in clips.columns if c != "pcm"]
+    df = clips.withColumn("silent", near_silent("batch", S.rms("pcm"), S.peak("pcm")))
+    df = df.withColumn("__levels", silence_levels("pcm"))
+    nothing = F.array().cast("array<double>")
+    df = df.withColumn("pcm", F.when(F.col("silent"), nothing).otherwise(S.normalise_peak(S.voiced_or_whole("pcm", 28.0, shortest, "__levels"))))
+    rows = df.select("audio_id", F.to_json(F.struct("silent", *facts)).alias("facts"), "pcm", _piece_spans(window, minimum).alias("spans"))
     whole = F.col("win") < 0
+    pieces = cut_spans(rows).select("audio_id", F.when(F.col("pos") == 0, F.col("facts")).alias("facts"), (F.col("pos") - 1).alias("win"), "pcm")
+    pieces = pieces.filter(whole | (S.rms("pcm") >= 0.003)).withColumn("pcm", F.when(whole, F.col("pcm").cast("array<double>")).otherwise(S.normalise_peak("pcm")))
+    scored = model.score(clip_features(pieces)).select("audio_id", "win", "model_prob", "facts", F.when(whole, F.col("f")).alias("f"))
+
     in_window = F.when(~whole, F.col("model_prob"))
     per_clip = scored.groupBy("audio_id").agg(
         F.max(F.when(whole, F.col("model_prob"))).alias("global_prob"), F.percentile(in_window, F.lit(0.75)).alias("p75"), F.median(in_window).alias("med"),
-        F.first("f", ignorenulls=True).alias("f"))
-    df = per_clip.withColumn("model_prob", calls.window_blend("global_prob", "p75", "med")).join(loud.drop("pcm", "n_samples"), "audio_id")
+        F.first("f", ignorenulls=True).alias("f"), F.first("facts", ignorenulls=True).alias("facts"))
+    fact_type = ", ".join(f"`{c}` {t}" for c, t in [("silent", "boolean"), *((c, clips.schema[c].dataType.simpleString()) for c in facts if c != "audio_id")])
+    out = per_clip.withColumn("facts", F.from_json("facts", fact_type)).select("*", "facts.*")
     feat = lambda name: F.col("f")[name]
-    df = df.withColumn("spoof_prob", R.fuse_scores("model_prob", "ext_prob", feat("spectral_flatness")))
+    out = out.withColumn("model_prob", F.when(F.col("silent"), 0.02).otherwise(calls.window_blend("global_prob", "p75", "med")))
+    out = out.withColumn("spoof_prob", F.when(F.col("silent"), 0.02).otherwise(R.fuse_scores("model_prob", "ext_prob", feat("spectral_flatness"))))
     judged = R.assess_risk(
-        df, prob="spoof_prob", tau=model.threshold, phase=feat("acoustic_phase_derivative_var"), hf=feat("spectral_hf_energy_ratio"), jitter=feat("prosody_jitter"),
-        contrast=feat("spectral_contrast_std"), language="language", unknown_number="unknown_number", high_value="high_value", prior_fraud="prior_fraud").select(*RESULT)
-
-    silent_signals = F.create_map(*[F.lit(x) for k in ("acoustic_anomaly", "spectral_anomaly", "prosody_anomaly", "speaker_mismatch") for x in (k, 0.0)],
-                                  F.lit("ml_classifier_spoof_prob"), F.lit(0.02))
-    silent = levels.filter(quiet).select(
-        "audio_id", F.lit(0.02).alias("model_prob"), F.lit(0.02).alias("spoof_prob"), F.lit(2.0).alias("risk_score"), F.lit("LOW").alias("risk_level"), F.lit(False).alias("alert"),
-        silent_signals.alias("signal_breakdown"),
-        F.lit("Audio level is near silent / ambient room noise. No synthetic voice detected. Please speak closer to the microphone.").alias("explanation"))
-    return judged.unionByName(silent)
+        out, prob="spoof_prob", tau=model.threshold, phase=feat("acoustic_phase_derivative_var"), hf=feat("spectral_hf_energy_ratio"), jitter=feat("prosody_jitter"),
+        contrast=feat("spectral_contrast_std"), language="language", unknown_number="unknown_number", high_value="high_value", prior_fraud="prior_fraud")
+    quiet = F.create_map(F.lit("ml_classifier_spoof_prob"), F.lit(0.02), *[F.lit(x) for k in ("acoustic_anomaly", "spectral_anomaly", "prosody_anomaly", "speaker_mismatch") for x in (k, 0.0)])
+    fixed = {"risk_score": F.lit(2.0), "risk_level": F.lit("LOW"), "alert": F.lit(False), "signal_breakdown": quiet, "explanation": F.lit(SILENT_NOTE)}
+    return judged.withColumns({c: F.when(F.col("silent"), v).otherwise(F.col(c)) for c, v in fixed.items()}).select(*RESULT)
 
 
 def clip_events(results: DataFrame, clips: DataFrame) -> DataFrame:
     """PRJ-18: ledger events of scored clips: ids, hash, base name and risk only. Silent clips seal none."""
     facts = clips.select("audio_id", "audio_sha256", "file_name", "language")
-    df = results.filter(~F.col("explanation").startswith("Audio level is near silent")).join(facts, "audio_id")
+    df = results.filter(F.col("explanation") != SILENT_NOTE).join(facts, "audio_id")
     payload = event_payload(audio_sha256="audio_sha256", filename="file_name", language="language", risk_score="risk_score", risk_level="risk_level", alert_triggered="alert", session_id="audio_id")
     return df.select("audio_id", F.lit("BATCH_ANALYSIS").alias("event_type"), payload.alias("payload"))
 
@@ -76,5 +76,4 @@ def feature_table(clips: DataFrame, label: str = "features") -> DataFrame:
 
 def windowed_features(clips: DataFrame) -> DataFrame:
     """WIN-01 into SIG-16: features of every sliding window."""
-    cut = ordered.cut_windows(ordered.sliding_windows(clips.withColumn("n_samples", F.size("pcm"))))
-    return clip_features(cut)
+    return clip_features(cut_spans(clips.withColumn("spans", sliding_spans("pcm"))))

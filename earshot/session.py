@@ -27,7 +27,7 @@ def build_session(app: str = "earshot", master: str | None = None, shuffle_parti
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))  # clips are wide rows
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        builder = builder.master(master).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
