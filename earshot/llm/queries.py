@@ -103,7 +103,7 @@ def op6_simhash(spark, table):
     """Fingerprint and near-duplicate component of every document."""
     docs = table("documents").select(F.col("doc_id"), simhash.fingerprint_column(F.col("text")).alias("fp"))
     groups = simhash.near_groups(simhash.frozen(docs, "prints"))
-    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query("op7_secrets")
