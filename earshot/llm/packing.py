@@ -2,8 +2,8 @@
 
 Documents are tokenised once and cut into pieces. Pieces are dealt at random over partitions; each runs best-fit
 decreasing and compares its number of bins with lower bounds from dual feasible functions. A partition that meets its
-bound is proven optimal and stays. The others exchange their documents: all of them are dealt anew over fewer, larger
-partitions that run best-fit decreasing again, as long as that saves bins.
+bound is proven optimal and stays. The others exchange the documents of their bins with room: these are dealt anew over
+fewer, larger partitions that run best-fit decreasing again, as long as that saves bins.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def lower_bound(counts: np.ndarray, capacity: int, orders: int = 24) -> int:
     return int(best)
 
 
-PLACED = "row_id long, piece int, length long, part long, bin long, offset long, bins long, bound long"
+PLACED = "row_id long, piece int, length long, part long, bin long, offset long, load long, bins long, bound long"
 
 
 def _pack_group(capacity: int):
@@ -167,13 +167,14 @@ def _pack_group(capacity: int):
         group = group.sort_values(["length", "row_id", "piece"], ascending=[False, True, True], ignore_index=True)
         lengths = group["length"].to_numpy()
         bins = best_fit_decreasing(lengths, capacity)
+        loads = np.bincount(bins, weights=lengths).astype(np.int64)
         order = np.argsort(bins, kind="stable")
         before = np.cumsum(lengths[order]) - lengths[order]
         firsts = np.flatnonzero(np.diff(bins[order], prepend=-1))
         offset = np.empty(len(order), dtype=np.int64)
         offset[order] = before - np.repeat(before[firsts], np.diff(np.append(firsts, len(order))))
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        return pd.DataFrame({"row_id": group["row_id"], "piece": group["piece"].astype("int32"), "length": lengths, "part": group["part"], "bin": bins, "offset": offset, "bins": int(bins.max()) + 1, "bound": bound})
+        return pd.DataFrame({"row_id": group["row_id"], "piece": group["piece"].astype("int32"), "length": lengths, "part": group["part"], "bin": bins, "offset": offset, "load": loads[bins], "bins": int(bins.max()) + 1, "bound": bound})
 
     return run
 
@@ -185,30 +186,31 @@ def _deal(items: DataFrame, round_: int, per_part: int, count: int) -> DataFrame
     return items.select("row_id", "piece", "length", part.alias("part"))
 
 
-def place(pieces: DataFrame, capacity: int = 1024, per_part: int = 100_000, rounds: int = 3) -> DataFrame:
-    """A row per piece: row_id, piece, ``sequence_id``, ``offset``, and whether its part is ``certified`` as optimal.
+def place(pieces: DataFrame, capacity: int = 1024, per_part: int = 25_000, rounds: int = 3) -> DataFrame:
+    """A row per piece: row_id, piece, ``sequence_id``, ``offset``, and whether its bin is ``certified``: it is full, or
+    its part needs all its bins.
 
-    Memory of a task: ``per_part * 2 ** rounds`` short rows at most. Each exchange takes every piece of the parts with
-    a gap and is kept only if it saves bins, so the result is never worse than that of the round before.
+    Memory of a task: ``per_part * 2 ** rounds`` short rows. An exchange takes every piece of the bins with room in the
+    parts with a gap (full bins cannot be bettered) and is kept only if it saves bins, so no round makes things worse.
     """
-    schema = PLACED
     items = pieces.select("row_id", "piece", "length")
-    packed = frozen(_deal(items, 0, per_part, items.count()).groupBy("part").applyInPandas(_pack_group(capacity), schema), "packed")
+    packed = frozen(_deal(items, 0, per_part, items.count()).groupBy("part").applyInPandas(_pack_group(capacity), PLACED), "packed")
+    open_ = (F.col("bins") > F.col("bound")) & (F.col("load") < capacity)
     settled = []
     for round_ in range(1, rounds + 1):
-        gap = packed.filter("bins > bound")
-        each = gap.groupBy("part").agg(F.max("bins").alias("bins"), F.count(F.lit(1)).alias("items"))
+        gap = packed.filter(open_)
+        each = gap.groupBy("part").agg(F.count(F.lit(1)).alias("items"), F.sum((F.col("offset") == 0).cast("long")).alias("bins"))
         open_parts, count, bins = each.agg(F.count(F.lit(1)), F.sum("items"), F.sum("bins")).first()
         if open_parts < 2:
             break
-        again = frozen(_deal(gap, round_, per_part << round_, count).groupBy("part").applyInPandas(_pack_group(capacity), schema), "packed")
-        if again.groupBy("part").agg(F.max("bins").alias("bins")).agg(F.sum("bins")).first()[0] >= bins:
+        again = frozen(_deal(gap, round_, per_part << round_, count).groupBy("part").applyInPandas(_pack_group(capacity), PLACED), "packed")
+        if again.filter("offset = 0").count() >= bins:
             break
-        settled.append(packed.filter("bins = bound"))
+        settled.append(packed.filter(~open_))
         packed = again
     for done in settled:
         packed = packed.unionByName(done)
-    return packed.select("row_id", "piece", (F.shiftleft(F.col("part"), 32) + F.col("bin")).alias("sequence_id"), "offset", (F.col("bins") == F.col("bound")).alias("certified"))
+    return packed.select("row_id", "piece", (F.shiftleft(F.col("part"), 32) + F.col("bin")).alias("sequence_id"), "offset", (~open_).alias("certified"))
 
 
 def pack(docs: DataFrame, max_tokens: int = 1024, **options) -> tuple[DataFrame, DataFrame]:

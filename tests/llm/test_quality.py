@@ -37,7 +37,7 @@ def test_counts(spark, odd, odd_rows):
 def test_limits_follow_language_and_source(spark):
     rng = random.Random(9)
     rows, number = [], 0
-    for lang, source, symbol, size in (("en", "web", 0.0, 150), ("en", "code", 1.0, 150), ("fr", "web", 0.0, 60), ("fr", "few", 0.0, 5), (None, None, 0.0, 5)):
+    for lang, source, symbol, size in (("en", "web", 0.0, 300), ("en", "code", 1.0, 110), ("fr", "web", 0.0, 120), ("fr", "few", 0.0, 5), (None, None, 0.0, 5)):
         for k in range(size):
             words = prose(rng, 80).split(" ")
             if rng.random() < symbol or k == 0:
