@@ -97,14 +97,14 @@ def system_means_file(spark, d):
 
 
 @query("transcripts", """
-SELECT conv_id || '-' || turn || '-0' AS utt_id, length(role) AS n, CAST(conv_id AS VARCHAR) AS reader, CAST(turn AS VARCHAR) AS chapter FROM conversations""")
+SELECT conv_id || '-' || turn || '-0' AS utt_id, replace(text, chr(10), '\\n') AS text, CAST(conv_id AS VARCHAR) AS reader, CAST(turn AS VARCHAR) AS chapter FROM conversations""")
 def transcripts(spark, d):
-    """SRC-06."""
+    """SRC-06: utterances one a line, line breaks inside them escaped."""
     path = scratch(spark, "transcripts")
     c = table(spark, d, "conversations")
-    c.select(F.concat(F.concat_ws("-", "conv_id", "turn", F.lit("0")), F.lit(" "), "role")).write.text(path)
+    c.select(F.concat(F.concat_ws("-", "conv_id", "turn", F.lit("0")), F.lit(" "), F.replace("text", F.lit("\n"), F.lit("\\n")))).write.text(path)
     t = metadata.read_transcripts(spark, path, None)
-    return t.select("utt_id", F.length("text").cast("bigint").alias("n"), "reader", "chapter")
+    return t.select("utt_id", "text", "reader", "chapter")
 
 
 @query("riff_headers", """
@@ -116,6 +116,28 @@ def riff_headers(spark, d):
     return a.select(F.col("path").cast("bigint").alias("s_suppkey"), "duration", "rate", "channels", "subtype", C.valid_file("duration", "channels", "rate").alias("is_valid"))
 
 
+@query("wav_files", """
+WITH s AS (SELECT doc_id, doc_id % 7 AS kind, encode(coalesce(text, '')) AS raw FROM documents),
+r AS (SELECT *, CASE kind WHEN 1 THEN 'WRONG_RATE' WHEN 2 THEN 'TRUNCATED' WHEN 3 THEN 'NOT_WAV' WHEN 4 THEN 'NOT_MONO' WHEN 5 THEN 'NO_SAMPLES' END AS reason FROM s)
+SELECT doc_id, CASE WHEN reason IS NULL THEN octet_length(raw) // 2 END AS samples, CASE WHEN reason IS NULL AND octet_length(raw) % 2 = 0 THEN sha256(raw) END AS even_sha, reason FROM r""")
+def wav_files(spark, d):
+    """SRC-16: texts as the samples of WAV files, some of them unusable, one kind with a long chunk before the data."""
+    kind, raw = F.pmod("doc_id", F.lit(7)), F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    good = media.wav_bytes(raw)
+    long_list = F.concat(F.substring(good, 1, 12), F.encode(F.lit("LIST"), "utf-8"), F.unhex(F.lit("88130000")), F.encode(F.repeat(F.lit("data"), 1250), "utf-8"), F.substring(good, F.lit(13), F.octet_length(good)))
+    stereo = F.concat(F.substring(good, 1, 22), F.unhex(F.lit("0200")), F.substring(good, F.lit(25), F.octet_length(good)))
+    content = (
+        F.when(kind == 1, media.wav_bytes(raw, 8000)).when(kind == 2, F.substring(good, F.lit(1), F.octet_length(good) - 1)).when(kind == 3, raw)
+        .when(kind == 4, stereo).when(kind == 5, media.wav_bytes(F.unhex(F.lit("")))).when(kind == 6, long_list).otherwise(good)
+    )
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("doc_id"), content.alias("content"), F.octet_length(raw).alias("size"))
+    samples, rejects = media.wav_samples(files)
+    read = samples.select(F.col("path").alias("doc_id"), F.floor(F.octet_length("pcm") / 2).alias("samples"), F.sha2("pcm", 256).alias("sha"), F.lit(None).cast("string").alias("reason"))
+    sizes = files.select("doc_id", "size")
+    read = read.join(sizes, "doc_id").select("doc_id", "samples", F.when(F.col("size") % 2 == 0, F.col("sha")).alias("even_sha"), "reason")
+    return read.unionByName(rejects.select(F.col("path").alias("doc_id"), F.lit(None).cast("bigint").alias("samples"), F.lit(None).cast("string").alias("even_sha"), "reason"))
+
+
 @query("audio_listing", "SELECT DISTINCT c_nationkey AS folder, true AS has_bytes FROM customer")
 def audio_listing(spark, d):
     """SRC-01, SET-01: recursive listing by pattern of customers written into one folder per nation."""
@@ -194,21 +216,23 @@ def feature_cache(spark, d):
 
 
 @query("ledger_files", f"""
-WITH RECURSIVE {CHAIN} SELECT ledger_id, count(*) AS blocks, true AS hashes_ok, true AS all_loaded FROM chain WHERE pos > 0 GROUP BY 1""")
+WITH RECURSIVE {CHAIN} SELECT ledger_id, count(*) AS blocks, true AS hashes_ok, true AS linked, 'LOADED' AS status FROM chain GROUP BY 1""")
 def ledger_files(spark, d):
-    """SRC-08: ledgers as JSON arrays of at most 512 blocks, written, read back and re-hashed."""
+    """SRC-08: whole ledgers as JSON arrays, one a line behind its name, written, read back, re-hashed and re-linked."""
     b = stored_chain(spark, d)
     head = F.concat(F.lit('{"index":'), F.col("index").cast("string"), F.lit(',"timestamp":'), seconds_text("ts_us"), F.lit(',"event_type":"'), "event_type", F.lit('","event_data":'), "payload")
     one = F.concat(head, F.lit(',"previous_hash":"'), "previous_hash", F.lit('","current_hash":"'), "current_hash", F.lit('"}'))
-    listed = F.array_sort(F.collect_list(F.struct("pos", one.alias("text"))))
-    files = b.groupBy("ledger_id", F.floor(F.col("pos") / 512).alias("part")).agg(F.concat(F.lit("["), F.array_join(listed["text"], ","), F.lit("]")).alias("value"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", one.alias("text"))))  # one row per ledger, as the format wants
+    files = b.groupBy("ledger_id").agg(F.concat(F.lit("["), F.array_join(listed["text"], ","), F.lit("]")).alias("value"))
     path = scratch(spark, "ledger-files")
-    files.select("value").write.text(path)
-    blocks, status = stores.parse_ledgers(spark.read.text(path).withColumn("file", F.sha2("value", 256)))
-    ok = foreign_hash_ok("index", "timestamp", "event_type", "payload", "previous_hash", "current_hash")
-    known = b.filter("pos > 0").select("ledger_id", "current_hash")  # genesis blocks are all alike
-    per = blocks.withColumn("ok", ok).drop("ledger_id").join(known, "current_hash").groupBy("ledger_id").agg(F.count("*").alias("blocks"), F.min("ok").alias("hashes_ok"))
-    return per.withColumn("all_loaded", status.agg(F.min(F.col("status") == "LOADED").alias("x")).scalar())
+    files.select(F.concat_ws("\t", F.col("ledger_id").cast("string"), "value").alias("value")).write.text(path)
+    lines = spark.read.text(path).select(F.substring_index("value", "\t", 1).cast("bigint").alias("file"), F.regexp_replace("value", r"^[^\t]*\t", "").alias("value"))
+    blocks, status = stores.parse_ledgers(lines)
+    ok = (F.col("pos") == 0) | foreign_hash_ok("index", "timestamp", "event_type", "payload", "previous_hash", "current_hash")
+    checked = B.lagged(blocks.withColumn("ok", ok), ["ledger_id"], ["pos"], B.int_block("pos"), before="current_hash")
+    link = F.col("before").isNull() & (F.col("pos") == 0) | F.coalesce(F.col("before") == F.col("previous_hash"), F.lit(False))
+    per = checked.groupBy("ledger_id").agg(F.count("*").alias("blocks"), F.min("ok").alias("hashes_ok"), F.min(link).alias("linked"))
+    return per.join(status, "ledger_id")
 
 
 @query("checkpoint_file", f"""

@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here every key is cut into blocks
 along its order (time slot, score slice, hash prefix, row range). Rows are scanned inside their block,
 blocks are reduced to one summary row each, the few summaries are scanned per key, and the carried
-value is joined back. The large side is shuffled once, by (key, block); only summaries meet per key.
+value is joined back. The large side is shuffled once, by a struct of key and block, which the join of the carried values reuses; only
+summaries meet per key.
 
 ``block`` must not decrease along ``order``; ``order`` is a list of ascending columns.
 """
@@ -40,18 +41,22 @@ def unit_block(value, slices: int = 4096) -> Column:
 
 # --- plumbing ------------------------------------------------------------------------------------
 
-def _attach(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join of per-block values; NULL keys count as equal."""
-    renamed = carry.select(*[F.col(k).alias(f"__r_{k}") for k in [*keys, BLOCK]],
-                           *[c for c in carry.columns if c not in (*keys, BLOCK)])
-    cond = F.lit(True)
-    for k in [*keys, BLOCK]:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return rows.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in [*keys, BLOCK]])
+KEYED = "__keyed"
+
+
+def _keyed(df: DataFrame, keys: list[str], block) -> DataFrame:
+    """Adds one struct of keys and block: never NULL itself, so NULL keys join by plain equality, and the partitioning
+    of the scan inside blocks serves the join of the carried values too."""
+    df = df.withColumn(BLOCK, block)
+    return df.withColumn(KEYED, F.struct(*[F.col(k) for k in keys], F.col(BLOCK)))
+
+
+def _over_blocks(keys: list[str]):
+    return Window.partitionBy(*[F.col(f"{KEYED}.{k}") for k in keys]).orderBy(F.col(f"{KEYED}.{BLOCK}"))
 
 
 def _before(keys):
-    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return _over_blocks(keys).rowsBetween(Window.unboundedPreceding, -1)
 
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -63,17 +68,17 @@ def running(df: DataFrame, keys: list[str], order: list, block, exclusive: bool
 
     ``exclusive=True`` leaves the current row out of its own frame.
     """
-    df = df.withColumn(BLOCK, block)
+    df = _keyed(df, keys, block)
     df = df.withColumns({f"__v_{n}": as_col(c) for n, (_, c) in aggs.items()})
-    totals = df.groupBy(*keys, BLOCK).agg(*[_AGG[k](f"__v_{n}").alias(f"__t_{n}") for n, (k, _) in aggs.items()])
-    carry = totals.select(*keys, BLOCK, *[_AGG[k](f"__t_{n}").over(_before(keys)).alias(f"__c_{n}") for n, (k, _) in aggs.items()])
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    totals = df.groupBy(KEYED).agg(*[_AGG[k](f"__v_{n}").alias(f"__t_{n}") for n, (k, _) in aggs.items()])
+    carry = totals.select(KEYED, *[_AGG[k](f"__t_{n}").over(_before(keys)).alias(f"__c_{n}") for n, (k, _) in aggs.items()])
+    inside = Window.partitionBy(KEYED).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     local = df.withColumns({f"__l_{n}": _AGG[k](f"__v_{n}").over(inside) for n, (k, _) in aggs.items()})
-    out = _attach(local, carry, keys)
+    out = local.join(carry, KEYED, "left")
     for n, (k, _) in aggs.items():
         c, l = F.col(f"__c_{n}"), F.col(f"__l_{n}")
         out = out.withColumn(n, F.when(c.isNull(), l).when(l.isNull(), c).otherwise(_JOIN[k](c, l)))
-    return out.drop(BLOCK, *[f"__{p}_{n}" for n in aggs for p in "vcl"])
+    return out.drop(BLOCK, KEYED, *[f"__{p}_{n}" for n in aggs for p in "vcl"])
 
 
 def row_index(df: DataFrame, keys: list[str], order: list, block, name: str = "rn") -> DataFrame:
@@ -83,20 +88,19 @@ def row_index(df: DataFrame, keys: list[str], order: list, block, name: str = "r
 
 def lagged(df: DataFrame, keys: list[str], order: list, block, **cols) -> DataFrame:
     """Value of the previous row of the key. ``cols``: name=column. NULL on the first row."""
-    df = df.withColumn(BLOCK, block)
+    df = _keyed(df, keys, block)
     df = df.withColumns({f"__v_{n}": as_col(c) for n, c in cols.items()})
     packed = F.struct(*[F.col(f"__v_{n}").alias(n) for n in cols])
     rank = F.struct(*[as_col(o).alias(f"o{i}") for i, o in enumerate(order)])
-    last = df.groupBy(*keys, BLOCK).agg(F.max_by(packed, rank).alias("__last"))
-    w = Window.partitionBy(*keys).orderBy(BLOCK)
-    carry = last.select(*keys, BLOCK, F.lag("__last").over(w).alias("__carry"))
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    last = df.groupBy(KEYED).agg(F.max_by(packed, rank).alias("__last"))
+    carry = last.select(KEYED, F.lag("__last").over(_over_blocks(keys)).alias("__carry"))
+    inside = Window.partitionBy(KEYED).orderBy(*order)
     local = df.withColumns({"__prev": F.lag(packed).over(inside), "__first": F.row_number().over(inside) == 1})
-    out = _attach(local, carry, keys)
+    out = local.join(carry, KEYED, "left")
     prev = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))
     out = out.withColumn("__pick", prev)
     out = out.withColumns({n: F.col(f"__pick.{n}") for n in cols})
-    return out.drop(BLOCK, "__prev", "__first", "__carry", "__pick", *[f"__v_{n}" for n in cols])
+    return out.drop(BLOCK, KEYED, "__prev", "__first", "__carry", "__pick", *[f"__v_{n}" for n in cols])
 
 
 # --- bounded frames ------------------------------------------------------------------------------
@@ -151,14 +155,17 @@ def fold_contracting(
     Rows are cut into blocks of ``size``. A block other than the first starts from ``init`` but first
     replays the ``warmup`` rows before it: 0.75 ** 128 is below one part in 10 ** 15, so the carried
     state is that of the full recursion. Every block is one bounded array.
+
+    A NULL value leaves the state as it was: such rows are not counted, and take the state of the row before.
     """
     rn, keep = "__rn", df.columns
     df = df.withColumn("__key", F.struct(*keys))  # a struct key also matches rows whose key is NULL
     keys = ["__key"]
-    df = row_index(df, keys, order, block, rn).withColumn("__val", as_col(value))
+    df = df.withColumn("__val", as_col(value))
+    df = running(df, keys, order, block, **{rn: ("sum", F.col("__val").isNotNull().cast("bigint"))})
     chunk = F.floor((F.col(rn) - 1) / F.lit(size))
     near_end = F.pmod(F.col(rn) - 1, F.lit(size)) >= size - warmup
-    slim = df.select(*keys, rn, "__val", F.explode(F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))).alias("__chunk"))
+    slim = df.filter(F.col("__val").isNotNull()).select(*keys, rn, "__val", F.explode(F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))).alias("__chunk"))
     lists = slim.groupBy(*keys, "__chunk").agg(
         F.array_sort(F.collect_list(F.struct(F.col(rn).alias("k"), F.col("__val").alias("v")))).alias("__rows")
     )
@@ -173,7 +180,7 @@ def fold_contracting(
     flat = lists.select(*keys, "__chunk", F.explode_outer(F.arrays_zip(F.col("__rows.k").alias("k"), states.alias("x"))).alias("__z"))
     flat = flat.select(*keys, "__chunk", F.col("__z.k").alias(rn), F.col("__z.x").alias(name))
     own = flat.filter(F.col("__chunk") == F.floor((F.col(rn) - 1) / F.lit(size))).drop("__chunk")
-    return df.join(own, [*keys, rn]).select(*keep, name)
+    return df.join(own, [*keys, rn], "left").withColumn(name, F.coalesce(name, F.lit(float(init)))).select(*keep, name)
 
 
 def fold_max_affine(df: DataFrame, keys: list[str], order: list, block, value, init: float, pieces, name: str,
@@ -182,14 +189,16 @@ def fold_max_affine(df: DataFrame, keys: list[str], order: list, block, value, i
 
     Such maps are closed under composition, so the recursion is a parallel prefix: rows -> blocks of
     ``size`` -> groups of ``fanout`` blocks -> key. ``pieces(value)`` returns the three columns; a NULL
-    ``c`` means there is no lower bound.
+    ``c`` means there is no lower bound. A NULL value leaves the state as it was.
     """
     low = F.lit(float("-inf"))
     rn, keep = "__rn", df.columns
     df = df.withColumn("__key", F.struct(*keys))  # a struct key also matches rows whose key is NULL
     keys = ["__key"]
     df = row_index(df, keys, order, block, rn)
-    a, b, c = pieces(as_col(value))
+    value = as_col(value)
+    a, b, c = pieces(value)
+    a, b, c = F.when(value.isNull(), 1.0).otherwise(a), F.when(value.isNull(), 0.0).otherwise(b), F.when(value.isNotNull(), c)
     df = df.withColumn("__m", F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), F.coalesce(c, low).cast("double").alias("c")))
     df = df.withColumn("__b1", F.floor((F.col(rn) - 1) / F.lit(size))).withColumn("__b2", F.floor((F.col(rn) - 1) / F.lit(size * fanout)))
 

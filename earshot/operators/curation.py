@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_col, ratio, rnd
+from .joins import match
 
 KEY, SCOPE = "__draw", "__scope"
 ALL_ROWS, NO_ROWS = "z", ""  # above and below every hex digest
@@ -43,12 +44,12 @@ def hash_cuts(df: DataFrame, strata: list[str], key: str, wanted: DataFrame, his
     hist = key_histogram(df, strata, key, digits) if hist is None else hist
     earlier = Window.partitionBy(*strata).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     spans = hist.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    hit = spans.join(wanted, strata).filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
+    hit = match(spans, wanted, strata).filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
     hit = hit.select(*strata, "prefix", "cut", (F.col("rank") - F.col("before")).alias("local_rank"))
     inside = Window.partitionBy(*strata, "prefix", "cut").orderBy("k")
     slim = df.select(*strata, F.col(key).alias("k"), F.substring(key, 1, digits).alias("prefix"))
-    found = slim.join(hit, [*strata, "prefix"]).withColumn("rn", F.row_number().over(inside)).filter("rn = local_rank")
-    full = wanted.join(found.select(*strata, "cut", "k"), [*strata, "cut"], "left")
+    found = match(slim, hit, [*strata, "prefix"]).withColumn("rn", F.row_number().over(inside)).filter("rn = local_rank")
+    full = match(wanted, found.select(*strata, "cut", "k"), [*strata, "cut"], "left")
     cut_key = F.when(F.col("rank") <= 0, F.lit(NO_ROWS)).otherwise(F.coalesce(F.col("k"), F.lit(ALL_ROWS)))
     return full.select(*strata, "cut", cut_key.alias("cut_key"))
 
@@ -70,7 +71,7 @@ def take_quota(df: DataFrame, strata: list[str], quotas: DataFrame, ident, seed=
     keyed = df.withColumn(KEY, draw_key(ident, seed))
     wanted = quotas.select(*strata, F.lit("q").alias("cut"), F.col("quota").alias("rank"))
     cuts = hash_cuts(keyed, strata, KEY, wanted).select(*strata, "cut_key")
-    return keyed.join(cuts, strata).filter(F.col(KEY) <= F.col("cut_key")).drop(KEY, "cut_key")
+    return match(keyed, cuts, strata).filter(F.col(KEY) <= F.col("cut_key")).drop(KEY, "cut_key")
 
 
 def take_random(df: DataFrame, n, ident, seed=42) -> DataFrame:
@@ -113,7 +114,7 @@ def stratified_split(df: DataFrame, ident, label: str | None = "label", train=0.
     keyed = _scoped(df, ident, seed)
     strata = [label] if label else [SCOPE]
     cuts = _two_cuts(keyed, strata, F.floor(F.col("size") * train), F.floor(F.col("size") * (train + dev)))
-    return _clean(keyed.join(cuts, strata).withColumn("split", _name_split()).drop("cut_a", "cut_b"))
+    return _clean(match(keyed, cuts, strata).withColumn("split", _name_split()).drop("cut_a", "cut_b"))
 
 
 def fixed_split(df: DataFrame, ident, train: int = 1400, dev: int = 300, seed=42) -> DataFrame:
@@ -161,7 +162,7 @@ def quota_with_refill(df: DataFrame, group: str, target, ident, seed=42, remaind
     counts = _sizes(hist, [group]).select(F.lit("all").alias(SCOPE), group, F.col("size").alias("n")).withColumn("target", target)
     quotas = _even_quota(counts, group, F.col("target"), remainder, [SCOPE])
     cuts = hash_cuts(keyed, [group], KEY, quotas.select(group, F.lit("q").alias("cut"), F.col("quota").alias("rank")), hist)
-    marked = keyed.join(cuts.select(group, "cut_key"), [group]).withColumn("chosen", F.col(KEY) <= F.col("cut_key"))
+    marked = match(keyed, cuts.select(group, "cut_key"), [group]).withColumn("chosen", F.col(KEY) <= F.col("cut_key"))
     taken = F.sum(F.least("n", "quota"))
     missing = quotas.groupBy(SCOPE).agg((F.max("target") - taken).alias("rank")).select(SCOPE, F.lit("r").alias("cut"), "rank")
     pool_cut = hash_cuts(marked.filter(~F.col("chosen")), [SCOPE], KEY, missing).select("cut_key").scalar()

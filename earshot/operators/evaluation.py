@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_col, ratio, rnd
 from . import blocks
+from .joins import match
 
 # Known generator systems (type, acoustic model, vocoder, split).
 GENERATOR_PROFILES = [
@@ -79,7 +80,7 @@ def roc_curve(df: DataFrame, slices: list[str] = (), label="label", score="score
     points = blocks.running(points, slices, [down], F.floor(down * 4096), tp=("sum", "pos"), fp=("sum", "neg"))
     totals = points.groupBy(*slices).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if slices:
-        points = points.join(totals, slices)
+        points = match(points, totals, slices)
     else:  # one row: a scalar subquery, not a join
         points = points.withColumn("__n", totals.select(F.struct("n_pos", "n_neg")).scalar()).select("*", "__n.*").drop("__n")
     if drop_intermediate:
@@ -94,28 +95,44 @@ def roc_curve(df: DataFrame, slices: list[str] = (), label="label", score="score
     return points.withColumns({"tpr": tpr, "fpr": fpr}).withColumn("fnr", F.lit(1.0) - F.col("tpr"))
 
 
-def roc_auc(points: DataFrame, slices: list[str] = (), digits: int = 6) -> DataFrame:
-    """AGG-10: trapezoid area. Each point knows its own step, so no look-back is needed."""
+def _area() -> Column:
+    """Trapezoid area of all points. Each point knows its own step, so no look-back is needed."""
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     n = F.max(F.col("n_pos").cast("double")) * F.max(F.col("n_neg").cast("double"))
-    return points.groupBy(*slices).agg(rnd(area / F.nullif(n, F.lit(0.0)), digits).alias("roc_auc"))
+    return area / F.nullif(n, F.lit(0.0))
 
 
-def equal_error_rate(points: DataFrame, slices: list[str] = (), digits: int = 6) -> DataFrame:
-    """AGG-11 / SRT-06: the highest threshold with the smallest |fnr - fpr|; NULL for one class."""
-    pick = F.min_by(
+def _even_point() -> Column:
+    """The highest threshold with the smallest |fnr - fpr|."""
+    return F.min_by(
         F.struct("threshold", ((F.col("fpr") + F.col("fnr")) / 2.0).alias("eer")),
         F.struct(F.abs(F.col("fnr") - F.col("fpr")).alias("gap"), (-F.col("threshold")).alias("order")),
     )
-    best = points.groupBy(*slices).agg(pick.alias("best"), (F.max("n_pos") * F.max("n_neg") > 0).alias("both_classes"))
+
+
+def curve_metrics(points: DataFrame, slices: list[str] = (), digits: int = 6) -> DataFrame:
+    """AGG-10 / AGG-11 / SRT-06 in one aggregation: roc_auc, eer, eer_threshold, both_classes; NULL for one class."""
+    best = points.groupBy(*slices).agg(
+        rnd(_area(), digits).alias("roc_auc"), _even_point().alias("best"), (F.max("n_pos") * F.max("n_neg") > 0).alias("both_classes"))
     return best.select(
         *slices,
+        "roc_auc",
         F.when(F.col("both_classes"), rnd("best.eer", digits)).alias("eer"),
         F.when(F.col("both_classes"), F.col("best.threshold")).alias("eer_threshold"),
         "both_classes",
     )
 
 
+def roc_auc(points: DataFrame, slices: list[str] = (), digits: int = 6) -> DataFrame:
+    """AGG-10."""
+    return points.groupBy(*slices).agg(rnd(_area(), digits).alias("roc_auc"))
+
+
+def equal_error_rate(points: DataFrame, slices: list[str] = (), digits: int = 6) -> DataFrame:
+    """AGG-11 / SRT-06; NULL for one class."""
+    return curve_metrics(points, slices, digits).drop("roc_auc")
+
+
 def slice_rows(df: DataFrame, rules: dict[str, dict[str, Column]]) -> DataFrame:
     """AGG-12: one row per slice a scored row belongs to, carrying only label and score.
 
@@ -131,9 +148,8 @@ def slice_rows(df: DataFrame, rules: dict[str, dict[str, Column]]) -> DataFrame:
 def sliced_metrics(rows: DataFrame, slices: list[str], tau, min_rows: int = 5) -> DataFrame:
     """AGG-12 / AGG-16: all metrics per slice, only where a slice has at least ``min_rows`` rows."""
     base = rates(confusion(rows, slices, F.col("score") >= as_col(tau))).filter(F.col("n") >= min_rows)
-    points = roc_curve(rows, slices)
-    ranked = roc_auc(points, slices).join(equal_error_rate(points, slices), slices)
-    return base.join(ranked, slices)
+    ranked = curve_metrics(roc_curve(rows, slices), slices)
+    return match(base, ranked, slices)
 
 
 def evaluation_report(df: DataFrame, tau) -> DataFrame:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +23,8 @@ def file_hashes(spark: SparkSession, root: str, pattern: str = "*.{wav,flac}") -
     return reader.load(root).select(file_name("path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
-def parse_riff(head: bytes) -> tuple[int, int, int, int, int] | None:
-    """(format, channels, rate, bits, data bytes) of a RIFF/WAVE header, None when it is not one."""
+def parse_riff(head: bytes) -> tuple[int, int, int, int, int, int] | None:
+    """(format, channels, rate, bits, data bytes, place of the data) of a RIFF/WAVE header, None when it is not one."""
     if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return None
     at, fmt = 12, None
@@ -36,27 +34,70 @@ def parse_riff(head: bytes) -> tuple[int, int, int, int, int] | None:
             kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", head[at + 8 : at + 24])
             fmt = (kind, channels, rate, bits)
         elif name == b"data":
-            return (*fmt, size) if fmt else None
+            return (*fmt, size, at + 8) if fmt else None
         at += 8 + size + size % 2
     return None
 
 
-def header_audit(files: DataFrame) -> DataFrame:
-    """SRC-17: duration, rate, channels and sample type from RIFF headers; NULLs for unreadable files.
+_HEAD_BYTES = 4096
+_HEADER = "struct<format:int,channels:int,rate:int,bits:int,size:bigint,at:bigint>"
+
 
-    Only the first 4 KiB of each file are handed to Python.
+def riff_header(content) -> Column:
+    """Header fields of a WAVE file's bytes, NULL when it has none.
+
+    Most headers lie in the first 4 KiB, which is all that goes to Python for them; where chunks before the data are
+    longer, the whole file goes. The result does not depend on which way was taken.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, head in zip(pdf["path"], pdf["head"]):
-                h = parse_riff(bytes(head))
-                ok = h is not None and h[1] * h[2] * h[3] > 0
-                rows.append((path, h[4] / (h[1] * h[2] * h[3] / 8.0), h[2], h[1], f"PCM_{h[3]}" if h[0] == 1 else "OTHER") if ok else (path, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["path", "duration", "rate", "channels", "subtype"])
+    @F.arrow_udf(_HEADER)
+    def read(heads):
+        import pyarrow as pa
+
+        kind = pa.struct([(n, pa.int64() if n in ("size", "at") else pa.int32()) for n in ("format", "channels", "rate", "bits", "size", "at")])
+        names = [f.name for f in kind]
+        found = (parse_riff(h.as_py()) if h.is_valid else None for h in heads)
+        return pa.array([dict(zip(names, f)) if f else None for f in found], kind)
 
-    return files.select("path", F.substring("content", 1, 4096).alias("head")).mapInPandas(run, "path string, duration double, rate int, channels int, subtype string")
+    c = F.col(content) if isinstance(content, str) else content
+    first = read(F.substring(c, 1, _HEAD_BYTES))
+    longer = F.when(first.isNull() & (F.octet_length(c) > _HEAD_BYTES), c)
+    return F.coalesce(first, read(longer))
+
+
+def header_audit(files: DataFrame) -> DataFrame:
+    """SRC-17: duration, rate, channels and sample type from RIFF headers; NULLs for unreadable files."""
+    h = files.select("path", riff_header("content").alias("h"))
+    frame = F.col("h.channels") * F.col("h.rate").cast("double") * F.col("h.bits")
+    ok = frame > 0
+    return h.select(
+        "path",
+        F.when(ok, F.col("h.size") / (frame / 8.0)).alias("duration"),
+        F.when(ok, F.col("h.rate")).alias("rate"),
+        F.when(ok, F.col("h.channels")).alias("channels"),
+        F.when(ok, F.when(F.col("h.format") == 1, F.concat(F.lit("PCM_"), F.col("h.bits").cast("string"))).otherwise("OTHER")).alias("subtype"),
+    )
+
+
+def wav_samples(files: DataFrame, rate: int = 16000) -> tuple[DataFrame, DataFrame]:
+    """SRC-16: (path, ``pcm``) of mono 16-bit WAV files at ``rate``, and (path, ``reason``) of all others.
+
+    Reasons: NOT_WAV, NOT_PCM16, NOT_MONO, WRONG_RATE, TRUNCATED (fewer bytes than the header states), NO_SAMPLES.
+    ``pcm`` holds raw little-endian samples, which ``kernels.decode_pcm`` and ``live_chunks`` take.
+    """
+    read = files.select("path", "content", riff_header("content").alias("h"))
+    whole = F.col("h.at") + F.col("h.size") <= F.octet_length("content")
+    reason = (
+        F.when(F.col("h").isNull(), "NOT_WAV")
+        .when((F.col("h.format") != 1) | (F.col("h.bits") != 16), "NOT_PCM16")
+        .when(F.col("h.channels") != 1, "NOT_MONO")
+        .when(F.col("h.rate") != rate, "WRONG_RATE")
+        .when(~whole, "TRUNCATED")
+        .when(F.col("h.size") < 2, "NO_SAMPLES")
+    )
+    read = read.withColumn("reason", reason)
+    pcm = whole_samples(F.substring("content", F.col("h.at").cast("int") + 1, F.col("h.size").cast("int")))
+    return read.filter("reason IS NULL").select("path", pcm.alias("pcm")), read.filter("reason IS NOT NULL").select("path", "reason")
 
 
 def wav_bytes(pcm_int16, rate: int = 16000) -> Column:

@@ -87,6 +87,37 @@ def test_asymmetric_average_is_exact(hot):
     assert np.abs(got.ema_prob - replay(pdf, 0.08, step)).max() < 1e-12
 
 
+def test_null_values_leave_the_state_as_it_was_at_any_block_size(hot):
+    df, pdf = hot
+    df = df.withColumn("v", F.when(F.col("id") % 7 != 3, F.col("v")))
+    pdf = pdf.assign(v=pdf.v.where(pdf.id % 7 != 3))
+    risk = lambda x, v: x if pd.isna(v) else max(x, v) if v >= 60 else (0.45 * v + 0.55 * x if v < 30 else 0.35 * v + 0.65 * x)
+    prob = lambda x, v: x if pd.isna(v) else (0.7 if v / 100 > x else 0.35) * (v / 100) + (0.3 if v / 100 > x else 0.65) * x
+    want_risk, want_prob = replay(pdf, 5.0, risk), replay(pdf, 0.08, prob)
+    step = lambda x, v: F.when(v > x, v * 0.70 + x * (1.0 - 0.70)).otherwise(v * 0.35 + x * (1.0 - 0.35))
+    for size in (16, 256):
+        got = by_id(B.fold_max_affine(df, ["k"], ORDER, block(), "v", 5.0, O.risk_ema_pieces, "x", size=size, fanout=8), "x")
+        assert np.abs(got.x - want_risk).max() < 1e-9
+    for size in (128, 512):
+        got = by_id(B.fold_contracting(df, ["k"], ORDER, block(), F.col("v") / 100, 0.08, step, "x", size=size), "x")
+        assert np.abs(got.x - want_prob).max() < 1e-12
+
+
+def test_a_scan_shuffles_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.range(1000).selectExpr("id % 3 AS k", "id AS t", "repeat('w', 50) AS wide").write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = B.running(spark.read.parquet(path), ["k"], ["t"], F.floor(F.col("t") / 97), s=("sum", "t"))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        wide = [line for line in plan.split("+- == Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the rows once; the block totals by block, by key, and again by block for the join
+    assert len(wide) == 4, plan
+
+
 def test_interval_merge_edges(spark):
     rows = [(1, 1000, 2000), (1, 2490, 3000), (1, 3491, 4000), (2, 0, 100)]
     df = spark.createDataFrame(rows, "k int, s long, e long")

@@ -93,3 +93,23 @@ def test_head_per_group_uses_limited_groups(clips):
     h = K.head_per_group(clips, ["speaker_id"], ["audio_id"], 3)
     assert max(counts(h, "speaker_id").values()) == 3
     assert "WindowGroupLimit" in h._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_strata_are_strata(clips):
+    odd = clips.withColumns({"label": F.when(F.col("audio_id") % 10 != 0, F.col("label")), "system_id": F.when(F.col("audio_id") % 9 != 1, F.col("system_id"))})
+    s = K.stratified_split(odd, "audio_id")
+    assert s.count() == 2000 and counts(s, "label", "split")[(None, "train")] == 140
+    even = K.balance_classes(odd, "audio_id")
+    c = counts(even, "label")
+    assert c[(0,)] == c[(1,)] == odd.filter("label = 0").count()
+    quota = odd.select("system_id").distinct().withColumn("quota", F.lit(5))
+    taken = counts(K.take_quota(odd, ["system_id"], quota, "audio_id"), "system_id")
+    assert set(taken.values()) == {5} and (None,) in taken
+
+
+def test_null_slices_keep_their_metrics(spark):
+    from earshot.operators import evaluation as E
+
+    rows = spark.createDataFrame([(i % 2, (i % 10) / 10, None if i % 3 else "x") for i in range(60)], "label int, score double, language string")
+    got = {r.language: r for r in E.sliced_metrics(rows, ["language"], 0.5).collect()}
+    assert got[None].n == 40 and got["x"].n == 20 and got[None].roc_auc is not None

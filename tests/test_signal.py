@@ -141,6 +141,22 @@ def test_wav_headers(spark):
     assert (got["a"].duration, got["a"].rate, got["a"].channels, got["a"].subtype) == (1.0, 16000, 1, "PCM_16") and got["b"].duration is None
 
 
+def test_header_behind_a_long_chunk(spark):
+    import struct
+
+    plain = b"RIFF" + struct.pack("<I", 0) + b"WAVE"
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16)
+    data = b"data" + struct.pack("<I", 8) + bytes(range(8))
+    for size in (3, 4000, 5000, 70_001):
+        chunk = b"LIST" + struct.pack("<I", size) + b"data" * (size // 4) + b"x" * (size % 4 + size % 2)
+        files = spark.createDataFrame([("a", bytearray(plain + chunk + fmt + data)), ("b", bytearray(plain + chunk)), ("c", bytearray(b"z" * 9000)), ("d", None)], "path string, content binary")
+        got = {r.path: r for r in media.header_audit(files).collect()}
+        assert got["a"].duration == 8 / 32000 and all(got[p].rate is None for p in "bcd")
+        good, bad = media.wav_samples(files)
+        assert [(r.path, bytes(r.pcm)) for r in good.collect()] == [("a", bytes(range(8)))]
+        assert {r.path: r.reason for r in bad.collect()} == dict.fromkeys("bcd", "NOT_WAV")
+
+
 def test_noise_is_seeded(spark):
     df = spark.createDataFrame([(1, [0.0] * 100, 0.01), (2, [0.0] * 100, 0.0)], "id int, pcm array<float>, noise_amp double")
     a, b = (sorted((r.id, tuple(r.pcm)) for r in X.add_noise(x, "id").collect()) for x in (df, df.repartition(3)))
