@@ -5,6 +5,8 @@ Everything stateless around the per-call recursion is column code shared by stre
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +21,7 @@ from ..functions.hashing import event_payload
 from ..functions.numeric import rnd
 from ..functions.text import clock
 from ..operators import ledger as L
-from ..session import scratch
+from ..session import materialise, scratch
 from . import state as S
 
 CHUNK_COLUMNS = ["call_id", "seq", "event_ts", "dur", "rms", "peak", "clipped", "emb", "prob", "risk", "action", "role", "financial", "language"]
@@ -40,6 +42,18 @@ def run_once(stream: DataFrame, label: str, path: str | None = None, checkpoint:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def closed_stream(chunks: DataFrame, label: str, delay: str = "10 seconds") -> DataFrame:
+    """A bounded table as a stream that ends: its rows in one trigger, then a row far enough in the future to let the
+    watermark pass them all. That row has no call and is a control row, so it gives no output."""
+    spark, path = chunks.sparkSession, scratch(chunks.sparkSession, label)
+    chunks = _with_all_columns(chunks)
+    chunks.write.parquet(path)
+    last = spark.read.schema(chunks.schema).parquet(path).agg((F.max("event_ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 SECOND")).alias("event_ts"))
+    known = {"event_ts": F.col("event_ts"), "action": F.lit("configure"), "seq": F.lit(-1)}
+    last.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in chunks.schema.fields]).write.mode("append").parquet(path)
+    return spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+
+
 # --- windows (STM-01) ----------------------------------------------------------------------------
 
 def rolling_risk(chunks: DataFrame, length: str = "3 seconds", hop: str = "1 second", delay: str = "5 seconds", tau=0.5102) -> DataFrame:
@@ -67,33 +81,59 @@ def _records(pdf: pd.DataFrame) -> list[dict]:
 
 
 class CallProcessor(StatefulProcessor):
-    """STM-02 / STM-03: one state value per call; STM-09: an event-time timer clears idle calls."""
+    """STM-02 / STM-03: one state value per call; STM-09: an event-time timer clears idle calls.
+
+    Chunks wait in a list until the watermark has passed them and are then taken in order of ``seq``, so the result does
+    not depend on how rows were dealt over triggers. What waits is bounded by the delay; only rows behind the watermark
+    are lost.
+    """
 
     def __init__(self, kind: str, idle_ms: int = IDLE_MS):
         self.kind, self.idle_ms = kind, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("call", StructType([StructField("json", StringType())]))
+        text = StructType([StructField("json", StringType())])
+        self.value, self.pending = handle.getValueState("call", text), handle.getListState("pending", text)
+
+    def _wake(self, at_ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = min((json.loads(r[0])["us"] for r in self.pending.get()), default=None)
+        for pdf in rows:
+            records = _records(pdf)
+            if records:
+                first = min([r["us"] for r in records] + ([] if first is None else [first]))
+                self.pending.appendList([(json.dumps(r, default=lambda v: v.tolist()),) for r in records])
+        if first is not None:
+            self._wake(first // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         start, step = S.KINDS[self.kind]
+        watermark = timerValues.getCurrentWatermarkInMs()
+        waiting = [json.loads(r[0]) for r in self.pending.get()]
+        due = sorted((r for r in waiting if r["us"] // 1000 <= watermark), key=lambda r: r["seq"])
+        later = [r for r in waiting if r["us"] // 1000 > watermark]
+        if not due and not later:
+            self.value.clear()
+            return
         state = S.load(self.value.get()[0]) if self.value.exists() else start()
-        # rows of one trigger only; their number is set by the source's rate limit
-        batch = sorted((r for pdf in rows for r in _records(pdf)), key=lambda r: r["seq"])
-        out = [o for o in (step(state, r) for r in batch) if o is not None]
+        out = [o for o in (step(state, r) for r in due) if o is not None]
         self.value.update((S.dump(state),))
-        if state["last_us"] is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(state["last_us"] // 1000 + self.idle_ms)
+        if later:
+            self.pending.put([(json.dumps(r),) for r in later])
+            self._wake(min(r["us"] for r in later) // 1000)
+        else:
+            self.pending.clear()
+            idle_from = max([state["last_us"] or 0, *(r["us"] for r in due)])
+            self._wake(max(idle_from // 1000 + self.idle_ms, watermark + 1))
         if out:
             yield pd.DataFrame(out).assign(call_id=key[0])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.value.clear()
-        return iter([])
-
     def close(self) -> None:
         pass
 
@@ -111,7 +151,8 @@ def _schema(chunks: DataFrame, kind: str) -> StructType:
 
 
 def track_calls(chunks: DataFrame, kind: str, delay: str = "10 seconds", idle_ms: int = IDLE_MS) -> DataFrame:
-    """Streaming form. Rows later than the watermark are dropped; older than the call's state, counted."""
+    """Streaming form: each chunk is answered once the watermark has passed it. Rows behind the watermark are dropped;
+    a bounded input needs a last row in the future (``closed_stream``)."""
     use_rocksdb(chunks.sparkSession)
     df = _with_all_columns(chunks).withWatermark("event_ts", delay)
     return df.groupBy("call_id").transformWithStateInPandas(
@@ -179,39 +220,91 @@ def session_alerts(telemetry: DataFrame) -> DataFrame:
     return telemetry.filter(F.col("remote_prob") >= 0.70)
 
 
-def ledger_writer(path: str, genesis_us: int, order: list[str]) -> Callable[[DataFrame, int], None]:
+HEAD_COLUMNS = ["ledger_id", "index", "current_hash", "ts_us"]
+
+
+def _batches(spark, path: str) -> list[int]:
+    """Numbers of the ``batch=N`` folders below ``path``."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(name):
+        return []
+    return sorted(int(f.getPath().getName()[6:]) for f in store.listStatus(name) if f.getPath().getName().startswith("batch="))
+
+
+def _heads(blocks: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("index", "current_hash", "ts_us"), "pos")
+    return blocks.groupBy("ledger_id").agg(last.alias("h")).select("ledger_id", "h.*")
+
+
+def ledger_writer(path: str, genesis_us: int, order: list[str], clock: Callable[[], int] | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` target that chains events (ledger_id, ts_us, event_type, payload) onto ledgers at ``path``.
 
-    Each batch owns one folder and overwrites it, so a repeated batch leaves the same ledger behind.
+    Each batch owns one folder and overwrites it, so a repeated batch leaves a ledger of the same events. A block's time
+    is when it is appended (``clock``, microseconds) and never before its predecessor's; ``ts_us`` only orders events.
+    The heads of all ledgers are written with each batch, so a batch does not read earlier blocks. At its first batch a
+    writer verifies what is there: events of broken ledgers (LDG-07), and events with a ``reason``, go to
+    ``path/_rejects`` instead.
     """
+    clock = clock or (lambda: time.time_ns() // 1000)
+    broken: list[DataFrame] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = "ledger_id {}, pos bigint, index bigint, ts_us bigint, event_type string, payload string, previous_hash string, current_hash string, batch bigint".format(
-            batch.schema["ledger_id"].dataType.simpleString())
+        spark, kind = batch.sparkSession, batch.schema["ledger_id"].dataType.simpleString()
+        written = [b for b in _batches(spark, path) if b < batch_id]
+        if not broken:
+            bad = spark.createDataFrame([], f"ledger_id {kind}")
+            if written:
+                blocks = spark.read.schema(f"ledger_id {kind}, pos bigint, index bigint, ts_us bigint, event_type string, payload string, previous_hash string, current_hash string, batch bigint").parquet(path)
+                bad = L.verify(blocks.filter(F.col("batch") < batch_id)).filter("NOT valid").select("ledger_id")
+            broken.append(materialise(bad, "broken-ledgers"))
+        head_schema = f"ledger_id {kind}, index bigint, current_hash string, ts_us bigint"
+        heads = spark.read.schema(head_schema).parquet(f"{path}/_heads/batch={written[-1]}") if written else spark.createDataFrame([], head_schema)
+        batch = batch.persist()
         try:
-            old = spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch_id)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            old = spark.createDataFrame([], schema)
-        new_ids = batch.select("ledger_id").distinct().join(old.select("ledger_id").distinct(), "ledger_id", "left_anti")
-        first = L.genesis(new_ids, F.lit(genesis_us)).select(*L.BLOCK_COLUMNS)
-        heads = L.heads(old).unionByName(first.select("ledger_id", "index", "current_hash"))
-        blocks = first.unionByName(L.append_events(heads, batch, order, F.floor(F.col("ts_us") / F.lit(3600e6))))
-        blocks.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            reason = F.col("reason") if "reason" in batch.columns else F.lit(None).cast("string")
+            batch_ = batch.withColumn("reason", reason).join(broken[0].withColumn("__bad", F.lit(True)), "ledger_id", "left")
+            batch_ = batch_.withColumn("reason", F.coalesce("reason", F.when(F.col("__bad"), F.lit("LEDGER_BROKEN")))).drop("__bad")
+            batch_.filter("reason IS NOT NULL").write.mode("overwrite").parquet(f"{path}/_rejects/batch={batch_id}")
+            events = batch_.filter("reason IS NULL").drop("reason").withColumnRenamed("ts_us", "__event_us")
+            first = L.genesis(events.select("ledger_id").distinct().join(heads, "ledger_id", "left_anti"), F.lit(genesis_us)).select(*L.BLOCK_COLUMNS)
+            known = heads.unionByName(first.select(*HEAD_COLUMNS))
+            now = F.greatest(F.col("__head_us"), F.lit(clock()))
+            events = events.join(known.select("ledger_id", F.col("ts_us").alias("__head_us")), "ledger_id").withColumn("ts_us", now)
+            added = L.append_events(known, events, ["__event_us" if c == "ts_us" else c for c in order], F.floor(F.col("__event_us") / F.lit(3600e6)))
+            first.unionByName(added).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            own = _heads(spark.read.parquet(f"{path}/batch={batch_id}"))
+            own.unionByName(heads.join(own, "ledger_id", "left_anti")).write.mode("overwrite").parquet(f"{path}/_heads/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
 
-def drain_queue(spark, queue_path: str, ledger_path: str, checkpoint: str, genesis_us: int, schema: str, ledger_of: Column) -> None:
-    """STM-11: chain every queued event once, in queue order. The checkpoint is what "cleared" means."""
-    pending = spark.readStream.schema(schema).json(queue_path).filter("event_type IS NOT NULL")
-    inner = F.regexp_replace(F.coalesce("payload", F.lit("{}")), r"^\s*\{\s*|\s*\}\s*$", "")
-    extra = F.concat(F.lit('"edge_synced":true,"original_queued_at":'), F.format_string("%.6f", "queued_at"))
-    merged = F.concat(F.lit("{"), F.when(inner == "", extra).otherwise(F.concat(inner, F.lit(","), extra)), F.lit("}"))
-    events = pending.select(ledger_of.alias("ledger_id"), (F.col("queued_at") * 1e6).cast("bigint").alias("ts_us"), "event_type", F.to_json(F.parse_json(merged)).alias("payload"))
-    query = events.writeStream.foreachBatch(ledger_writer(ledger_path, genesis_us, ["ts_us", "event_type", "payload"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def rejected_events(spark, path: str, ledger_type: str = "string") -> DataFrame:
+    """Events that a ledger writer at ``path`` turned away, with the reason."""
+    return spark.read.schema(f"ledger_id {ledger_type}, ts_us bigint, event_type string, payload string, reason string, batch bigint").parquet(f"{path}/_rejects")
+
+
+def synced_payload(payload, queued_at) -> Column:
+    """Canonical payload of a queued event with ``edge_synced`` and ``original_queued_at`` set, over older values of
+    these keys; NULL where the text is no JSON object or names a key twice."""
+    fields = F.try_variant_get(F.try_parse_json(F.coalesce(payload, F.lit("{}"))), "$", "map<string,variant>")
+    new = F.create_map(F.lit("edge_synced"), F.parse_json(F.lit("true")), F.lit("original_queued_at"), F.parse_json(F.format_string("%.6f", queued_at)))
+    kept = F.map_filter(fields, lambda k, _: ~k.isin("edge_synced", "original_queued_at"))
+    return F.to_json(F.to_variant_object(F.map_concat(kept, new)))
+
+
+def drain_queue(spark, queue_path: str, ledger_path: str, checkpoint: str, genesis_us: int, schema: str, ledger_of: Column, clock: Callable[[], int] | None = None, max_files: int = 1000) -> None:
+    """STM-11: chain every queued event once, in queue order. The checkpoint is what "cleared" means.
+
+    Events with an unusable payload are rejected with it; they do not stop the others.
+    """
+    pending = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(queue_path).filter("event_type IS NOT NULL")
+    synced = synced_payload(F.col("payload"), F.col("queued_at"))
+    events = pending.select(ledger_of.alias("ledger_id"), (F.col("queued_at") * 1e6).cast("bigint").alias("ts_us"), "event_type", "payload", synced.alias("synced"))
+    events = events.withColumn("reason", F.when(F.col("synced").isNull(), F.lit("INVALID_PAYLOAD"))).withColumn("payload", F.coalesce("synced", "payload")).drop("synced")
+    query = events.writeStream.foreachBatch(ledger_writer(ledger_path, genesis_us, ["ts_us", "event_type", "payload"], clock)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -53,14 +53,27 @@ def test_session_story(chunks):
 
 @pytest.mark.parametrize("kind", ["monitor", "session"])
 def test_stream_equals_replay(spark, chunks, kind):
-    path = scratch(spark, "chunks")
-    chunks.repartition(4).write.parquet(path)
-    streamed = J.run_once(J.track_calls(spark.readStream.schema(chunks.schema).parquet(path), kind, idle_ms=3_600_000), kind)
+    streamed = J.run_once(J.track_calls(J.closed_stream(chunks, "chunks"), kind, idle_ms=3_600_000), kind)
     replayed = J.replay_calls(chunks, kind)
     assert streamed.count() == replayed.count() > 0
     assert streamed.exceptAll(replayed.select(streamed.columns)).count() == 0
 
 
+def test_triggers_in_any_order_lose_nothing(spark):
+    """Forty chunks within the delay, dealt over four files in shuffled order, one file per trigger."""
+    rows = conversation("x") + [chunk("x", s, A if s % 2 else B, 50) for s in range(20, 40)]
+    path = scratch(spark, "shuffled")
+    for part in (2, 0, 3, 1):
+        J._with_all_columns(spark.createDataFrame([r for k, r in enumerate(rows) if k % 4 == part], SCHEMA)).coalesce(1).write.mode("append").parquet(path)
+    end = J._with_all_columns(spark.createDataFrame([("end", 0, T0 + dt.timedelta(hours=1), 0.0, 0.0, 0.0, 0.0, None, 0.0, 0.0)], SCHEMA)).withColumn("action", F.lit("configure"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    streamed = J.run_once(J.track_calls(stream, "monitor", idle_ms=3_600_000), "monitor")
+    replayed = J.replay_calls(spark.createDataFrame(rows, SCHEMA), "monitor")
+    assert streamed.count() == replayed.count() == 40
+    assert streamed.exceptAll(replayed.select(streamed.columns)).count() == 0
+
+
 def test_late_and_repeated_chunks_are_counted(spark):
     rows = [chunk("z", s, A, 5) for s in (1, 2, 2, 1, 3)]
     state = S.monitor_start()
@@ -112,13 +125,37 @@ def test_alert_filters(spark):
 
 
 def test_repeated_batch_leaves_the_same_ledger(spark):
-    path = scratch(spark, "idem")
-    write = J.ledger_writer(path, 1_600_000_000_000_000, ["ts_us"])
+    path, ticks = scratch(spark, "idem"), iter([50, 40, 30])
+    write = J.ledger_writer(path, 10, ["ts_us"], lambda: next(ticks))
     batch = spark.createDataFrame([("a", 1_700_000_000_000_000 + i, "E", "{}") for i in range(5)], "ledger_id string, ts_us long, event_type string, payload string")
     write(batch, 0)
     write(batch, 0)
-    write(batch.withColumn("ts_us", F.col("ts_us") + 1_000_000), 1)
+    write(batch.withColumn("ts_us", F.col("ts_us") - 1_000_000), 1)
     blocks = spark.read.parquet(path)
     assert blocks.count() == 11
+    times = [r.ts_us for r in blocks.orderBy("pos").collect()]
+    assert times == sorted(times) and times[-1] == 40  # the clock went back, the ledger did not
     from earshot.operators.ledger import verify
     assert verify(blocks).first().status == "CHAIN_INTEGRITY_OK"
+
+
+def test_broken_ledgers_refuse_events(spark):
+    path = scratch(spark, "broken")
+    batch = spark.createDataFrame([(n, i, "E", "{}") for n in "ab" for i in range(3)], "ledger_id string, ts_us long, event_type string, payload string")
+    J.ledger_writer(path, 10, ["ts_us"])(batch, 0)
+    from earshot.session import materialise
+    bad = F.when((F.col("ledger_id") == "a") & (F.col("pos") == 2), '{"x":1}').otherwise(F.col("payload"))
+    materialise(spark.read.parquet(f"{path}/batch=0").withColumn("payload", bad), "bad").write.mode("overwrite").parquet(f"{path}/batch=0")
+    J.ledger_writer(path, 10, ["ts_us"])(batch.withColumn("reason", F.when(F.col("ts_us") == 2, "INVALID_PAYLOAD")), 1)
+    got = {r.ledger_id: r["count"] for r in spark.read.parquet(path).groupBy("ledger_id").count().collect()}
+    assert got == {"a": 4, "b": 6}
+    reasons = sorted((r.ledger_id, r.reason) for r in J.rejected_events(spark, path).collect())
+    assert reasons == [("a", "INVALID_PAYLOAD"), ("a", "LEDGER_BROKEN"), ("a", "LEDGER_BROKEN"), ("b", "INVALID_PAYLOAD")]
+
+
+def test_queued_payloads(spark):
+    cases = ['{"k":1}', '{"edge_synced":false,"a":[1,{"b":null}]}', None, "", "[1]", "{cut", '{"k":1,"k":2}', '{"original_queued_at":5}']
+    df = spark.createDataFrame([(c,) for c in cases], "payload string").withColumn("queued_at", F.lit(1.5))
+    got = [r.p and json.loads(r.p) for r in df.select(J.synced_payload(F.col("payload"), F.col("queued_at")).alias("p")).collect()]
+    new = {"edge_synced": True, "original_queued_at": 1.5}
+    assert got == [{"k": 1, **new}, {"a": [1, {"b": None}], **new}, new, None, None, None, None, new]
