@@ -62,14 +62,12 @@ def snr_tier(spark, d):
 WITH {X64}, p AS (SELECT vec_id, list_concat([0e0 FOR i IN range(0, 6)], list_concat(x, [0e0 FOR i IN range(0, 6)])) AS x FROM x),
 e AS (SELECT vec_id, [sqrt(list_sum([v * v FOR v IN f]) / 12e0) FOR f IN {FR.format(h=6, n=12)}] AS e FROM p),
 q AS (SELECT vec_id, e, {pct('e', '0.95e0')} AS p95, {pct('e', '0.10e0')} AS p10 FROM e)
-SELECT vec_id, {r('len([v FOR v IN e IF v >= greatest(1e-4, p95 * 0.8e0)]) * 6 / 16000e0', 9)} AS usable_sec, {r('20e0 * log10((p95 + 1e-6) / (p10 + 1e-6))', 6)} AS snr_db FROM q""")
+SELECT vec_id, {r('len([v FOR v IN e IF v >= greatest(1e-4, p95 * 0.8e0)]) * 6 / 16000e0', 9)} AS usable_sec, {r('len([v FOR v IN e IF v >= greatest(1e-4, p95 * 0.8e0)]) * 1e0 / len(e)', 9)} AS speech_ratio, {r('20e0 * log10((p95 + 1e-6) / (p10 + 1e-6))', 6)} AS snr_db FROM q""")
 def gate_measures(spark, d):
     """SIG-05 (with a higher activity limit, so that short test clips have silent frames)."""
     df = tones(spark, d).withColumn("e", S.frame_rms("pcm", 12, 6))
-    g = S.gate_measures("e", 6)
-    limit = F.greatest(F.lit(1e-4), S.percentile_of("e", 0.95) * 0.8)
-    active = let(limit, lambda m: F.size(F.filter("e", lambda v: v >= m))) * 6 / F.lit(16000.0)
-    return df.select("vec_id", rnd(active, 9).alias("usable_sec"), rnd(g["snr_db"], 6).alias("snr_db"))
+    g = S.gate_measures("e", 6, activity=0.8)
+    return df.select("vec_id", rnd(g["usable_sec"], 9).alias("usable_sec"), rnd(g["speech_ratio"], 9).alias("speech_ratio"), rnd(g["snr_db"], 6).alias("snr_db"))
 
 
 @query("zero_crossings", f"""
@@ -154,6 +152,16 @@ def clip_features(spark, d):
     return f.select("doc_id", "n_samples", (F.col("band_share") > 0.88).alias("telephony"), F.size("f").alias("n_features"), *[rnd(F.col("f")[n], 6).alias(n) for n in names])
 
 
+@query("clip_features_3s")
+def clip_features_3s(spark, d):
+    """SIG-16 on clips of three seconds: benchmark texts as int16 samples, repeated to 96 000 bytes."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    whole = F.when(F.octet_length(raw) > 0, F.substring(F.encode(F.repeat("text", F.ceil(F.lit(96000) / F.octet_length(raw)).cast("int")), "utf-8"), F.lit(1), F.lit(96000)))
+    clips = balance_tasks(table(spark, d, "benchmark").select("item_id", whole.alias("raw"))).select("item_id", X.pcm_to_samples("raw").alias("pcm"))
+    f = X.clip_features(clips)
+    return f.select("item_id", "n_samples", F.size("f").alias("n_features"), rnd(F.col("f")["spectral_flatness"], 6).alias("spectral_flatness"), rnd(F.col("f")["mfcc_0_mean"], 6).alias("mfcc_0_mean"))
+
+
 @query("decoded_audio", """
 SELECT doc_id, CAST(strlen(text) // 2 AS INTEGER) AS n_samples FROM documents""")
 def decoded_audio(spark, d):

@@ -164,3 +164,32 @@ def moments(y: np.ndarray) -> tuple[float, float]:
     if var <= 0:
         return 0.0, 0.0
     return float((c**3).mean() / var**1.5), float((c**4).mean() / var**2 - 3.0)
+
+
+def mean(x: np.ndarray) -> float:
+    return float(np.mean(x)) if len(x) else 0.0
+
+
+def std(x: np.ndarray) -> float:
+    return float(np.std(x)) if len(x) else 0.0
+
+
+def relative_step(x: np.ndarray, eps: float = 1e-6) -> float:
+    """SIG-15: mean |difference| over mean; 0 for fewer than three values."""
+    return float(np.abs(np.diff(x)).mean() / (np.mean(x) + eps)) if len(x) > 2 else 0.0
+
+
+def normalise_peak(y: np.ndarray, target: float = 0.95, minimum: float = 0.03) -> np.ndarray:
+    """SIG-01."""
+    top = np.abs(y).max() if len(y) else 0.0
+    return y if top < minimum else y / top * target
+
+
+def voiced_or_whole(y: np.ndarray, top_db: float = 28.0, shortest: int = 8000, frame: int = 2048, hop: int = 512) -> np.ndarray:
+    """SIG-07: hops whose frame is within ``top_db`` of the loudest; the whole clip where too little is left."""
+    if not len(y):
+        return y
+    power = np.maximum(1e-10, frame_levels(y, frame, hop) ** 2)
+    keep = np.repeat(power > power.max() * 10 ** (-top_db / 10.0), hop)[: len(y)]
+    cut = y[: len(keep)][keep]
+    return cut if len(cut) >= max(shortest, 1) else y

@@ -91,11 +91,12 @@ def frame_rms(x, frame: int, hop: int, centred: bool = True) -> Column:
     return F.transform(frames(x, frame, hop, centred), rms)
 
 
-def gate_measures(frame_levels, hop: int = 240, rate: int = 16000) -> dict[str, Column]:
-    """SIG-05 from an array of 30/15 ms frame levels: usable seconds, speech ratio, SNR."""
+def gate_measures(frame_levels, hop: int = 240, rate: int = 16000, activity: float = 0.08) -> dict[str, Column]:
+    """SIG-05 from an array of 30/15 ms frame levels: usable seconds, speech ratio, SNR. Frames at ``activity`` times the
+    95th percentile are speech."""
     r = as_col(frame_levels)
     p95, p10 = percentile_of(r, 0.95), percentile_of(r, 0.10)
-    active = let(F.greatest(F.lit(1e-4), p95 * 0.08), lambda limit: F.size(F.filter(r, lambda v: v >= limit)))
+    active = let(F.greatest(F.lit(1e-4), p95 * activity), lambda limit: F.size(F.filter(r, lambda v: v >= limit)))
     some = (F.size(r) > 0) & (F.array_max(r) > 1e-5)
     return {
         "usable_sec": F.when(some, active * hop / F.lit(float(rate))).otherwise(0.0),

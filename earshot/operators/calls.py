@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk as R
 from ..functions.numeric import as_col, rnd
+from . import ordered
 
 SIGNALS = ["phase_var", "hf_ratio", "jitter", "contrast_std"]
 PAGE = 512
@@ -139,3 +140,22 @@ def session_summary(telemetry: DataFrame) -> DataFrame:
     return out.select(
         "call_id", R.session_verdict("p").alias("verdict"), F.when(clone, "AI-Cloned Voice Detected").otherwise("Call Verified Authentic").alias("verdict_title"),
         rnd("p", 1).alias("peak_risk"), rnd("f", 1).alias("final_risk"), alert.alias("alert_triggered"), rnd("sb", 1).alias("remote_speech_sec"), rnd("sa", 1).alias("local_speech_sec"))
+
+
+def call_events(telemetry: DataFrame, block: Column, most: int = 30, alert_at: float = 70.0) -> DataFrame:
+    """STM-10: the last ``most`` events per call from monitor telemetry: call_id, seq, timestamp, speaker, type, text, risk.
+
+    A change of speaker is an event: OVERLAP (risk 25), INFO, or ALERT when the remote party's risk is at ``alert_at`` or
+    more. An event with the text of the one before it is left out.
+    """
+    spoken = ordered.turn_changes(telemetry.filter("is_speech"), ["call_id"], ["seq"], block, "speaker").filter("changed = 1")
+    remote = F.concat(F.lit("Remote party ("), F.initcap(F.replace("role", F.lit("_"), F.lit(" "))), F.lit(")"))
+    overlap, local, hot = F.col("speaker") == "OVERLAP", F.col("speaker") == "A", F.col("risk_b") >= alert_at
+    events = spoken.select(
+        "call_id", "seq", "timestamp", "speaker",
+        F.when(overlap, "OVERLAP").when(~local & hot, "ALERT").otherwise("INFO").alias("type"),
+        F.when(overlap, "Both parties speak; not scored").when(local, "Local party speaks").otherwise(F.concat(remote, F.when(hot, " speaks: high risk of a cloned voice").otherwise(" speaks"))).alias("text"),
+        F.when(overlap, 25.0).when(local, F.col("risk_a")).otherwise(F.col("risk_b")).alias("risk"),
+    )
+    events = ordered.suppress_repeats(events, ["call_id"], ["seq"], block, "text")
+    return ordered.last_events(events, ["call_id"], [F.desc("seq")], most)

@@ -1,7 +1,7 @@
 """Feature jobs over clips (SIG-06, 09 .. 17, 19, AGG-25, SRT-01, PRJ-13, PRJ-15).
 
-One Arrow pass per clip yields per-frame arrays; every statistic on them is a built-in array
-expression of the same row, so the whole feature job runs without a shuffle.
+One Arrow pass per clip yields the statistics of its frames (``summarise_clips``), or the frames themselves as arrays
+(``describe_clips``), of which built-in array functions make statistics and vectors. No feature job shuffles.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from ..functions import kernels as K
 from ..functions import signal as S
@@ -21,6 +21,7 @@ from ..functions.vectors import unit
 
 N_MFCC = 20
 SAMPLES = ArrayType(FloatType())
+SOUND_FACTS = StructType([StructField("n", IntegerType()), StructField("finite", BooleanType()), StructField("rms", DoubleType()), StructField("peak", DoubleType())])
 DESCRIPTOR_TYPES = (
     "n_samples int, skewness double, kurtosis double, phase_var double, hf_ratio double, band_share double, "
     "zcr array<double>, rms array<double>, f0 array<double>, flatness array<double>, centroid array<double>, "
@@ -40,15 +41,44 @@ def pcm_to_samples_n(raw: pd.Series, channels: pd.Series) -> pd.Series:
     return pd.Series([K.decode_pcm(b or b"", int(c)) for b, c in zip(raw, channels)])
 
 
+@F.pandas_udf(SOUND_FACTS)
+def sound_facts(pcm: pd.Series) -> pd.DataFrame:
+    """SIG-02 and PRJ-15 in one pass over the samples; a missing clip is empty."""
+    rows = []
+    for y in pcm:
+        y = np.asarray([] if y is None else y, dtype=np.float64)
+        finite = bool(np.isfinite(y).all())
+        rows.append((len(y), finite, float(np.sqrt((y * y).mean())) if len(y) and finite else 0.0, float(np.abs(y).max()) if len(y) and finite else 0.0))
+    return pd.DataFrame(rows, columns=["n", "finite", "rms", "peak"])
+
+
+def reject_reason(facts: str) -> Column:
+    """PRJ-15 from ``sound_facts``; NULL for a usable clip."""
+    return F.when(F.col(f"{facts}.n") <= 0, "empty").when(~F.col(f"{facts}.finite"), "not finite")
+
+
 def usable_clips(clips: DataFrame, pcm: str = "pcm") -> tuple[DataFrame, DataFrame]:
     """PRJ-15: clips with finite, non-empty samples, and the rejected rest with a reason."""
-    empty = F.coalesce(F.size(pcm), F.lit(0)) <= 0
-    broken = F.exists(pcm, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    reason = F.when(empty, "empty").when(broken, "not finite")
-    tagged = clips.withColumn("reject_reason", reason)
+    tagged = clips.withColumn("__facts", sound_facts(pcm)).withColumn("reject_reason", reject_reason("__facts")).drop("__facts")
     return tagged.filter("reject_reason IS NULL").drop("reject_reason"), tagged.filter("reject_reason IS NOT NULL")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def normalised(pcm: pd.Series) -> pd.Series:
+    """SIG-01 on long clips."""
+    return pcm.map(lambda y: K.normalise_peak(np.asarray(y, dtype=np.float64)))
+
+
+def voiced_and_normalised(pcm, top_db: float = 28.0, shortest: int = 8000) -> Column:
+    """SIG-07 then SIG-01 on long clips: the silence-cut clip where enough remains, the clip itself otherwise."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def prepare(pcm: pd.Series) -> pd.Series:
+        return pcm.map(lambda y: K.normalise_peak(K.voiced_or_whole(np.asarray(y, dtype=np.float64), top_db, shortest)))
+
+    return prepare(pcm)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def silence_levels(pcm: pd.Series) -> pd.Series:
     """Frame levels for SIG-07 (2048 samples every 512), of clips of any length."""
@@ -118,6 +148,33 @@ def describe_clips(clips: DataFrame, pcm: str = "pcm", n_fft: int = 1024, hop: i
 
 
 SERIES = ["zcr", "rms", "flatness", "centroid", "bandwidth", "rolloff", "contrast"]
+SUMMARY_TYPES = (
+    "n_samples int, skewness double, kurtosis double, phase_var double, hf_ratio double, band_share double, "
+    "mu array<double>, sd array<double>, pitch array<double>, shimmer double, n_voiced int, n_pitch int"
+)
+
+
+def _summarise(described: dict) -> dict:
+    """AGG-25 of one clip's frames: what ``with_statistics`` makes of the per-frame arrays."""
+    series = [*(described[name] for name in SERIES), *described["mfcc"]]
+    f0 = np.asarray(described["f0"])
+    voiced = f0[(f0 > 65.0) & (f0 < 500.0)]
+    spread = [K.mean(voiced), K.std(voiced), float(voiced.max() - voiced.min()) if len(voiced) else None, K.relative_step(1.0 / (voiced + 1e-6))]
+    kept = {k: described[k] for k in ("n_samples", "skewness", "kurtosis", "phase_var", "hf_ratio", "band_share")}
+    return {**kept, "mu": [K.mean(x) for x in series], "sd": [K.std(x) for x in series], "pitch": spread, "shimmer": K.relative_step(described["rms"]), "n_voiced": len(voiced), "n_pitch": len(f0)}
+
+
+def summarise_clips(clips: DataFrame, pcm: str = "pcm", n_fft: int = 1024, hop: int = 512, fmax: float = 500.0) -> DataFrame:
+    """``with_statistics(describe_clips(...))`` in one pass over the samples that returns numbers per clip, not per frame."""
+    kept = [c for c in clips.columns if c != pcm]
+    schema = "".join(f"`{c}` {clips.schema[c].dataType.simpleString()}, " for c in kept) + SUMMARY_TYPES
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = pd.DataFrame([_summarise(_describe(y, n_fft, hop, fmax)) for y in pdf[pcm]], index=pdf.index)
+            yield pd.concat([pdf[kept], rows], axis=1)
+
+    return clips.mapInPandas(run, schema)
 
 
 def with_statistics(described: DataFrame) -> DataFrame:
@@ -132,17 +189,19 @@ def with_statistics(described: DataFrame) -> DataFrame:
             "pitch": F.array(S.mean("voiced"), S.std("voiced"), F.array_max("voiced") - F.array_min("voiced"),
                              S.relative_step(F.transform("voiced", lambda v: F.lit(1.0) / (v + 1e-6)))),
             "shimmer": S.relative_step("rms"),
+            "n_voiced": F.size("voiced"),
+            "n_pitch": F.size("f0"),
         }
     )
 
 
 def feature_map() -> Column:
-    """SIG-16: the 63 named features after ``with_statistics``, NaN and infinity set to 0."""
+    """SIG-16: the 63 named features after ``summarise_clips`` or ``with_statistics``, NaN and infinity set to 0."""
     at = {name: i for i, name in enumerate(SERIES)}
     mu = lambda name: F.col("mu")[at[name]]
     sd = lambda name: F.col("sd")[at[name]]
     level = lambda i: F.col("mu")[len(SERIES) + i]
-    enough = F.size("voiced") > 2
+    enough = F.col("n_voiced") > 2
     items: dict[str, Column] = {
         "acoustic_kurtosis": F.col("kurtosis"),
         "acoustic_skewness": F.col("skewness"),
@@ -151,7 +210,7 @@ def feature_map() -> Column:
         "acoustic_phase_derivative_var": F.col("phase_var"),
         "spectral_flatness": mu("flatness"),
         "spectral_hf_energy_ratio": F.col("hf_ratio"),
-        "prosody_voiced_ratio": F.size("voiced") / F.size("f0"),
+        "prosody_voiced_ratio": F.col("n_voiced") / F.col("n_pitch"),
         "prosody_shimmer": F.when(mu("rms") > 1e-6, F.col("shimmer")),
         "prosody_rms_mean": mu("rms"),
         "prosody_rms_std": sd("rms"),
@@ -170,7 +229,7 @@ def feature_map() -> Column:
 
 def clip_features(clips: DataFrame, pcm: str = "pcm") -> DataFrame:
     """Clips to feature maps."""
-    described = with_statistics(describe_clips(clips, pcm))
+    described = summarise_clips(clips, pcm)
     keep = [c for c in clips.columns if c != pcm]
     return described.select(*keep, "n_samples", "band_share", feature_map().alias("f"))
 

@@ -64,29 +64,33 @@ def append_events(heads: DataFrame, events: DataFrame, order: list[str], block:
 
 
 def check_blocks(ledger: DataFrame, foreign_ok: Column | None = None, block_rows: int = 4096) -> DataFrame:
-    """WIN-06: ``position`` and ``status`` (first failing check, or OK) per block.
+    """WIN-06: ledger_id, pos, ``position`` and ``status`` (first failing check, or OK) per block.
 
-    ``foreign_ok`` replaces the recomputed-hash test for ledgers written elsewhere.
+    ``foreign_ok`` replaces the recomputed-hash test for ledgers written elsewhere. What a block tells by itself is tested
+    before anything is shuffled, so event texts stay where they were read; only ids, times and hashes move.
     """
-    df = blocks.row_index(ledger, ["ledger_id"], ["pos"], blocks.int_block("pos", block_rows), "__n").withColumn("position", F.col("__n") - 1).drop("__n")
-    df = blocks.lagged(df, ["ledger_id"], ["position"], blocks.int_block("position", block_rows), __hash="current_hash", __ts="ts_us")
-    start, later = F.col("position") == 0, F.col("position") > 0
+    yes = lambda c: F.coalesce(c, F.lit(True))  # noqa: E731  a NULL field fails its check
+    no = lambda c: ~F.coalesce(c, F.lit(False))
     bad_genesis = (F.col("index") != 0) | (F.col("event_type") != "GENESIS") | (F.col("previous_hash") != ZERO_HASH)
     is_object = F.col("payload").startswith("{") & F.get_json_object("payload", "$").isNotNull()
     valid_schema = (F.col("ts_us") > 0) & (F.col("event_type") != "") & is_object
     same_hash = foreign_ok if foreign_ok is not None else F.col("current_hash") == block_hash("index", "ts_us", "event_type", "payload", "previous_hash")
-    yes = lambda c: F.coalesce(c, F.lit(True))  # noqa: E731  a NULL field fails its check
-    no = lambda c: ~F.coalesce(c, F.lit(False))
+    df = ledger.select("ledger_id", "pos", "index", "ts_us", "previous_hash", "current_hash", yes(bad_genesis).alias("__genesis"), no(valid_schema).alias("__schema"), no(same_hash).alias("__hash_bad"))
+
+    block = blocks.int_block("pos", block_rows)
+    df = blocks.row_index(df, ["ledger_id"], ["pos"], block, "__n").withColumn("position", F.col("__n") - 1).drop("__n")
+    df = blocks.lagged(df, ["ledger_id"], ["pos"], block, __hash="current_hash", __ts="ts_us")
+    start, later = F.col("position") == 0, F.col("position") > 0
     status = (
-        F.when(start & yes(bad_genesis), "GENESIS_BLOCK_INVALID")
+        F.when(start & F.col("__genesis"), "GENESIS_BLOCK_INVALID")
         .when(yes(F.col("index") != F.col("position")), "SEQUENCE_BROKEN")
-        .when(no(valid_schema), "INVALID_BLOCK_SCHEMA")
+        .when(F.col("__schema"), "INVALID_BLOCK_SCHEMA")
         .when(later & (F.col("ts_us") < F.col("__ts") - CLOCK_TOLERANCE_US), "TIMESTAMP_OUT_OF_ORDER")
         .when(later & yes(F.col("previous_hash") != F.col("__hash")), "BROKEN_CHAIN_LINK")
-        .when(no(same_hash), "CHAIN_TAMPER_DETECTED")
+        .when(F.col("__hash_bad"), "CHAIN_TAMPER_DETECTED")
         .otherwise("OK")
     )
-    return df.withColumn("status", status).drop("__hash", "__ts")
+    return df.select("ledger_id", "pos", "position", status.alias("status"))
 
 
 def verify(ledger: DataFrame, ledgers: DataFrame | None = None, foreign_ok: Column | None = None) -> DataFrame:

@@ -67,16 +67,17 @@ def speech_spans(pcm, rules: SegmentRules, levels=None) -> Column:
 def call_measures(frame: int, hop: int, rules: SegmentRules):
     """One Arrow pass per call: SIG-06 band share, gate levels (SIG-05) and segment levels."""
 
-    @F.pandas_udf("band_share double, gate_levels array<double>, levels array<double>")
+    @F.pandas_udf("band_share double, gate_levels array<double>, levels array<double>, clipped double, n int")
     def measure(pcm: pd.Series) -> pd.DataFrame:
         rows = []
         for y in pcm:
-            y = np.asarray(y, dtype=np.float64)
-            if len(y):
-                rows.append((energy_share(y[: 4 * RATE], 300.0, 3400.0, 1e-9), frame_levels(y, frame, hop), frame_levels(y, rules.frame, rules.hop)))
+            y = np.asarray([] if y is None else y, dtype=np.float64)
+            # samples that are not finite count as none, so such a call fails the gate (PRJ-15)
+            if len(y) and np.isfinite(y).all():
+                rows.append((energy_share(y[: 4 * RATE], 300.0, 3400.0, 1e-9), frame_levels(y, frame, hop), frame_levels(y, rules.frame, rules.hop), float((np.abs(y) >= 0.985).mean()), len(y)))
             else:
-                rows.append((0.0, [], []))
-        return pd.DataFrame(rows, columns=["band_share", "gate_levels", "levels"])
+                rows.append((0.0, [], [], 0.0, 0))
+        return pd.DataFrame(rows, columns=["band_share", "gate_levels", "levels", "clipped", "n"])
 
     return measure
 
@@ -84,7 +85,7 @@ def call_measures(frame: int, hop: int, rules: SegmentRules):
 def gate(calls: DataFrame, frame: int = 480, hop: int = 240, min_speech: float = Q.MIN_SPEECH_SEC, rules: SegmentRules = SegmentRules()) -> DataFrame:
     """PRJ-06 with SIG-03, SIG-05 and SIG-06 measured on the audio; adds ``quality`` and ``levels``, no shuffle."""
     df = calls.withColumn("__m", call_measures(frame, hop, rules)("pcm"))
-    df = df.withColumns({"clipping_percent": S.clipping_ratio("pcm", 0.985) * 100, "total_sec": F.size("pcm") / float(RATE), "telephony": F.col("__m.band_share") > 0.88})
+    df = df.withColumns({"clipping_percent": F.col("__m.clipped") * 100, "total_sec": F.col("__m.n") / float(RATE), "telephony": F.col("__m.band_share") > 0.88})
     df = df.withColumns(S.gate_measures("__m.gate_levels", hop))
     df = df.withColumns(Q.quality_gate("usable_sec", "snr_db", "clipping_percent", "telephony", min_speech=min_speech, total_sec="total_sec"))
     return df.select(*calls.columns, F.col("__m.levels").alias("levels"), F.struct(*GATE_FIELDS).alias("quality"))

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
-from ..functions import signal as S
 from ..functions.hashing import event_payload
 from ..functions.quality import near_silent
 from ..operators import calls
-from ..operators.features import clip_features, cut_spans, silence_levels, sliding_spans
+from ..operators.features import clip_features, cut_spans, normalised, reject_reason, sliding_spans, sound_facts, voiced_and_normalised
 from ..operators.models import SpoofModel
 from ..session import materialise
 
 RESULT = ["audio_id", "model_prob", "spoof_prob", "risk_score", "risk_level", "alert", "signal_breakdown", "explanation"]
+# Fixed value: the note of the published result format.
 SILENT_NOTE = "Audio level is near silent / ambient room noise. No synthetic voice detected. Please speak closer to the microphone."
 
 
@@ -30,18 +30,19 @@ def _piece_spans(window: int, minimum: int):
 def analyse_clips(clips: DataFrame, model: SpoofModel, window: int = 48000, minimum: int = 56000, shortest: int = 8000) -> DataFrame:
     """``clips``: audio_id, pcm, language, unknown_number, high_value, prior_fraud, ext_prob.
 
-    Audio is read once. A near-silent clip keeps its row but hands no samples to the feature job. The
-    only shuffle is one aggregation of at most six score rows per clip.
+    Audio is read once. Clips without samples or with samples that are not finite give no result: ``usable_clips`` lists
+    them with the reason (PRJ-15). A near-silent clip keeps its row but hands no samples to the feature job. The only
+    shuffle is one aggregation of at most six score rows per clip.
     """
     facts = [c for c in clips.columns if c != "pcm"]
-    df = clips.withColumn("silent", near_silent("batch", S.rms("pcm"), S.peak("pcm")))
-    df = df.withColumn("__levels", silence_levels("pcm"))
-    nothing = F.array().cast("array<double>")
-    df = df.withColumn("pcm", F.when(F.col("silent"), nothing).otherwise(S.normalise_peak(S.voiced_or_whole("pcm", 28.0, shortest, "__levels"))))
+    df = clips.withColumn("__facts", sound_facts("pcm")).filter(reject_reason("__facts").isNull())
+    df = df.withColumn("silent", near_silent("batch", "__facts.rms", "__facts.peak"))
+    df = df.withColumn("pcm", F.when(F.col("silent"), F.array().cast("array<double>")).otherwise(voiced_and_normalised("pcm", 28.0, shortest)))
     rows = df.select("audio_id", F.to_json(F.struct("silent", *facts)).alias("facts"), "pcm", _piece_spans(window, minimum).alias("spans"))
     whole = F.col("win") < 0
     pieces = cut_spans(rows).select("audio_id", F.when(F.col("pos") == 0, F.col("facts")).alias("facts"), (F.col("pos") - 1).alias("win"), "pcm")
-    pieces = pieces.filter(whole | (S.rms("pcm") >= 0.003)).withColumn("pcm", F.when(whole, F.col("pcm").cast("array<double>")).otherwise(S.normalise_peak("pcm")))
+    pieces = pieces.withColumn("__facts", sound_facts("pcm")).filter(whole | (F.col("__facts.rms") >= 0.003)).drop("__facts")
+    pieces = pieces.withColumn("pcm", F.when(whole, F.col("pcm").cast("array<double>")).otherwise(normalised("pcm")))
     scored = model.score(clip_features(pieces)).select("audio_id", "win", "model_prob", "facts", F.when(whole, F.col("f")).alias("f"))
 
     in_window = F.when(~whole, F.col("model_prob"))

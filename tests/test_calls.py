@@ -93,3 +93,26 @@ def test_spans_in_one_row(spark):
     spans = [(p.s, p.e) for p in got[0].s]
     assert spans[0][0] < 8000 - 1500 and 34000 < spans[0][0] + 40000 and max(e - s for s, e in spans) <= 40000
     assert all(e - s >= 8000 for s, e in spans) and [(p.s, p.e) for p in got[1].s] == [(0, 0)]
+
+
+def test_nearest_centroid_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    cents, rows = rng.standard_normal((23, 5)), rng.standard_normal((60, 5))
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(cents)], "speaker int, centroid array<double>")
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id int, emb array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = (1 - unit(rows) @ unit(cents).T).argmin(axis=1).tolist()
+    for most in (2000, 4):
+        monkeypatch.setattr(L, "CENTROIDS_AT_ONCE", most)
+        got = [r.nearest for r in L.nearest_centroid(v, c, "speaker", "emb", 5).orderBy("id").collect()]
+        assert got == want
+
+
+def test_call_events(spark):
+    rows = [("a", s, "00:0%d" % s, who, speech, ra, rb, "bank_agent") for s, who, speech, ra, rb in [
+        (0, "A", True, 5.0, 5.0), (1, "A", True, 6.0, 5.0), (2, "B", True, 6.0, 40.0), (3, "SILENCE", False, 6.0, 40.0), (4, "B", True, 6.0, 90.0), (5, "A", True, 7.0, 90.0), (6, "B", True, 7.0, 90.0), (7, "OVERLAP", True, 7.0, 90.0)]]
+    tel = spark.createDataFrame(rows, "call_id string, seq long, timestamp string, speaker string, is_speech boolean, risk_a double, risk_b double, role string")
+    got = [(r.seq, r.type, r.risk) for r in C.call_events(tel, F.lit(0)).orderBy("seq").collect()]
+    assert got == [(0, "INFO", 5.0), (2, "INFO", 40.0), (5, "INFO", 7.0), (6, "ALERT", 90.0), (7, "OVERLAP", 25.0)]
+    last = C.call_events(tel, F.lit(0), most=1).first()
+    assert last.seq == 7 and "Bank Agent" in [r.text for r in C.call_events(tel, F.lit(0)).collect() if r.seq == 6][0]

@@ -127,6 +127,30 @@ def test_decoding(spark):
     assert mono == pytest.approx([0, 0.5, -1.0, 32767 / 32768]) and stereo == pytest.approx([0.25, (-1.0 + 32767 / 32768) / 2], abs=1e-6) and none == []
 
 
+def test_summaries_equal_statistics_of_frames(spark):
+    rng = np.random.default_rng(3)
+    clips = [np.sin(np.arange(n) / 9) * 0.4 + rng.standard_normal(n) * 0.02 for n in (16000, 5000, 400, 100, 3)] + [np.zeros(4000), np.zeros(0)]
+    df = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(clips)], "id int, pcm array<float>")
+    one = {r.id: r.f for r in X.summarise_clips(df).select("id", X.feature_map().alias("f")).collect()}
+    two = {r.id: r.f for r in X.with_statistics(X.describe_clips(df)).select("id", X.feature_map().alias("f")).collect()}
+    assert one.keys() == two.keys() and len(one[0]) == 63
+    for i in one:
+        assert all(one[i][k] == pytest.approx(two[i][k], rel=1e-9, abs=1e-9) for k in one[i])
+
+
+def test_preparation_of_long_clips_equals_the_array_form(spark):
+    rng = np.random.default_rng(4)
+    loud = np.concatenate([rng.standard_normal(6000) * 0.2, np.zeros(9000), rng.standard_normal(6000) * 0.1])
+    clips = [loud, np.zeros(9000), np.zeros(0), rng.standard_normal(3000) * 0.001]
+    df = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(clips)], "id int, pcm array<double>")
+    array_form = S.normalise_peak(S.voiced_or_whole("pcm", 28.0, 8000))
+    rows = df.select("id", X.voiced_and_normalised("pcm", 28.0, 8000).alias("a"), array_form.alias("b"), X.sound_facts("pcm").alias("s"), S.rms("pcm").alias("rms"), S.peak("pcm").alias("peak")).collect()
+    for r in rows:
+        assert len(r.a) == len(r.b) and np.allclose(r.a, r.b)
+        assert r.s.rms == pytest.approx(r.rms, abs=1e-12) and r.s.peak == r.peak
+    assert len(rows[0].a) < len(loud)
+
+
 def test_rejects(spark):
     df = spark.createDataFrame([(1, [0.1]), (2, []), (3, None), (4, [float("nan")]), (5, [float("inf")])], "id int, pcm array<float>")
     good, bad = X.usable_clips(df)
