@@ -48,13 +48,36 @@ _fit_query("gradient_boosting", "gradient_boosting", "ML-03.", rounds=5, depth=3
 _fit_query("logistic_regression", "logistic", "ML-04.", rounds=50)
 
 
-@query("saved_model_scores")
+@query("saved_model_scores", """
+SELECT vec_id AS audio_id, true AS same_score, true AS same_label, true AS fits_threshold FROM embeddings""")
 def saved_model_scores(spark, d):
-    """SRC-18, RSK-15: scores of a model written and loaded again."""
+    """SRC-18, RSK-15: a model written and loaded again scores every row as it did before."""
     rows, path = labelled(spark, d), scratch(spark, "model")
-    M.SpoofModel.fit(rows, "random_forest", NAMES, ["e3"], trees=5, depth=5).calibrate(rows).save(spark, path)
-    out = M.SpoofModel.load(spark, path).predict(rows)
-    return out.select("audio_id", rnd("model_prob", 6).alias("model_prob"), F.col("prediction.prediction").alias("prediction"), F.col("prediction.confidence").alias("confidence"))
+    model = M.SpoofModel.fit(rows, "random_forest", NAMES, ["e3"], trees=5, depth=5).calibrate(rows)
+    model.save(spark, path)
+    columns = lambda m, tag: m.predict(rows).select("audio_id", F.col("model_prob").alias(f"prob_{tag}"), F.col("prediction").alias(f"record_{tag}"))
+    both = columns(model, "old").join(columns(M.SpoofModel.load(spark, path), "new"), "audio_id")
+    return both.select(
+        "audio_id", (F.col("prob_old") == F.col("prob_new")).alias("same_score"), (F.col("record_old.prediction") == F.col("record_new.prediction")).alias("same_label"),
+        ((F.col("prob_new") >= F.col("record_new.calibrated_threshold")) == (F.col("record_new.prediction") == "spoof")).alias("fits_threshold"))
+
+
+@query("model_checks", """
+WITH t AS (SELECT (label % 2 = 0) AS spoof FROM embeddings WHERE vec_id % 4 = 3), k(model) AS (VALUES ('random_forest'), ('soft_voting'), ('gradient_boosting'), ('logistic'))
+SELECT model, count(*) AS n, count(*) FILTER (spoof) AS spoof, count(*) FILTER (NOT spoof) AS genuine, 0::BIGINT AS outside, true AS separates FROM t, k GROUP BY model""")
+def model_checks(spark, d):
+    """ML-01 .. ML-04: all rows scored within [0, 1], and spoofed training rows higher on average than genuine ones."""
+    rows, out = labelled(spark, d), None
+    dev = F.pmod("audio_id", F.lit(4))
+    settings = {"random_forest": {"trees": 20, "depth": 8}, "soft_voting": {"trees": 10, "depth": 6}, "gradient_boosting": {"rounds": 5, "depth": 3}, "logistic": {"rounds": 50}}
+    for kind, own in settings.items():
+        scored = M.SpoofModel.fit(rows.filter(dev < 3), kind, NAMES, **own).score(rows).withColumn("held", F.pmod("audio_id", F.lit(4)) == 3)
+        mean = lambda y: F.avg(F.when((F.col("label") == y) & ~F.col("held"), F.col("model_prob")))
+        one = scored.agg(
+            F.count(F.when(F.col("held"), 1)).alias("n"), F.count(F.when(F.col("held") & (F.col("label") == 1), 1)).alias("spoof"), F.count(F.when(F.col("held") & (F.col("label") == 0), 1)).alias("genuine"),
+            F.count(F.when(~F.col("model_prob").between(0.0, 1.0), 1)).alias("outside"), (mean(1) > mean(0)).alias("separates")).withColumn("model", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("training_experiment")

@@ -16,7 +16,7 @@ from ..sources import media, metadata, stores
 from ..session import scratch, table
 from . import query, r
 from .curation import samples
-from .evaluation import sliced_metrics
+from .evaluation import SLICED, sliced_metrics
 from .ledger import CHAIN, chain, stored_chain
 from .signal import spoken
 
@@ -173,12 +173,13 @@ def cut_windows(spark, d):
     return w.select("vec_id", F.col("pos").alias("win_idx"), rnd(signal_total("pcm"), 8).alias("total"))
 
 
-@query("report_lines")
+@query("report_lines", f"""
+WITH m AS ({SLICED}) SELECT printf('%-12s %-12s %8d %7.2f%% %7.2f%%', kind, slice, n, {r('accuracy * 100', 2)}, {r('false_alarm_rate * 100', 2)}) AS line FROM m""")
 def report_lines(spark, d):
     """SRC-13: the sliced metrics as text lines, written and read back."""
     path = scratch(spark, "report")
     stores.text_report(sliced_metrics(spark, d)).select("line").coalesce(1).write.text(path)
-    return spark.read.text(path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query("live_chunks", """

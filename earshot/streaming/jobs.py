@@ -44,12 +44,14 @@ def run_once(stream: DataFrame, label: str, path: str | None = None, checkpoint:
 
 def closed_stream(chunks: DataFrame, label: str, delay: str = "10 seconds") -> DataFrame:
     """A bounded table as a stream that ends: its rows in one trigger, then a row far enough in the future to let the
-    watermark pass them all. That row has no call and is a control row, so it gives no output."""
+    watermark pass them all. That row is a control row of a call of its own, so it gives no output."""
     spark, path = chunks.sparkSession, scratch(chunks.sparkSession, label)
     chunks = _with_all_columns(chunks)
     chunks.write.parquet(path)
-    last = spark.read.schema(chunks.schema).parquet(path).agg((F.max("event_ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 SECOND")).alias("event_ts"))
-    known = {"event_ts": F.col("event_ts"), "action": F.lit("configure"), "seq": F.lit(-1)}
+    last = spark.read.schema(chunks.schema).parquet(path).agg(
+        (F.max("event_ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 SECOND")).alias("event_ts"), F.max("call_id").alias("call_id"))
+    other = F.concat("call_id", F.lit("~")) if chunks.schema["call_id"].dataType == StringType() else F.col("call_id") + 1
+    known = {"event_ts": F.col("event_ts"), "call_id": other, "action": F.lit("configure"), "seq": F.lit(-1)}
     last.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in chunks.schema.fields]).write.mode("append").parquet(path)
     return spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1000).parquet(path)
 
@@ -152,9 +154,9 @@ def _schema(chunks: DataFrame, kind: str) -> StructType:
 
 def track_calls(chunks: DataFrame, kind: str, delay: str = "10 seconds", idle_ms: int = IDLE_MS) -> DataFrame:
     """Streaming form: each chunk is answered once the watermark has passed it. Rows behind the watermark are dropped;
-    a bounded input needs a last row in the future (``closed_stream``)."""
+    a bounded input needs a last row in the future (``closed_stream``). Rows without a call id belong to no call."""
     use_rocksdb(chunks.sparkSession)
-    df = _with_all_columns(chunks).withWatermark("event_ts", delay)
+    df = _with_all_columns(chunks).filter(F.col("call_id").isNotNull()).withWatermark("event_ts", delay)
     return df.groupBy("call_id").transformWithStateInPandas(
         statefulProcessor=CallProcessor(kind, idle_ms), outputStructType=_schema(chunks, kind), outputMode="Append", timeMode="EventTime")
 
@@ -179,7 +181,7 @@ def replay_calls(chunks: DataFrame, kind: str) -> DataFrame:
                     out.append({**result, "call_id": cid})
             yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return _with_all_columns(chunks).repartition("call_id").sortWithinPartitions("call_id", "seq").mapInPandas(run, schema)
+    return _with_all_columns(chunks).filter(F.col("call_id").isNotNull()).repartition("call_id").sortWithinPartitions("call_id", "seq").mapInPandas(run, schema)
 
 
 def monitor_telemetry(tracked: DataFrame, role: str = "father") -> DataFrame:
