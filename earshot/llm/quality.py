@@ -116,9 +116,9 @@ def limits(sketch: DataFrame) -> DataFrame:
     as_ = lambda df, tag: df.select(*[F.col(c) for c in df.columns if c in ("lang_key", "source_key")], F.struct("docs", *names).alias(tag))
     own = as_(fences.filter("source_key != '*'"), "own")
     lang = as_(fences.filter("source_key = '*' AND lang_key != '*'").drop("source_key"), "lang")
-    every = as_(fences.filter("lang_key = '*'").drop("source_key", "lang_key"), "every").withColumn("one", F.lit(1))
-    # the last is a single row
-    levels = own.join(lang, "lang_key").withColumn("one", F.lit(1)).join(F.broadcast(every), "one")
+    # a single row: a scalar, not a join
+    every = fences.filter("lang_key = '*'").select(F.struct("docs", *names)).scalar()
+    levels = own.join(lang, "lang_key").withColumn("every", every)
     pick = F.when(F.col("own.docs") >= LEAST_DOCS, F.col("own")).when(F.col("lang.docs") >= LEAST_DOCS, F.col("lang")).otherwise(F.col("every"))
     return levels.select("lang_key", "source_key", pick.alias("limit")).select("lang_key", "source_key", "limit.*").drop("docs")
 
