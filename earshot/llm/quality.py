@@ -152,5 +152,5 @@ def rate_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``rate_documents`` keeps, with their columns as they were."""
     rows = with_row_ids(docs).select("doc", *group_keys(F.col(f"doc.`{lang}`"), F.col(f"doc.`{source}`")))
-    rated = frozen(with_rates(measure(rows, F.col(f"doc.`{text}`"), ["doc", "lang_key", "source_key"])), "rated")
+    rated = frozen(with_rates(measure(rows, F.col(f"doc.`{text}`"), ["doc", "lang_key", "source_key"])), "rated", "zstd")
     return judge(rated).filter("kept").select("doc.*")

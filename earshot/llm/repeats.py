@@ -91,7 +91,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
     from .common import without_clash
 
     docs = without_clash(docs, ["clean_text", "removed"])
-    rows = frozen(with_row_ids(docs), "numbered")
+    rows = frozen(with_row_ids(docs), "numbered", "zstd")
     slim = rows.select("row_id", F.col(f"doc.`{key}`").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"))
     # the spans of one text: bounded by the text itself
     spans = repeated_spans(slim, **options).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "kept_rank", "kept_start"))).alias("removed"))
