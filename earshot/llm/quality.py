@@ -17,8 +17,9 @@ GROWTH = 1.02
 LEAST_DOCS = 100  # a group needs so many documents for limits of its own
 REACH = 4.0  # interquartile ranges beyond the quartiles
 FEW_GROUPS = 50_000  # groups, beyond which their limits are joined by a shuffle
-# what a measure may always exceed its quartile by, and whether it is also limited from below
-MEASURES = {"word_length": (2.0, True), "symbol_rate": (0.15, False), "dup_line_rate": (0.3, False), "repeat_rate": (0.2, False)}
+# what a measure may always exceed its quartile by (one repeated line in a short text is no fault), and whether it is
+# also limited from below
+MEASURES = {"word_length": (2.0, True), "symbol_rate": (0.15, False), "dup_line_rate": (0.5, False), "repeat_rate": (0.35, False)}
 _PLACE_BITS = 28
 _LOW = (1 << _PLACE_BITS) - 1
 

@@ -1,7 +1,7 @@
 """Substring dedup by unit hashing: normalise units, group their digests over the whole corpus, keep the first.
 
-Units are lines; longer lines are cut further after sentence ends, so that a passage is found whatever stands before
-it in its line. Neighbouring repeated units form a run; runs of at least ``least_words`` words are removed.
+Units are lines, cut further after the stops and commas in them, so that a passage is found whatever stands before it in
+its line. Neighbouring repeated units form a run; runs of at least ``least_words`` words are removed.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from .common import frozen, with_row_ids
 UNITS = "row_id long, rank long, unit int, start long, end long, words int, d1 long, d2 long"
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?。！？]+(?=\s)|(?=\n)|\Z)")
+_CLAUSE = re.compile(r"[^\n]+?(?:[.!?,;:。！？、，；：]+(?=\s)|(?=\n)|\Z)")
 _PARAGRAPH = re.compile(r"(?:[^\n]+\n?)+")
 _BATCH = 50_000
 
 
-def units_of(text: str, kind: str = "sentence"):
+def units_of(text: str, kind: str = "clause"):
     """(start, end, words, normalised text) of the units of a text; units without a word are left out."""
-    pattern = {"line": _LINE, "sentence": _SENTENCE, "paragraph": _PARAGRAPH}[kind]
+    pattern = {"line": _LINE, "sentence": _SENTENCE, "clause": _CLAUSE, "paragraph": _PARAGRAPH}[kind]
     for match in pattern.finditer(text):
         words = match.group().lower().split()
         if words:
@@ -50,7 +51,7 @@ def _unit_rows(kind: str):
     return run
 
 
-def repeated_spans(docs: DataFrame, row: str = "row_id", rank: str = "doc_id", text: str = "text", kind: str = "sentence", least_words: int = 25) -> DataFrame:
+def repeated_spans(docs: DataFrame, row: str = "row_id", rank: str = "doc_id", text: str = "text", kind: str = "clause", least_words: int = 25) -> DataFrame:
     """Spans to remove: row_id, ``rank``, start, end (code points), words, ``kept_rank`` and ``kept_start``.
 
     ``row`` numbers the rows (see ``with_row_ids``). The occurrence with the smallest (rank, row, start) stays; a null

@@ -31,7 +31,7 @@ def test_whole_corpus(spark):
     texts = [t + ((". " if k % 2 else ".\n") + passage if k % 3 == 0 else "") for k, t in enumerate(own)]
     texts += [texts[4], texts[4], None, "", " \n ", "One two. " * 40, own[7].upper(), passage]
     docs = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(4)
-    for kind, least in (("sentence", 25), ("line", 10), ("paragraph", 1)):
+    for kind, least in (("clause", 25), ("sentence", 25), ("line", 10), ("paragraph", 1)):
         want = brute(list(enumerate(texts)), kind, least)
         rows = remove_repeats(docs, kind=kind, least_words=least).collect()
         assert len(rows) == len(texts)
@@ -43,7 +43,7 @@ def test_whole_corpus(spark):
                 kept = kept[:start] + kept[end:]
             assert r.clean_text == kept
             assert r.removed_in == "x" and r.clean_text_in == "x"
-    sentence = brute(list(enumerate(texts)), "sentence", 25)
+    sentence = brute(list(enumerate(texts)), "clause", 25)
     # the shared passage goes from every document but the first, wherever it stands in its line
     assert all(sum(s[2] for s in sentence[k]) >= 50 for k in range(3, 30, 3)) and not sentence[0]
     assert not any(sentence[k] for k in range(1, 30) if k % 3)
