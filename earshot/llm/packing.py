@@ -8,6 +8,10 @@ fewer, larger partitions that run best-fit decreasing again, as long as that sav
 
 from __future__ import annotations
 
+import sys
+from array import array
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +20,7 @@ from .common import frozen
 
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids binary"
 _FLUSH = 16 << 20
-_CACHED = 250_000
+_CACHED = 400_000  # words, some 150 bytes each
 
 
 # ---- tokens ------------------------------------------------------------------------------------------------------------
@@ -41,11 +45,14 @@ class ByteBpe:
         self.words: dict[str, bytes | bool] = {"": False, "\n": False}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.encoder.encode_ordinary(text), dtype="<u4").tobytes()
+        ids = array("I", self.encoder.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _learn(self, word: str) -> bytes | bool:
         rest = word[1:] if word[:1] == "\n" else word
-        alone = bool(rest) and not any(c.isspace() for c in rest)
+        alone = rest.split() == [rest]
         ids = self.whole(word if word[:1] == "\n" else " " + word) if alone else False
         if len(self.words) < _CACHED and len(word) < 40:
             self.words[word] = ids
@@ -66,12 +73,18 @@ class ByteBpe:
         return self.whole(first) + b"".join(found)
 
 
+@lru_cache(maxsize=2)
+def _bpe(vocabulary: str, pattern: str) -> ByteBpe:
+    """One per worker process: tasks that a process runs one after another share what it has learnt."""
+    return ByteBpe(vocabulary, pattern)
+
+
 def _cut(max_tokens: int, end_id: int, vocabulary: str, pattern: str):
     def run(batches):
         import pyarrow as pa
 
         schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-        bpe, end, held, size = ByteBpe(vocabulary, pattern), np.array([end_id], "<u4").tobytes(), [], 0
+        bpe, end, held, size = _bpe(vocabulary, pattern), np.array([end_id], "<u4").tobytes(), [], 0
         for batch in batches:
             for row, doc, text in zip(batch["row_id"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
                 ids = bpe.encode(text.as_py() or "") + end
