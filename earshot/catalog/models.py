@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rnd
 from ..operators import models as M
 from ..operators.evaluation import rates, confusion
-from ..plans import call_analysis, clip_analysis, experiment
-from ..session import scratch, table
+from ..plans import call_analysis, clip_analysis, experiment, live
+from ..session import materialise, scratch, table
+from ..streaming import jobs as J
 from . import query, r
 from .signal import spoken
 
@@ -113,3 +114,32 @@ def call_analysis_query(spark, d):
     rules = call_analysis.SegmentRules(shortest=200, longest=400, silence=64, margin=32, frame=128, hop=32, top_db=6.0)
     verdicts, _ = call_analysis.analyse_calls(calls, model, rules, min_speech=0.02)
     return verdicts.select("call_id", "call_assessment", "overall_call_risk", "n_segments", "num_speakers", "overlap_percent", "quality_level")
+
+
+def _call_audio(spark, d):
+    """Turns of conversations as chunks of a call, half a second apart."""
+    c = table(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("call_id"), F.col("turn").cast("bigint").alias("seq"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("turn") * 500_000).alias("event_ts"), F.encode("text", "utf-8").alias("pcm"))
+
+
+@query("live_audio_calls", """
+WITH c AS (SELECT conv_id AS call_id, count(*) AS n FROM conversations WHERE octet_length(encode(text)) >= 2 GROUP BY 1)
+SELECT call_id, n AS streamed, n AS replayed, 0::BIGINT AS differing FROM c""")
+def live_audio_calls(spark, d):
+    """STM-01 .. STM-03 from PCM: chunks scored by a model and followed per call, as a stream and as a replay."""
+    model, audio = _document_model(spark, d), _call_audio(spark, d)
+    scored = materialise(live.score_chunks(audio, model), "chunk-scores")
+    streamed = J.run_once(J.track_calls(J.closed_stream(scored, "chunks"), "monitor"), "live-audio")
+    replayed = live.replay_audio(audio, model).select(streamed.columns)
+    rounded = lambda df, side: df.select(*[rnd(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]).withColumn("side", F.lit(side))
+    per = rounded(streamed, 1).unionByName(rounded(replayed, -1)).groupBy(*streamed.columns).agg(F.sum("side").alias("net"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("s"), F.count("*").alias("n"))
+    return per.groupBy("call_id").agg(F.sum("s").alias("streamed"), F.sum(F.col("n") - F.col("s")).alias("replayed"), F.sum(F.abs("net")).alias("differing"))
+
+
+@query("live_audio_rolling", """
+SELECT conv_id AS call_id, turn AS seq, count(*) OVER (PARTITION BY conv_id ORDER BY turn * 500000 RANGE BETWEEN 3000000 PRECEDING AND CURRENT ROW) AS chunks, true AS within
+FROM conversations WHERE octet_length(encode(text)) >= 2""")
+def live_audio_rolling(spark, d):
+    """STM-01 with a result per chunk."""
+    rolled = live.rolling_chunk_risk(live.score_chunks(_call_audio(spark, d), _document_model(spark, d)))
+    return rolled.select("call_id", "seq", "chunks", F.col("rolling_prob").between(0.0, 1.0).alias("within"))
