@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import frozen, with_row_ids
 
-UNITS = "row_id long, rank long, unit int, start long, end long, words int, d1 long, d2 long"
+UNITS = "row_id long, rank long, unit int, start int, size int, words int, d1 long, d2 int"
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?。！？]+(?=\s)|(?=\n)|\Z)")
 _CLAUSE = re.compile(r"[^\n]+?(?:[.!?,;:。！？、，；：]+(?=\s)|(?=\n)|\Z)")
@@ -35,13 +35,13 @@ def _unit_rows(kind: str):
         import pyarrow as pa
         import xxhash
 
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
         names, held = [c.split()[0] for c in UNITS.split(", ")], []
         for batch in batches:
             for row, rank, text in zip(batch["row_id"].to_pylist(), batch["rank"].to_pylist(), batch["text"]):
                 for unit, (start, end, words, plain) in enumerate(units_of(text.as_py() or "", kind)):
                     both = xxhash.xxh3_128_intdigest(plain.encode())
-                    held.append((row, rank, unit, start, end, words, (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63)))
+                    held.append((row, rank, unit, start, end - start, words, (both >> 64) - (1 << 63), (both & (1 << 32) - 1) - (1 << 31)))
                 if len(held) > _BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
                     held = []
@@ -57,7 +57,7 @@ def repeated_spans(docs: DataFrame, row: str = "row_id", rank: str = "doc_id", t
     ``row`` numbers the rows (see ``with_row_ids``). The occurrence with the smallest (rank, row, start) stays; a null
     rank comes last. A span is a run of units that each occur earlier, of ``least_words`` words or more together;
     ``kept_*`` is the place of its first unit's first occurrence. Units are compared in lower case with white space
-    collapsed, by 128-bit digests. Null, empty and blank texts have no units. Repeats within one text count too.
+    collapsed, by 96 bits of XXH3 (too long for a chance match among 10 ** 12 units). Null, empty and blank texts have no units. Repeats within one text count too.
     """
     docs = docs.select(F.col(row).alias("row_id"), F.col(rank).cast("long").alias("rank"), F.col(text).alias("text"))
     units = frozen(docs.mapInArrow(_unit_rows(kind), UNITS), "units", "zstd")
@@ -65,14 +65,16 @@ def repeated_spans(docs: DataFrame, row: str = "row_id", rank: str = "doc_id", t
     # combined before the exchange: a very frequent unit leaves each task as one row
     first = units.groupBy("d1", "d2").agg(F.min(F.struct(last.alias("rank"), "row_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
     first = first.filter("times > 1").select("d1", "d2", "first")
-    again = units.join(first, ["d1", "d2"]).filter((F.col("first.row_id") != F.col("row_id")) | (F.col("first.start") != F.col("start")))
+    # this exchange moves every unit, so it carries no more than the runs need
+    again = units.drop("rank").join(first, ["d1", "d2"]).filter((F.col("first.row_id") != F.col("row_id")) | (F.col("first.start") != F.col("start")))
     # gaps and islands inside one document
     order = Window.partitionBy("row_id").orderBy("unit")
     runs = again.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("row_id", "run").agg(
-        F.first("rank").alias("rank"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min(F.struct("unit", "first")).getField("first").alias("first")
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.min(F.struct("unit", "first")).getField("first").alias("first")
     )
+    runs = runs.filter(F.col("words") >= least_words).join(units.groupBy("row_id").agg(F.max("rank").alias("rank")), "row_id")
     kept = F.when(F.col("first.rank") < (1 << 63) - 1, F.col("first.rank"))
-    return runs.filter(F.col("words") >= least_words).select("row_id", "rank", "start", "end", "words", kept.alias("kept_rank"), F.col("first.start").alias("kept_start"))
+    return runs.select("row_id", "rank", "start", "end", "words", kept.alias("kept_rank"), F.col("first.start").alias("kept_start"))
 
 
 def _without(text: str, spans: list) -> str:
