@@ -81,6 +81,22 @@ def model_checks(spark, d):
     return out
 
 
+@query("experiment_universes", """
+WITH t AS (SELECT (label % 2 = 0) AS spoof, label < 4 AS first FROM embeddings),
+c AS (SELECT count(*) FILTER (NOT spoof) AS g, count(*) FILTER (spoof) AS s, count(*) FILTER (spoof AND first) AS sf, count(*) FILTER (spoof AND NOT first) AS so FROM t)
+SELECT 'all' AS recipe, g AS genuine, s AS spoof FROM c UNION ALL SELECT 'balanced', least(g, 60), least(s, 60) FROM c UNION ALL SELECT 'priority', least(g, 60), least(s, 60) FROM c
+UNION ALL SELECT 'two_source', g, least(sf, g // 2) + least(so, g - least(sf, g // 2)) FROM c""")
+def experiment_universes(spark, d):
+    """ML-09, CUR-05 .. CUR-07: class sizes of the universe of each recipe."""
+    rows, out = labelled(spark, d), None
+    rows = rows.withColumn("first", F.substring("system_id", 4, 9).cast("int") < 4)
+    for recipe in ("all", "balanced", "priority", "two_source"):
+        one = experiment.choose_universe(rows, recipe, size=120, source=F.col("first"))
+        one = one.agg(F.count(F.when(F.col("label") == 0, 1)).alias("genuine"), F.count(F.when(F.col("label") == 1, 1)).alias("spoof")).withColumn("recipe", F.lit(recipe))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("training_experiment")
 def training_experiment(spark, d):
     """ML-09: metrics per system slice."""

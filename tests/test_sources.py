@@ -142,3 +142,10 @@ def test_experiment(spark, rows, tmp_path):
     assert spark.read.json(str(tmp_path / "e")).first().model == "random_forest"
     top = experiment.importance(model, spark).first()
     assert top.feature == "x0"
+
+
+def test_experiment_on_a_balanced_universe(spark, rows):
+    _, metrics, record = experiment.run_experiment(rows, "random_forest", names=[f"x{i}" for i in range(6)], recipe="balanced", size=200, speaker_disjoint=False, trees=4, depth=3)
+    assert record["recipe"] == "balanced" and metrics.filter("slice = 'all'").first().n == 30
+    with pytest.raises(ValueError):
+        experiment.choose_universe(rows, "unknown")
