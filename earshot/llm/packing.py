@@ -62,15 +62,15 @@ class ByteBpe:
         first, *rest = text.replace("\n", " \n").split(" ")
         if any(c.isspace() for c in first):
             return self.whole(text)
-        found = list(map(self.words.get, rest))
+        start, found = self.whole(first), list(map(self.words.get, rest))
         try:
-            return self.whole(first) + b"".join(found)
+            return start + b"".join(found)
+        except TypeError:  # a word is new, or does not stand alone
+            found = [self._learn(word) if ids is None else ids for word, ids in zip(rest, found)]
+        try:
+            return start + b"".join(found)
         except TypeError:
-            pass
-        found = [self._learn(word) if ids is None else ids for word, ids in zip(rest, found)]
-        if False in found:
             return self.whole(text)
-        return self.whole(first) + b"".join(found)
 
 
 @lru_cache(maxsize=2)
