@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
-from ..functions.numeric import finite_or_zero, let, rnd
+from ..functions.numeric import finite_or_zero, rnd
 from ..operators import curation as K
 from ..operators import features as X
 from ..session import balance_tasks, table
