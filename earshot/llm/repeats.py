@@ -57,7 +57,8 @@ def repeated_spans(docs: DataFrame, row: str = "row_id", rank: str = "doc_id", t
     ``row`` numbers the rows (see ``with_row_ids``). The occurrence with the smallest (rank, row, start) stays; a null
     rank comes last. A span is a run of units that each occur earlier, of ``least_words`` words or more together;
     ``kept_*`` is the place of its first unit's first occurrence. Units are compared in lower case with white space
-    collapsed, by 96 bits of XXH3 (too long for a chance match among 10 ** 12 units). Null, empty and blank texts have no units. Repeats within one text count too.
+    collapsed, by 96 bits of XXH3 (too long for a chance match among 10 ** 12 units). Null, empty and blank texts have no
+    units. Repeats within one text count too.
     """
     docs = docs.select(F.col(row).alias("row_id"), F.col(rank).cast("long").alias("rank"), F.col(text).alias("text"))
     units = frozen(docs.mapInArrow(_unit_rows(kind), UNITS), "units", "zstd")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from earshot.llm.packing import ByteBpe, best_fit_decreasing, lower_bound, pack, place, tokenise
+from earshot.llm.packing import ByteBpe, best_fit_decreasing, lower_bound, pack, place
 
 
 @pytest.fixture(scope="module")
