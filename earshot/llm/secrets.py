@@ -25,7 +25,8 @@ ASSIGN = re.compile(
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+# '=' only pads the end (base32 takes up to six), so a key glued to its name by one stands alone
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,6}")
 
 # alphabets in the order in which an encoding is looked for
 ENCODINGS = (

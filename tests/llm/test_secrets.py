@@ -75,6 +75,22 @@ def test_added_spans_keep_false_discoveries_low(spark):
     assert right > 0.6 * len(truth) and wrong <= 0.05 * right + 1
 
 
+def test_keys_glued_to_their_names(spark):
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "private_key={}", "client_id={}", "https://example.org/a?sig={}&n=1", "see https://example.org/b?x=1&signature={} there", "export SOME_LONG_VARIABLE_NAME_V2={}", "key=={}=="]
+    texts, want = [], []
+    for form in forms * 12:
+        key = "".join(rng.choice(letters) for _ in range(40))
+        texts.append(form.format(key))
+        want.append(form.index("{"))
+    for text, start in zip(texts, want):
+        assert start in {c[0] for c in secrets.scan(text)[2]}, text
+        assert secrets.CANDIDATE.search(text, start).group().rstrip("=") == text[start : start + 40]
+    found = secrets.find_secrets(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    assert sum(want[r.doc_id] in {s.start for s in r.spans} for r in found) > 0.7 * len(texts)
+
+
 def test_redaction():
     spans = [dict(start=2, kind=0, end=6), dict(start=4, kind=2, end=9), dict(start=9, kind=3, end=10)]
     assert secrets.redact("0123456789ab", spans) == "01[SECRET][SECRET]ab"
