@@ -30,11 +30,13 @@ class ByteBpe:
     """Token ids of a text as little-endian 32-bit numbers, with a bounded memory of words.
 
     Pre-tokens of this vocabulary's pattern never go across a single blank or line break between two other characters,
-    so such texts are encoded word by word; all others in one piece.
+    so such texts are encoded word by word; all others in one piece. Texts are first split at the ``added`` tokens, which
+    have ids of their own and match before all else, the leftmost and of these the longest.
     """
 
-    def __init__(self, tiktoken_file: str, pattern: str):
+    def __init__(self, tiktoken_file: str, pattern: str, added: dict[str, int] | None = None):
         import base64
+        import re
 
         import tiktoken
 
@@ -43,6 +45,8 @@ class ByteBpe:
         self.encoder = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         # None: not seen yet; False: the words of this text do not stand alone
         self.words: dict[str, bytes | bool] = {"": False, "\n": False}
+        self.added = {mark: np.array([number], "<u4").tobytes() for mark, number in (added or {}).items()}
+        self.marks = re.compile("(" + "|".join(re.escape(m) for m in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def whole(self, text: str) -> bytes:
         ids = array("I", self.encoder.encode_ordinary(text))
@@ -59,6 +63,11 @@ class ByteBpe:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self._plain(text)
+        return b"".join(self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(self.marks.split(text)) if part)
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
         if any(c.isspace() for c in first):
             return self.whole(text)
@@ -74,17 +83,28 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def _bpe(vocabulary: str, pattern: str) -> ByteBpe:
+def _bpe(vocabulary: str, pattern: str, added: tuple) -> ByteBpe:
     """One per worker process: tasks that a process runs one after another share what it has learnt."""
-    return ByteBpe(vocabulary, pattern)
+    return ByteBpe(vocabulary, pattern, dict(added))
+
+
+def added_tokens(tokenizer_file: str) -> dict[str, int]:
+    """Added tokens of a ``tokenizers`` file: content and id. Those that take more than their own characters are refused."""
+    import json
+
+    with open(tokenizer_file, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+        raise ValueError("added tokens with single_word, lstrip, rstrip or normalized are not supported")
+    return {t["content"]: t["id"] for t in tokens}
 
 
-def _cut(max_tokens: int, end_id: int, vocabulary: str, pattern: str):
+def _cut(max_tokens: int, end_id: int, vocabulary: str, pattern: str, added: dict[str, int]):
     def run(batches):
         import pyarrow as pa
 
         schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-        bpe, end, held, size = _bpe(vocabulary, pattern), np.array([end_id], "<u4").tobytes(), [], 0
+        bpe, end, held, size = _bpe(vocabulary, pattern, tuple(sorted(added.items()))), np.array([end_id], "<u4").tobytes(), [], 0
         for batch in batches:
             for row, doc, text in zip(batch["row_id"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
                 ids = bpe.encode(text.as_py() or "") + end
@@ -105,19 +125,20 @@ def _cut(max_tokens: int, end_id: int, vocabulary: str, pattern: str):
     return run
 
 
-def tokenise(docs: DataFrame, max_tokens: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, max_tokens: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """Pieces of all documents, written once: ``row_id`` (of the document), doc_id, piece, start, length, ids.
 
     ``vocabulary``: a file of ranks as tiktoken reads them, by default ``byte_bpe_50k.tiktoken``, which holds the
-    vocabulary of ``byte_bpe_50k.json`` (a test compares the ids). Marks like ``<|endoftext|>`` in a text are ordinary
-    characters. A null or empty text is one piece with the end id alone.
+    vocabulary of ``byte_bpe_50k.json`` (a test compares the ids). Its added token ``<|endoftext|>`` in a text is one id, as
+    ``tokenizers`` reads it by default; with a ``vocabulary`` of one's own, ``added`` names such tokens. A null or empty text is one piece with the end id alone.
     """
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        added = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if added is None else added
     docs = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return frozen(docs.mapInArrow(_cut(max_tokens, end_id, vocabulary, pattern), PIECES), "pieces", "zstd")
+    return frozen(docs.mapInArrow(_cut(max_tokens, end_id, vocabulary, pattern, added or {}), PIECES), "pieces", "zstd")
 
 
 # ---- bins --------------------------------------------------------------------------------------------------------------
