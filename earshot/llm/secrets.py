@@ -5,6 +5,7 @@ characters; in it, a chi-squared test of uniform use of the alphabet, a runs tes
 combined by Fisher's method into ``u``. Random strings have a uniform u, ordinary ones pile up near 0. For every
 encoding and class of length, the share above one half tells how many random strings there are (Storey's estimate),
 and the cut is the smallest u at which the expected share of ordinary strings among those found is within the limit.
+Where few strings are above one half, chance is allowed for, so that sparse strata do not lose their random strings.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ ENCODINGS = (
 _PLACES = [{c: i for i, c in enumerate(alphabet)} for _, alphabet in ENCODINGS]
 LENGTHS = (20, 24, 32, 40, 48, 64, 128)
 GRID = [k / 100 for k in range(1, 51)]
+FEW = 100  # strings above one half from which their number alone estimates the random ones
 
 
 # ---- the battery -------------------------------------------------------------------------------------------------------
@@ -88,15 +90,23 @@ def battery(token: str) -> tuple[int, float] | None:
 
 
 def cut_of(histogram: list[int], limit: float = 0.05) -> float:
-    """Smallest u of ``GRID`` with an expected share of ordinary strings within ``limit``; ``histogram``: counts per hundredth."""
+    """Smallest u of ``GRID`` with an expected share of ordinary strings within ``limit``; ``histogram``: counts per hundredth.
+
+    With under ``FEW`` strings above one half, the estimate of random strings is noise: a cut rises only while the strings
+    that it would keep exceed those expected by more than chance explains (one-sided, at 5 %). So a lone random string
+    is not lost for having u < 0.5; in such a stratum a few ordinary strings may stay above the limit.
+    """
     above = [0]
     for count in reversed(histogram):
         above.append(above[-1] + count)
     above.reverse()  # above[k]: u of k hundredths or more
-    random = min(above[0], 2 * above[50])
+    upper = above[50]
     for cut in GRID:
         found = above[round(100 * cut)]
-        if found and 1 - random * (1 - cut) / found <= limit:
+        weight = 1 - 2 * cut  # strings between cut and one half for each above it, if all are random
+        surplus = found - upper - weight * upper
+        noise = 1.645 * math.sqrt(max(1, found - upper) + weight * weight * upper) if upper < FEW else 0.0
+        if found and surplus <= limit * found + noise:
             return cut
     return GRID[-1]
 

@@ -91,6 +91,34 @@ def test_keys_glued_to_their_names(spark):
     assert sum(want[r.doc_id] in {s.start for s in r.spans} for r in found) > 0.7 * len(texts)
 
 
+def test_planted_keys_are_found_in_sparse_and_dense_strata(spark):
+    rng = random.Random(6)
+    for keys in (1, 2, 3, 10, 30, 100, 1000):  # uniform u, beside ordinary strings of small u
+        kept, rounds = 0, max(5, 600 // keys)
+        for _ in range(rounds):
+            us = [rng.random() for _ in range(keys)]
+            histogram = [0] * 100
+            for u in [*us, *[0.0] * 50]:
+                histogram[int(u * 100)] += 1
+            cut = secrets.cut_of(histogram)
+            kept += sum(u >= cut for u in us)
+        assert kept > 0.88 * keys * rounds, (keys, kept / keys / rounds)
+    letters = string.ascii_letters + string.digits
+    for count in (1, 200):
+        sizes = (22, 28, 36, 44, 56, 70, 130)  # a stratum each
+        texts = [prose(rng, 20) + " " + "".join(rng.choice(letters) for _ in range(n)) for n in sizes for _ in range(count)]
+        found = secrets.find_secrets(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+        assert sum(any(s.kind == 3 for s in r.spans) for r in found) > 0.84 * len(texts), count
+    assert secrets.cut_of([0] * 100) == 0.5
+
+
+def test_many_ordinary_strings_still_raise_the_cut():
+    assert secrets.cut_of([900, *[20] * 20, *[0] * 79]) > 0.15
+    histogram = [500 if k < 10 else 4 for k in range(100)]  # 400 random, the others small
+    cut = secrets.cut_of(histogram)
+    assert 0.08 <= cut <= 0.2
+
+
 def test_redaction():
     spans = [dict(start=2, kind=0, end=6), dict(start=4, kind=2, end=9), dict(start=9, kind=3, end=10)]
     assert secrets.redact("0123456789ab", spans) == "01[SECRET][SECRET]ab"
