@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, licenses, packing, quality, repeats, secrets, sharding, simhash, urls, warc
+from . import curve, decontaminate, divergence, frames, licenses, packing, quality, repeats, secrets, sharding, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,55 @@ def op9_licenses(spark, table):
 def op10_decontamination(spark, table):
     """Benchmark items found in documents."""
     return decontaminate.find_leaks(table("documents"), table("benchmark"))
+
+
+@query(
+    "op11_divergence",
+    r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    n AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM k GROUP BY lang),
+    w AS (SELECT lang, source, sum(c) AS n FROM n SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    s AS (SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c,
+        (1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 5)) // (coalesce(w.n, 0) + 5 * v.v))::BIGINT AS p,
+        (1 + (1000000000::HUGEINT * (k.total + 5)) // (v.all_n + 5 * v.v))::BIGINT AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN w USING (lang, source) LEFT JOIN n USING (lang, source, term)),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    p AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+    o AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM s WHERE c > 0 AND p > q),
+    u AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM p UNION ALL SELECT * FROM o))
+    SELECT lang, source, part, item, value, rank FROM u WHERE part = 'pair' OR rank <= 50""",
+)
+def op11_divergence(spark, table):
+    """Sources of a language compared by their words, and the words each uses more than its language."""
+    return divergence.audit_sources(table("documents"))
+
+
+@query(
+    "op12_fill_in_middle",
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    t AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+      ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM t),
+    f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+      coalesce(array_to_string(units[1:a], ''), '') AS p, coalesce(array_to_string(units[a + 1:b], ''), '') AS m, coalesce(array_to_string(units[b + 1:], ''), '') AS s FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+      sha256(text) AS restored_sha256 FROM f""",
+)
+def op12_fill_in_middle(spark, table):
+    """Texts turned for filling in the middle, and restored from the outputs."""
+    outputs = frames.fill_in_middle(frames.archive_texts(table("documents")))
+    return outputs.withColumn("both", frames.digests(F.col("frames"), F.col("form"))).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "both.*")
+
+
+@query("op13_curve_packing")
+def op13_curve_packing(spark, table):
+    """Token pieces of all documents in sequences of 4096, neighbours along a Hilbert curve together."""
+    pieces = curve.pack_along_curve(table("documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
