@@ -130,6 +130,7 @@ def _cells(key, table):
 
     lang, _, low, high = (k.as_py() for k in key)
     sid, word, bits, p, p0 = (table[c].to_numpy() for c in ("sid", "word", "bits", "p", "p0"))
+    bits = bits.view(np.uint64)  # NumPy counts the bits of a negative number's absolute value
     sums = np.zeros((2 * TILE, 2 * TILE), dtype=np.int64)
     # a source's place: tile `low` first, then tile `high`
     at = np.where(sid // TILE == low, sid - low * TILE, sid - high * TILE + (TILE if high > low else 0))
