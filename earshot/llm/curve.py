@@ -8,7 +8,10 @@ Only the last cut can be short; it is made of powers of two, which need no paddi
 
 from __future__ import annotations
 
+import sys
+from array import array
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -19,20 +22,45 @@ from .common import frozen
 WIDTH, DIMENSIONS, BITS = 64, 4, 15
 _UNIT = 4096  # vectors are whole numbers of this length: sums over all documents are exact in any order
 _CACHED = 400_000
-_FLUSH = 16 << 20
+_FLUSH = 16 << 20  # bytes of text or ids that a task works on at once, and at least one document
 PIECES = "row_id long, doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 # ---- tokens ------------------------------------------------------------------------------------------------------------
 
 
+def _little(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
+def _parts(texts, most: int):
+    """Slices of an Arrow string array of about ``most`` bytes, at least one text each."""
+    import pyarrow.compute as pc
+
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, stop
+        at = stop
+
+
 class ChunkTokeniser:
-    """Ids of a ``tokenizers`` file for which blanks and line breaks only separate, with a bounded memory of chunks.
+    """Ids of a ``tokenizers`` file of BPE with word ends, for which blanks and line breaks only separate.
 
-    Such a text is the sequence of its chunks between blanks or line breaks; each is encoded once.
+    A text is the sequence of its chunks between blanks or line breaks. The ids of frequent chunks are kept in a bounded
+    memory. Rare ones of plain letters, digits and marks are merged by ``tiktoken`` with the file's vocabulary as ranks, where
+    a blank stands for the word end; all others go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import json
+        import re
+
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,37 +69,86 @@ class ChunkTokeniser:
         probe = self.tokenizer.encode("a b\n c", add_special_tokens=False).ids
         if probe != [i for c in "abc" for i in self.tokenizer.encode(c, add_special_tokens=False).ids]:
             raise ValueError("this tokenizer gives ids to white space")
+        with open(path, encoding="utf-8") as file:
+            about = json.load(file)
+        suffix, split = about["model"]["end_of_word_suffix"], about["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        ranks = {}
+        for token, rank in about["model"]["vocab"].items():
+            end = token.endswith(suffix) and len(token) > len(suffix)
+            ranks[bytes(_BYTE_OF[c] for c in (token[: -len(suffix)] if end else token)) + b" " * end] = rank
+        self.word_end = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.word_end[[rank for token, rank in ranks.items() if token[-1:] == b" " and len(token) > 1]] = True
+        self.merges = tiktoken.Encoding("word_ends", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.pieces = regex.compile(split).findall
+        # printable ASCII, Latin, Greek and Cyrillic; without the letter whose lower case depends on its place
+        self.plain = re.compile("[!-~\xa1-\u03a2\u03a4-\u052f]+").fullmatch
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in about["added_tokens"])).search
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunk: str) -> bytes:
-        ids = self._whole(chunk)
-        if len(self.known) < _CACHED and len(chunk) < 40:
-            self.known[chunk] = ids
-        return ids
+        return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that are not in the memory; one call of ``tiktoken`` for all, parted at the word ends."""
+        pieces, counts, whole = [], [], {}
+        for k, chunk in enumerate(chunks):
+            if chunk.isascii() and chunk.isalpha():
+                own = (chunk.lower(),)
+            elif self.plain(chunk) and not self.added(chunk):
+                own = self.pieces((chunk if chunk.isascii() else normalize("NFC", chunk)).lower())
+            else:
+                own, whole[k] = (), _little(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            pieces += own
+            counts.append(len(own))
+        ids = np.array(self.merges.encode_ordinary(" ".join(pieces) + " ") if pieces else [], "<u4")
+        after = np.concatenate([[0], np.flatnonzero(self.word_end[ids]) + 1])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        raw = ids.tobytes()
+        return [whole[k] if k in whole else raw[4 * a : 4 * b] for k, (a, b) in enumerate(zip(after, after[1:]))]
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, chunks))
+        fresh = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(fresh, self.ids_of([chunks[k] for k in fresh])):
+            found[k] = ids
+            if len(self.known) < _CACHED and len(chunks[k]) < 40:
+                self.known[chunks[k]] = ids
+        return found
+
+    def encode_many(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow string array one after another, and the ``len + 1`` places where texts begin.
+
+        Chunks are split and numbered in Arrow; Python sees each distinct one once, and the ids are gathered by NumPy.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        chunks = lists.flatten().dictionary_encode()
+        at, ids = chunks.indices.to_numpy(), self._look_up(chunks.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        blob, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        tokens = blob[np.repeat(starts[at] - (ends - counts), counts) + np.arange(counts.sum())]
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return tokens, np.concatenate([[0], ends])[edges]
 
     def encode(self, text: str) -> bytes:
-        """Token ids as little-endian 32-bit numbers."""
-        chunks = text.replace("\n", " ").split(" ")
-        found = list(map(self.known.get, chunks))
-        if None not in found:
-            return b"".join(found)
-        out, fresh = [], []  # neighbouring unknown chunks go to the tokenizer together once the memory is full
-        for chunk, ids in zip(chunks, found):
-            if ids is None and len(self.known) >= _CACHED:
-                fresh.append(chunk)
-                if len(fresh) < 1000:
-                    continue
-            if fresh:
-                out.append(self._whole(" ".join(fresh)))
-                fresh = []
-                if ids is None:
-                    continue
-            out.append(ids if ids is not None else self.known.get(chunk) or self._learn(chunk))
-        if fresh:
-            out.append(self._whole(" ".join(fresh)))
-        return b"".join(out)
+        """Ids of one text as little-endian 32-bit numbers."""
+        import pyarrow as pa
+
+        return self.encode_many(pa.array([text], pa.string()))[0].tobytes()
+
+
+def _bytes_of_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others in order
+    from 256 up."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+_BYTE_OF = _bytes_of_characters()
 
 
 @lru_cache(maxsize=2)
@@ -110,17 +187,18 @@ def _tokenise(path: str, end_id: int, seed: int):
 
         schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("vector", pa.list_(pa.int32()))])
         tokeniser = _tokeniser(path)
-        narrow, held, size = "<u2" if tokeniser.size <= 1 << 16 else "<u4", [], 0
+        narrow = "<u2" if tokeniser.size <= 1 << 16 else "<u4"
+        end = np.array([end_id], narrow).tobytes()
         for batch in batches:
-            for row, doc, text in zip(batch["row_id"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
-                ids = np.append(np.frombuffer(tokeniser.encode(text.as_py() or ""), "<u4"), np.uint32(end_id))
-                held.append((row, doc, len(ids), ids.astype(narrow).tobytes(), vector_of(ids[:-1], tokeniser.size, seed)))
-                size += 2 * len(ids) + 8 * WIDTH
-                if size > _FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            for low, high in _parts(batch["text"], _FLUSH):
+                some = batch.slice(low, high - low)
+                ids, edges = tokeniser.encode_many(some["text"])
+                pairs = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+                vectors = np.array([vector_of(ids[a:b], tokeniser.size, seed) for a, b in pairs], np.int32)
+                raw, width = memoryview(ids.astype(narrow).tobytes()), int(narrow[-1])
+                held = pa.array([b"".join((raw[width * a : width * b], end)) for a, b in pairs], pa.binary())
+                vectors = pa.ListArray.from_arrays(np.arange(0, vectors.size + 1, WIDTH, dtype=np.int32), vectors.ravel())
+                yield pa.RecordBatch.from_arrays([some["row_id"], some["doc_id"], pa.array(np.diff(edges) + 1), held, vectors], schema=schema)
 
     return run
 
