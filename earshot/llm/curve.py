@@ -100,7 +100,7 @@ class ChunkTokeniser:
             pieces += own
             counts.append(len(own))
         ids = np.array(self.merges.encode_ordinary(" ".join(pieces) + " ") if pieces else [], "<u4")
-        after = np.concatenate([[0], np.flatnonzero(self.word_end[ids]) + 1])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        after = np.concatenate([[0], np.flatnonzero(self.word_end[ids]) + 1])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])].tolist()
         raw = ids.tobytes()
         return [whole[k] if k in whole else raw[4 * a : 4 * b] for k, (a, b) in enumerate(zip(after, after[1:]))]
 
