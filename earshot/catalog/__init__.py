@@ -36,4 +36,4 @@ def r(expr: str, digits: int) -> str:
 
 
 def load_all() -> None:
-    from . import calls, curation, evaluation, ledger, models, ordered, risk, signal, sources, streams  # noqa: F401
+    from . import calls, curation, evaluation, joined, ledger, long_clips, models, ordered, risk, signal, sources, streams  # noqa: F401

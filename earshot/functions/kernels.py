@@ -107,11 +107,17 @@ def band_extremes(mag: np.ndarray, freqs: np.ndarray, lowest: float = 200.0, oct
 
 def pitch(y: np.ndarray, fmin: float = 65.0, fmax: float = 500.0, size: int = 1024, hop: int = 512, limit: float = 0.1) -> np.ndarray:
     """SIG-14: YIN f0 per frame, half the frame as integration window, parabolic refinement."""
+    return np.concatenate([pitch_of_frames(b, fmin, fmax, limit) for b in frame_blocks(np.asarray(y, dtype=float), size, hop)])
+
+
+def pitch_of_frames(frames: np.ndarray, fmin: float = 65.0, fmax: float = 500.0, limit: float = 0.1) -> np.ndarray:
+    """``pitch`` of frames that are cut already, a row each."""
+    size = frames.shape[1]
     half = size // 2
     shortest, longest = int(RATE // fmax), min(int(np.ceil(RATE / fmin)), size - half - 1)
     lags = np.arange(longest + 2)
     out = []
-    for block in frame_blocks(np.asarray(y, dtype=float), size, hop):
+    for block in (frames[i : i + FRAME_BLOCK] for i in range(0, len(frames), FRAME_BLOCK)):
         n = 2 * size
         cross = np.fft.irfft(np.conj(np.fft.rfft(block[:, :half], n, axis=1)) * np.fft.rfft(block, n, axis=1), n, axis=1)
         energy = np.concatenate([np.zeros((len(block), 1)), (block**2).cumsum(axis=1)], axis=1)

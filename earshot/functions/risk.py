@@ -213,6 +213,7 @@ LIVE_OK = "Call audio appears authentic. Continue normal conversation."
 LIVE_CAUTION = "Moderate vocal inconsistency detected. Exercise caution."
 LIVE_VERIFY = "Verify your contact using another communication channel. Do not share OTP or transfer money."
 LIVE_BANNER = "POSSIBLE AI CLONE DETECTED"
+LIVE_OVERLAP = "OVERLAP DETECTED — INSUFFICIENT CONFIDENCE — WAITING FOR CLEAR SPEECH"
 
 
 def live_risk(prob, tau=0.51) -> dict[str, Column]:
@@ -297,31 +298,22 @@ def call_decision(name, score) -> Column:
     )
 
 
+# Guidance texts of the published call report.
+GUIDANCE = {
+    "high_spoof_risk": "Elevated synthetic voice risk detected for the remote participant (%s). Do not disclose money, passwords, OTPs, or sensitive financial data. Verify independently by calling the known official phone number.",
+    "review_recommended": "The remote participant could not be verified with high confidence. Do not act on urgent or unusual financial requests; confirm via another trusted communication channel.",
+    "low_risk": "Adequate clean speech analyzed with no strong synthetic evidence detected. Continue standard verification vigilance for sensitive operations.",
+    "money": " [ALERT: High-value transaction requested during unverified call.]",
+    "unusable": "Audio quality is insufficient for safe forensic evaluation (%s). Verify identity through an alternate trusted channel.",
+    "overlap": "Severe overlapping speech detected. Audio collision prevents accurate speaker separation. Please ask the caller to repeat in turn.",
+}
+
+
 def call_guidance(decision, role, financial) -> Column:
     """RSK-10 guidance text with the money suffix."""
     d = as_col(decision)
-    text = (
-        F.when(
-            d == "high_spoof_risk",
-            F.format_string(
-                "Elevated synthetic voice risk detected for the remote participant (%s). "
-                "Do not disclose money, passwords, OTPs, or sensitive financial data. "
-                "Verify independently by calling the known official phone number.",
-                as_col(role),
-            ),
-        )
-        .when(
-            d == "review_recommended",
-            "The remote participant could not be verified with high confidence. "
-            "Do not act on urgent or unusual financial requests; confirm via another trusted communication channel.",
-        )
-        .otherwise(
-            "Adequate clean speech analyzed with no strong synthetic evidence detected. "
-            "Continue standard verification vigilance for sensitive operations."
-        )
-    )
-    money = F.lit(" [ALERT: High-value transaction requested during unverified call.]")
-    return F.when(as_col(financial) & (d != "low_risk"), F.concat(text, money)).otherwise(text)
+    text = F.when(d == "high_spoof_risk", F.format_string(GUIDANCE["high_spoof_risk"], as_col(role))).when(d == "review_recommended", GUIDANCE["review_recommended"]).otherwise(GUIDANCE["low_risk"])
+    return F.when(as_col(financial) & (d != "low_risk"), F.concat(text, F.lit(GUIDANCE["money"]))).otherwise(text)
 
 
 def analysis_confidence(diarization_confidence, clean_seconds) -> Column:
@@ -367,34 +359,40 @@ def stage_alert(level) -> Column:
     return as_col(level).isin("CRITICAL", "HIGH")
 
 
+# Messages of the published live telemetry, by stage and level.
+STAGE_TEXT = {
+    "calibrating": "Calibrating acoustic baseline (%.0fs / 10s)... Preliminary score in %.0fs.",
+    "preliminary": {
+        "CRITICAL": "⚠️ PRELIMINARY WARNING: Potential AI clone (%.1f%% avg). Finalizing verification in %.0fs...",
+        "HIGH": "⚠️ PRELIMINARY ALERT: Synthetic artifacts detected (%.1f%% avg). Stabilizing...",
+        "MEDIUM": "Preliminary average risk: %.1f%% (Elevated ambient acoustics). Stabilizing...",
+        "LOW": "Preliminary assessment: %.1f%% risk (Averaged over %.1fs speech). Finalizing in %.0fs...",
+    },
+    "final": {
+        "CRITICAL": "🚨 CRITICAL ALERT: AI-Cloned Voice confirmed on %s! (Final Score: %.1f%%). DO NOT authorize wire transfers or payments.",
+        "HIGH": "⚠️ HIGH SPOOF RISK: Confirmed synthetic vocal features on %s (Final Score: %.1f%%). Verify identity with a challenge question.",
+        "MEDIUM": "Final assessment: %.1f%% risk. Ambient room acoustics or VoIP compression detected.",
+        "LOW": "Call verified authentic (%.1f%% risk). Vocal biomechanics match natural human speech.",
+    },
+}
+
+
 def stage_message(stage_name, level, risk, role, elapsed, speech) -> Column:
     """RSK-13 message."""
     st, lv, r, e = as_col(stage_name), as_col(level), as_col(risk), as_col(elapsed)
     left = F.greatest(F.lit(0.0), F.lit(10.0) - e)
     who = F.initcap(F.replace(as_col(role), F.lit("_"), F.lit(" ")))
-    preliminary = (
-        F.when(lv == "CRITICAL", F.format_string(
-            "⚠️ PRELIMINARY WARNING: Potential AI clone (%.1f%% avg). Finalizing verification in %.0fs...", r, left))
-        .when(lv == "HIGH", F.format_string(
-            "⚠️ PRELIMINARY ALERT: Synthetic artifacts detected (%.1f%% avg). Stabilizing...", r))
-        .when(lv == "MEDIUM", F.format_string(
-            "Preliminary average risk: %.1f%% (Elevated ambient acoustics). Stabilizing...", r))
-        .otherwise(F.format_string(
-            "Preliminary assessment: %.1f%% risk (Averaged over %.1fs speech). Finalizing in %.0fs...", r, as_col(speech), left))
-    )
-    final = (
-        F.when(lv == "CRITICAL", F.format_string(
-            "🚨 CRITICAL ALERT: AI-Cloned Voice confirmed on %s! (Final Score: %.1f%%). DO NOT authorize wire transfers or payments.", who, r))
-        .when(lv == "HIGH", F.format_string(
-            "⚠️ HIGH SPOOF RISK: Confirmed synthetic vocal features on %s (Final Score: %.1f%%). Verify identity with a challenge question.", who, r))
-        .when(lv == "MEDIUM", F.format_string(
-            "Final assessment: %.1f%% risk. Ambient room acoustics or VoIP compression detected.", r))
-        .otherwise(F.format_string(
-            "Call verified authentic (%.1f%% risk). Vocal biomechanics match natural human speech.", r))
-    )
-    calibrating = F.format_string(
-        "Calibrating acoustic baseline (%.0fs / 10s)... Preliminary score in %.0fs.", e, F.greatest(F.lit(0.0), F.lit(5.0) - e))
-    return F.when(st == "CALIBRATING", calibrating).when(st == "PRELIMINARY_AVERAGE", preliminary).otherwise(final)
+    filled = {
+        "preliminary": {"CRITICAL": (r, left), "HIGH": (r,), "MEDIUM": (r,), "LOW": (r, as_col(speech), left)},
+        "final": {"CRITICAL": (who, r), "HIGH": (who, r), "MEDIUM": (r,), "LOW": (r,)},
+    }
+
+    def by_level(kind):
+        text = {k: F.format_string(STAGE_TEXT[kind][k], *values) for k, values in filled[kind].items()}
+        return F.when(lv == "CRITICAL", text["CRITICAL"]).when(lv == "HIGH", text["HIGH"]).when(lv == "MEDIUM", text["MEDIUM"]).otherwise(text["LOW"])
+
+    calibrating = F.format_string(STAGE_TEXT["calibrating"], e, F.greatest(F.lit(0.0), F.lit(5.0) - e))
+    return F.when(st == "CALIBRATING", calibrating).when(st == "PRELIMINARY_AVERAGE", by_level("preliminary")).otherwise(by_level("final"))
 
 
 def session_verdict(peak) -> Column:

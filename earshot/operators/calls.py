@@ -105,11 +105,8 @@ def call_verdicts(durations: DataFrame, remote: DataFrame, calls: DataFrame) ->
     decision = R.call_decision("remote_level", "overall_call_risk")
     reject = ~F.col("is_usable") | excess_overlap("overlap_percent", "total_speech_seconds")
     df = df.withColumn("call_assessment", F.when(reject, "insufficient_evidence").otherwise(decision))
-    guidance = F.when(
-        ~F.col("is_usable"), F.format_string(
-            "Audio quality is insufficient for safe forensic evaluation (%s). Verify identity through an alternate trusted channel.", F.col("rejection_reason"))
-    ).when(
-        reject, "Severe overlapping speech detected. Audio collision prevents accurate speaker separation. Please ask the caller to repeat in turn."
+    guidance = F.when(~F.col("is_usable"), F.format_string(R.GUIDANCE["unusable"], F.col("rejection_reason"))).when(
+        reject, R.GUIDANCE["overlap"]
     ).otherwise(R.call_guidance("call_assessment", "role", "financial"))
     return df.withColumn("guidance", guidance).withColumn("overall_call_risk", F.when(reject, 0.0).otherwise(rnd("overall_call_risk", 1)))
 

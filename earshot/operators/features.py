@@ -69,12 +69,22 @@ def normalised(pcm: pd.Series) -> pd.Series:
     return pcm.map(lambda y: K.normalise_peak(np.asarray(y, dtype=np.float64)))
 
 
+def scaled(pcm, target: float, minimum: float) -> Column:
+    """Clips scaled to a peak of ``target``; those below ``minimum`` stay as they are."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def scale(pcm: pd.Series) -> pd.Series:
+        return pcm.map(lambda y: K.normalise_peak(np.asarray([] if y is None else y, dtype=np.float64), target, minimum))
+
+    return scale(pcm)
+
+
 def voiced_and_normalised(pcm, top_db: float = 28.0, shortest: int = 8000) -> Column:
     """SIG-07 then SIG-01 on long clips: the silence-cut clip where enough remains, the clip itself otherwise."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def prepare(pcm: pd.Series) -> pd.Series:
-        return pcm.map(lambda y: K.normalise_peak(K.voiced_or_whole(np.asarray(y, dtype=np.float64), top_db, shortest)))
+        return pcm.map(lambda y: K.normalise_peak(K.voiced_or_whole(np.asarray([] if y is None else y, dtype=np.float64), top_db, shortest)))
 
     return prepare(pcm)
 

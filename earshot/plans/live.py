@@ -10,6 +10,7 @@ from ..operators import features as X
 from ..operators.models import SpoofModel
 from ..sources.media import live_chunks
 from ..streaming import jobs as J
+from ..streaming import joined
 
 RATE = 16000
 
@@ -39,6 +40,41 @@ def rolling_chunk_risk(scored: DataFrame, span: float = 3.0) -> DataFrame:
     return out.withColumn("rolling_prob", F.col("__p") / F.nullif(F.col("__d"), F.lit(0.0))).drop("__at", "__weighted", "__p", "__d")
 
 
+def score_cuts(model: SpoofModel, kind: str = "monitor", rules: joined.JoinRules = joined.JoinRules()):
+    """STM-13 / STM-14: what scores the cuts of ``joined``: one signal, cut at silence and normalised, then features, model
+    and risk. Stateless and without a shuffle. Too little or silent audio gets 0.05 and 5.0 (monitor); rows without a cut
+    get NULL."""
+
+    def score(cuts: DataFrame) -> DataFrame:
+        audio = cuts.withColumn("__samples", X.pcm_to_samples("cut")).withColumn("__facts", X.sound_facts("__samples"))
+        quiet = (F.col("__facts.n") < rules.least) | ((F.col("__facts.rms") < 0.0035) & (F.col("__facts.peak") < 0.018))
+        none = F.array().cast("array<double>")
+        if kind == "monitor":
+            audio = audio.withColumn("__quiet", quiet)
+            audio = audio.withColumn("__samples", F.when(F.col("__quiet"), none).otherwise(X.voiced_and_normalised("__samples", 26.0, rules.least)))
+        else:
+            audio = audio.withColumn("__quiet", F.lit(False)).withColumn("__samples", X.scaled("__samples", 1.0, 1e-4))
+        described = model.score(X.clip_features(audio, "__samples"))
+        f = lambda name: F.col("f")[name]
+        judged = R.assess_risk(
+            described, prob="model_prob", tau=model.threshold, phase=f("acoustic_phase_derivative_var"), hf=f("spectral_hf_energy_ratio"), jitter=f("prosody_jitter"),
+            contrast=f("spectral_contrast_std"), language="language", high_value=F.coalesce("financial", F.lit(False)))
+        fixed = lambda c, low: F.when(F.col("cut").isNull(), F.lit(None)).when(F.col("__quiet"), low).otherwise(F.col(c)).cast("double")
+        return judged.select(*cuts.columns, fixed("model_prob", 0.05).alias("prob"), fixed("risk_score", 5.0).alias("risk"))
+
+    return score
+
+
+def watch_joined(chunks: DataFrame, model: SpoofModel, kind: str = "monitor", rules: joined.JoinRules = joined.JoinRules(), **options) -> DataFrame:
+    """The stream: PCM chunks to one row of call state per chunk, judged on joined audio."""
+    return joined.stream_calls(chunks, score_cuts(model, kind, rules), kind, rules, **options)
+
+
+def replay_joined(chunks: DataFrame, model: SpoofModel, kind: str = "monitor", rules: joined.JoinRules = joined.JoinRules()) -> DataFrame:
+    """The same over a table."""
+    return joined.replay_calls(chunks, score_cuts(model, kind, rules), kind, rules)
+
+
 def watch_calls(chunks: DataFrame, model: SpoofModel, kind: str = "monitor", **options) -> DataFrame:
     """The stream: PCM chunks to one row of call state per chunk."""
     return J.track_calls(score_chunks(chunks, model, kind), kind, **options)

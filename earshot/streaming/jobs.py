@@ -204,7 +204,7 @@ def monitor_telemetry(tracked: DataFrame, role: str = "father") -> DataFrame:
 def session_telemetry(tracked: DataFrame, tau: float = 0.51) -> DataFrame:
     """RSK-07, RSK-08 on the tracked state."""
     m = R.live_risk("remote_prob", tau)
-    overlap = F.when(F.col("speaker") == "OVERLAP", F.lit("OVERLAP DETECTED — INSUFFICIENT CONFIDENCE — WAITING FOR CLEAR SPEECH"))
+    overlap = F.when(F.col("speaker") == "OVERLAP", F.lit(R.LIVE_OVERLAP))
     return tracked.withColumns(
         {**m, "recommendation": F.coalesce(overlap, m["recommendation"]), "remote_status": R.live_status("remote_prob"), "warning_banner": R.live_banner("remote_prob"),
          "vu_meter": rnd(F.least(F.lit(1.0), F.col("rms") * 10.0), 3), "timestamp": clock("processed_sec")})
