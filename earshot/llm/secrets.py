@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Strings of 20 or more key characters that mix letters and digits are candidates. The encoding is inferred from their
-characters; in it, a chi-squared test of uniform use of the alphabet, a runs test and a test of serial correlation are
+Runs of 20 or more letters and digits are candidates, wherever they stand: also between the slashes of a path or the dashes
+of a name. So are longer runs that such marks join, where they pass for base64 as a whole; then their parts are not tried.
+The encoding is inferred from the characters; in it, a chi-squared test of uniform use of the alphabet, a runs test and a test of serial correlation are
 combined by Fisher's method into ``u``. Random strings have a uniform u, ordinary ones pile up near 0. For every
 encoding and class of length, the share above one half tells how many random strings there are (Storey's estimate),
 and the cut is the smallest u at which the expected share of ordinary strings among those found is within the limit.
@@ -28,6 +29,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 # '=' only pads the end (base32 takes up to six), so a key glued to its name by one stands alone
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,6}")
+PART = re.compile(r"[A-Za-z0-9]{20,}(?:={1,6}$)?")
+JOINED = (re.compile(r"[A-Za-z0-9+/]{20,}(?:={1,6}$)?"), re.compile(r"[A-Za-z0-9_-]{20,}(?:={1,6}$)?"))
+PASSES = 0.05  # u from which a joined run is taken as a whole
 
 # alphabets in the order in which an encoding is looked for
 ENCODINGS = (
@@ -39,7 +43,13 @@ ENCODINGS = (
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    # without any digit, or of digits alone
+    ("letters", "abcdefghijklmnopqrstuvwxyz"),
+    ("LETTERS", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("Letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    ("digits", "0123456789"),
 )
+_MIXED = 8  # encodings before those of one class
 _PLACES = [{c: i for i, c in enumerate(alphabet)} for _, alphabet in ENCODINGS]
 LENGTHS = (20, 24, 32, 40, 48, 64, 128)
 GRID = [k / 100 for k in range(1, 51)]
@@ -54,11 +64,12 @@ def _upper(z: float) -> float:
 
 
 def battery(token: str) -> tuple[int, float] | None:
-    """(stratum, u) of a candidate; None if it fits no encoding or does not mix letters and digits."""
+    """(stratum, u) of a candidate; None if it fits no encoding. A string of one class is tested in the alphabet of that class."""
     body = token.rstrip("=")
-    if len(body) < LENGTHS[0] or not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body):
+    if len(body) < LENGTHS[0]:
         return None
-    code = next((k for k, places in enumerate(_PLACES) if all(c in places for c in body)), None)
+    mixed = any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
+    code = next((k for k, places in enumerate(_PLACES) if (k < _MIXED) == mixed and all(c in places for c in body)), None)
     if code is None:
         return None
     places, n = _PLACES[code], len(body)
@@ -114,6 +125,21 @@ def cut_of(histogram: list[int], limit: float = 0.05) -> float:
 # ---- scanning ----------------------------------------------------------------------------------------------------------
 
 
+def strings_of(token: str) -> list[tuple[int, int, int, float]]:
+    """(start, end, stratum, u) of the candidates in a run of key characters; they do not overlap."""
+    whole: list[tuple[int, int, int, float]] = []
+    for pattern, marks in zip(JOINED, ("+/", "-_")):
+        for m in pattern.finditer(token):
+            if any(c in m.group() for c in marks) and (score := battery(m.group())) is not None and score[1] >= PASSES:
+                whole.append((m.start(), m.end(), *score))
+    whole.sort(key=lambda w: (w[0] - w[1], w[0]))  # the longest first
+    out: list[tuple[int, int, int, float]] = []
+    for w in whole + [(m.start(), m.end(), *score) for m in PART.finditer(token) if (score := battery(m.group())) is not None]:
+        if all(w[1] <= a or b <= w[0] for a, b, *_ in out):
+            out.append(w)
+    return sorted(out)
+
+
 def scan(text: str) -> tuple[list[int], list[tuple[int, int, int]], list[tuple[int, int, int, int, float]]]:
     """Numbers of matches per pattern, their spans (start, kind, end) in order, and candidates (start, 3, end, stratum, u)."""
     base = []
@@ -129,11 +155,11 @@ def scan(text: str) -> tuple[list[int], list[tuple[int, int, int]], list[tuple[i
     for start, _, end in base:  # furthest end of the spans up to here: they may overlap
         ends.append(max(end, ends[-1]) if ends else end)
     for match in CANDIDATE.finditer(text):
-        at = bisect.bisect_left(base, (match.end(), -1, -1)) - 1
-        if at >= 0 and ends[at] > match.start():
-            continue  # a fixed pattern has it already
-        if (score := battery(match.group())) is not None:
-            found.append((match.start(), 3, match.end(), *score))
+        for start, end, *score in strings_of(match.group()):
+            start, end = start + match.start(), end + match.start()
+            at = bisect.bisect_left(base, (end, -1, -1)) - 1
+            if at < 0 or ends[at] <= start:  # otherwise a fixed pattern has it already
+                found.append((start, 3, end, *score))
     return counts, base, found
 
 
@@ -165,7 +191,7 @@ def scan_column(text: Column) -> Column:
 def cuts(scanned: DataFrame, column: str = "scan", limit: float = 0.05) -> dict[int, float]:
     """Cut per stratum (encoding and class of length) from the candidates of all rows.
 
-    The driver gets counts only: a hundred per stratum, of 56 strata at most.
+    The driver gets counts only: a hundred per stratum, of 84 strata at most.
     """
     hundredth = F.least(F.floor(F.col("c.u") * 100), F.lit(99)).cast("int")
     counted = scanned.select(F.explode(F.col(column).getField("found")).alias("c")).groupBy(F.col("c.stratum").alias("stratum"), hundredth.alias("bin")).count()
