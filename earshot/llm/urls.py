@@ -2,7 +2,7 @@
 
 A rule is a host with a path; it fits the host and its subdomains where the url's path starts with the rule's. The
 index keeps the XXH64 of ``host + path`` as a sorted array in segment files of the shared folder. Workers map these
-into memory, probe all suffixes of a host with all rule lengths by vectorised binary search, and compare the stored
+into memory, probe the suffixes of a host that a rule can have, with all rule lengths, by vectorised binary search, and compare the stored
 text of every hit, so equal digests of different rules cannot mislead.
 """
 
@@ -44,7 +44,8 @@ def _segment_writer(folder: str):
         write_file(f"{folder}/{segment:05d}.offsets", lambda s: s.write(offsets.tobytes()))
         write_file(f"{folder}/{segment:05d}.texts", lambda s: s.write(b"".join(texts[i] for i in order)))
         lengths = sorted({len(p.encode()) for p in group["path"]})
-        return pd.DataFrame({"segment": [segment], "rules": [len(keys)], "lengths": [lengths]})
+        labels = max(h.count(".") for h in group["host"]) + 1
+        return pd.DataFrame({"segment": [segment], "rules": [len(keys)], "lengths": [lengths], "labels": [labels]})
 
     return run
 
@@ -71,9 +72,10 @@ def build_index(rules: DataFrame, folder: str | None = None) -> str:
         return pd.Series([xxhash.xxh64_intdigest((h + p).encode()) >> (64 - bits) if bits else 0 for h, p in zip(host, path)], dtype="int32")
 
     rules = rules.withColumn("segment", segment("host", "path"))
-    written = frozen(rules.groupBy("segment").applyInPandas(_segment_writer(folder), "segment int, rules long, lengths array<int>"), "url-segments")
+    written = frozen(rules.groupBy("segment").applyInPandas(_segment_writer(folder), "segment int, rules long, lengths array<int>, labels int"), "url-segments")
     lengths = sorted(r[0] for r in written.select(F.explode("lengths")).distinct().collect())  # path lengths: a few hundred numbers at most
-    write_file(f"{folder}/index.json", lambda s: s.write(json.dumps({"bits": bits, "lengths": lengths}).encode()))
+    labels = written.agg(F.max("labels")).first()[0] or 0
+    write_file(f"{folder}/index.json", lambda s: s.write(json.dumps({"bits": bits, "lengths": lengths, "labels": labels}).encode()))
     return folder
 
 
@@ -85,7 +87,7 @@ class RuleIndex:
         store, name = filesystem(folder)
         with store.open_input_stream(name + "/index.json") as stream:
             about = json.loads(stream.read())
-        self.bits, self.lengths = about["bits"], about["lengths"]
+        self.bits, self.lengths, self.labels = about["bits"], about["lengths"], about["labels"]
 
     def _map(self, name: str, kind: str) -> np.ndarray:
         from pyarrow import fs
@@ -151,7 +153,9 @@ def judge_urls(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
                 raw = path.encode()
                 starts = [p for n in index.lengths if n <= len(raw) and (p := _prefix(raw, n)) is not None]
                 rows = []
-                labels = host.split(".") if host else []
+                # no rule has more labels than the index says, so no longer suffix is built, however long the host is
+                labels = host.rsplit(".", index.labels) if host else []
+                labels = labels[-index.labels :] if index.labels else []
                 for start in starts:
                     key = (host, start)
                     if key not in known:

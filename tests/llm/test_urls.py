@@ -65,3 +65,16 @@ def test_empty_tables(spark, index):
     nothing = urls.build_index(urls.rules_table(spark, []))
     one = spark.createDataFrame([(1, "http://net/")], "page_id long, url string")
     assert urls.judge_urls(one, nothing, otherwise="block").first().verdict == "block"
+
+
+def test_a_host_of_many_labels(spark, index):
+    import time
+
+    url = "http://" + "a." * 100_000 + "example.net/en/x"
+    reader = urls.RuleIndex(index)
+    assert reader.labels == 2
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([url, url.replace("/en", "/de"), "http://" + "." * 50_000 + "org/fr/"])], "page_id long, url string")
+    judged = urls.judge_urls(pages, index)
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in judged.collect()}
+    assert got == {0: ("example.net/en/", "allow"), 1: ("net/", "block"), 2: ("org/fr/", "allow")} and time.time() - began < 20
