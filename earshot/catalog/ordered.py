@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
+from ..functions.tables import register_table_functions
 from ..operators import blocks as B
 from ..operators import ordered as O
 from ..session import table
@@ -25,6 +26,19 @@ def sliding_windows(spark, d):
     return O.sliding_windows(clips(spark, d)).select("doc_id", "win_idx", "start_sample", "padded")
 
 
+@query("sliding_windows_sql", f"""
+WITH {CLIPS}, k AS (SELECT doc_id % 10 AS shelf, doc_id, n_samples FROM clips),
+s AS (SELECT shelf, doc_id, n_samples, unnest(CASE WHEN n_samples < 48000 THEN [0::BIGINT] ELSE range(0::BIGINT, n_samples - 48000 + 1, 16000::BIGINT) END) AS start_sample FROM k)
+SELECT shelf, doc_id, CAST(row_number() OVER (PARTITION BY shelf ORDER BY doc_id, start_sample) - 1 AS INTEGER) AS win_idx, start_sample, n_samples < 48000 AS padded FROM s""")
+def sliding_windows_sql(spark, d):
+    """WIN-01 as a table function in SQL, windows numbered over the clips of a shelf."""
+    register_table_functions(spark)
+    clips(spark, d).selectExpr("doc_id % 10 AS shelf", "doc_id", "n_samples").createOrReplaceTempView("shelved_clips")
+    return spark.sql("""
+        SELECT shelf, doc_id, win_idx, start_sample, padded
+        FROM sliding_windows(TABLE(shelved_clips) PARTITION BY (shelf) ORDER BY (doc_id), 'n_samples', 48000, 16000, true)""")
+
+
 @query("strategic_windows", f"""
 WITH {CLIPS}, c AS (SELECT *, n_samples - 48000 AS last, greatest(1, (n_samples - 48000) // 4) AS step FROM clips WHERE n_samples >= 56000),
 s AS (SELECT doc_id, step, unnest(range(0::BIGINT, last + 1, step)[1:5]) AS start_sample FROM c)

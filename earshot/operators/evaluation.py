@@ -71,13 +71,15 @@ def roc_curve(df: DataFrame, slices: list[str] = (), label="label", score="score
               grid: float | None = None) -> DataFrame:
     """AGG-09 / WIN-13: cumulative tp and fp, tpr, fpr and fnr at every distinct score, highest first.
 
-    The running counts are block scans over score slices, so no single task orders the whole table.
+    The running counts are block scans over blocks of equally many scores, so no single task orders the whole table, however
+    the scores are piled up.
     Rates are NULL for a slice with one class. ``drop_intermediate`` leaves out collinear points.
     """
     slices = list(slices)
     points = score_counts(df, slices, label, score, grid)
     down = -F.col("threshold")
-    points = blocks.running(points, slices, [down], F.floor(down * 4096), tp=("sum", "pos"), fp=("sum", "neg"))
+    points = blocks.with_depth_block(points, down, "__down")
+    points = blocks.running(points, slices, [down], F.col("__down"), tp=("sum", "pos"), fp=("sum", "neg"))
     totals = points.groupBy(*slices).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if slices:
         points = match(points, totals, slices)
@@ -85,14 +87,14 @@ def roc_curve(df: DataFrame, slices: list[str] = (), label="label", score="score
         points = points.withColumn("__n", totals.select(F.struct("n_pos", "n_neg")).scalar()).select("*", "__n.*").drop("__n")
     if drop_intermediate:
         # the point below is the previous row when scores ascend
-        points = blocks.lagged(points, slices, ["threshold"], F.floor(F.col("threshold") * 4096), below_pos="pos", below_neg="neg")
+        points = blocks.lagged(points, slices, ["threshold"], -F.col("__down"), below_pos="pos", below_neg="neg")
         first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
         bend = (F.col("below_pos") != F.col("pos")) | (F.col("below_neg") != F.col("neg"))
         points = points.filter(F.col("below_pos").isNull() | first | bend).drop("below_pos", "below_neg")
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     tpr = F.when(both, F.col("tp") / F.nullif(F.col("n_pos"), F.lit(0)))
     fpr = F.when(both, F.col("fp") / F.nullif(F.col("n_neg"), F.lit(0)))
-    return points.withColumns({"tpr": tpr, "fpr": fpr}).withColumn("fnr", F.lit(1.0) - F.col("tpr"))
+    return points.drop("__down").withColumns({"tpr": tpr, "fpr": fpr}).withColumn("fnr", F.lit(1.0) - F.col("tpr"))
 
 
 def _area() -> Column:

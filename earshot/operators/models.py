@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import risk as R
 from ..session import materialise
 from . import evaluation
+from .extra_trees import ExtraTrees, ExtraTreesModel
 from .features import FEATURE_NAMES, feature_vector, neutralise
 
 # The published model settings.
@@ -30,7 +31,7 @@ SETTINGS = {
     "gradient_boosting": {"rounds": 200, "depth": 6, "rate": 0.05},
     "logistic": {"rounds": 1000},
 }
-_LOADERS = {"RandomForestClassificationModel": RandomForestClassificationModel, "GBTClassificationModel": GBTClassificationModel, "LogisticRegressionModel": LogisticRegressionModel}
+_LOADERS = {"RandomForestClassificationModel": RandomForestClassificationModel, "GBTClassificationModel": GBTClassificationModel, "LogisticRegressionModel": LogisticRegressionModel, "ExtraTreesModel": ExtraTreesModel}
 
 
 def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
@@ -61,8 +62,9 @@ def _estimators(kind: str, settings: dict, seed: int) -> list:
         return [GBTClassifier(**common, maxIter=settings["rounds"], maxDepth=settings["depth"], stepSize=settings["rate"], seed=seed)]
     if kind == "logistic":
         return [LogisticRegression(**common, weightCol="weight", maxIter=settings["rounds"])]
-    # the second voter is a forest with another seed: Spark has no extremely randomised trees
-    return [forest(seed), forest(seed + 1)] if kind == "soft_voting" else [forest(seed)]
+    if kind == "soft_voting":
+        return [forest(seed), ExtraTrees(settings["trees"], settings["depth"], settings["leaf"], settings["subset"], seed)]
+    return [forest(seed)]
 
 
 @dataclass
@@ -89,6 +91,10 @@ class SpoofModel:
         out, parts = to_vectors(df, self.names, self.shortcuts), []
         for i, voter in enumerate(self.voters):
             raw, prob, pred = f"__raw{i}", f"__prob{i}", f"__pred{i}"
+            if isinstance(voter, ExtraTreesModel):
+                out = out.withColumn(prob, voter.probability(vector_to_array("features")))
+                parts.append(F.col(prob))
+                continue
             out = voter.copy().setRawPredictionCol(raw).setProbabilityCol(prob).setPredictionCol(pred).transform(out)
             parts.append(vector_to_array(prob)[1])
         total = parts[0]
@@ -112,7 +118,10 @@ class SpoofModel:
     def save(self, spark: SparkSession, path: str) -> None:
         """SRC-18: voters and a one-row description."""
         for i, voter in enumerate(self.voters):
-            voter.write().overwrite().save(f"{path}/voter{i}")
+            if isinstance(voter, ExtraTreesModel):
+                voter.save(spark, f"{path}/voter{i}")
+            else:
+                voter.write().overwrite().save(f"{path}/voter{i}")
         row = {"kind": self.kind, "names": self.names, "threshold": self.threshold, "shortcuts": self.shortcuts, "voters": [type(v).__name__ for v in self.voters]}
         schema = "kind string, names array<string>, threshold double, shortcuts array<string>, voters array<string>"
         spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(f"{path}/about")

@@ -5,7 +5,6 @@ Everything stateless around the per-call recursion is column code shared by stre
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import quality as Q
 from ..functions import risk as R
@@ -82,57 +81,82 @@ def _records(pdf: pd.DataFrame) -> list[dict]:
     return pdf.drop(columns=["event_ts"]).astype(object).where(pdf.drop(columns=["event_ts"]).notna(), None).to_dict("records")
 
 
+class Waiting:
+    """STM-09: chunks that the watermark has not passed, one state entry each; taken in order of ``seq`` and arrival.
+
+    A chunk is written, read and removed once, so the work of a trigger follows its own rows. What waits is bounded by the
+    delay; only rows behind the watermark are lost.
+    """
+
+    def __init__(self, handle, fields: list[str], types: str):
+        key = StructType([StructField("us", LongType()), StructField("n", LongType())])
+        self.handle, self.fields, self.entries = handle, fields, handle.getMapState("waiting", key, types)
+        self.count = handle.getValueState("arrived", StructType([StructField("n", LongType())]))
+
+    def add(self, frames: Iterator[pd.DataFrame]) -> None:
+        n, first = (self.count.get()[0] if self.count.exists() else 0), None
+        for pdf in frames:
+            for row in _records(pdf):
+                self.entries.updateValue((row["us"], n), tuple(v.tolist() if hasattr(v, "tolist") else v for v in (row[f] for f in self.fields)))
+                first, n = row["us"] if first is None else min(first, row["us"]), n + 1
+        self.count.update((n,))
+        if first is not None:
+            self.wake(first // 1000, earlier=True)
+
+    def take(self, watermark_ms: int) -> tuple[list[dict], int | None]:
+        """Rows whose time has come, in order of ``seq``, and the time of the first that still waits."""
+        due, later = [], None
+        for us, n in sorted(tuple(k) for k in self.entries.keys()):
+            if us // 1000 <= watermark_ms:
+                due.append({**dict(zip(self.fields, self.entries.getValue((us, n)))), "us": us, "n": n})
+                self.entries.removeKey((us, n))
+            else:
+                later = us if later is None else min(later, us)
+        return sorted(due, key=lambda r: (r["seq"], r["n"])), later
+
+    def wake(self, at_ms: int, earlier: bool = False) -> None:
+        """One timer at ``at_ms``; with ``earlier``, only if none is set before."""
+        timers = list(self.handle.listTimers())
+        if earlier and timers and min(timers) <= at_ms:
+            return
+        for timer in timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at_ms)
+
+
 class CallProcessor(StatefulProcessor):
     """STM-02 / STM-03: one state value per call; STM-09: an event-time timer clears idle calls.
 
-    Chunks wait in a list until the watermark has passed them and are then taken in order of ``seq``, so the result does
-    not depend on how rows were dealt over triggers. What waits is bounded by the delay; only rows behind the watermark
-    are lost.
+    Chunks wait until the watermark has passed them (``Waiting``), so the result does not depend on how rows were dealt
+    over triggers.
     """
 
+    FIELDS = [c for c in CHUNK_COLUMNS if c not in ("call_id", "event_ts")]
+    TYPES = "seq bigint, dur double, rms double, peak double, clipped double, emb array<double>, prob double, risk double, action string, role string, financial boolean, language string"
+
     def __init__(self, kind: str, idle_ms: int = IDLE_MS):
         self.kind, self.idle_ms = kind, idle_ms
 
     def init(self, handle) -> None:
-        self.handle = handle
-        text = StructType([StructField("json", StringType())])
-        self.value, self.pending = handle.getValueState("call", text), handle.getListState("pending", text)
-
-    def _wake(self, at_ms: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at_ms)
+        self.waiting = Waiting(handle, self.FIELDS, self.TYPES)
+        self.value = handle.getValueState("call", StructType([StructField("json", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = min((json.loads(r[0])["us"] for r in self.pending.get()), default=None)
-        for pdf in rows:
-            records = _records(pdf)
-            if records:
-                first = min([r["us"] for r in records] + ([] if first is None else [first]))
-                self.pending.appendList([(json.dumps(r, default=lambda v: v.tolist()),) for r in records])
-        if first is not None:
-            self._wake(first // 1000)
+        self.waiting.add(rows)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         start, step = S.KINDS[self.kind]
         watermark = timerValues.getCurrentWatermarkInMs()
-        waiting = [json.loads(r[0]) for r in self.pending.get()]
-        due = sorted((r for r in waiting if r["us"] // 1000 <= watermark), key=lambda r: r["seq"])
-        later = [r for r in waiting if r["us"] // 1000 > watermark]
-        if not due and not later:
+        due, later = self.waiting.take(watermark)
+        if not due and later is None:
             self.value.clear()
             return
         state = S.load(self.value.get()[0]) if self.value.exists() else start()
         out = [o for o in (step(state, r) for r in due) if o is not None]
         self.value.update((S.dump(state),))
-        if later:
-            self.pending.put([(json.dumps(r),) for r in later])
-            self._wake(min(r["us"] for r in later) // 1000)
-        else:
-            self.pending.clear()
-            idle_from = max([state["last_us"] or 0, *(r["us"] for r in due)])
-            self._wake(max(idle_from // 1000 + self.idle_ms, watermark + 1))
+        idle_from = max([state["last_us"] or 0, *(r["us"] for r in due)])
+        self.waiting.wake(later // 1000 if later is not None else max(idle_from // 1000 + self.idle_ms, watermark + 1))
         if out:
             yield pd.DataFrame(out).assign(call_id=key[0])
 
@@ -225,18 +249,59 @@ def session_alerts(telemetry: DataFrame) -> DataFrame:
 HEAD_COLUMNS = ["ledger_id", "index", "current_hash", "ts_us"]
 
 
-def _batches(spark, path: str) -> list[int]:
-    """Numbers of the ``batch=N`` folders below ``path``."""
+HEAD_BUCKETS, BASE_EVERY = 256, 32
+
+
+def _numbered(spark, path: str, label: str) -> list[int]:
+    """Numbers of the ``label=N`` folders below ``path``."""
     name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(name):
         return []
-    return sorted(int(f.getPath().getName()[6:]) for f in store.listStatus(name) if f.getPath().getName().startswith("batch="))
-
-
-def _heads(blocks: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("index", "current_hash", "ts_us"), "pos")
-    return blocks.groupBy("ledger_id").agg(last.alias("h")).select("ledger_id", "h.*")
+    names = (f.getPath().getName() for f in store.listStatus(name))
+    return sorted(int(n[len(label) + 1 :]) for n in names if n.startswith(label + "="))
+
+
+def _files(spark, paths: list[str]) -> dict[str, tuple]:
+    """Length and time of change of the files in ``paths``; contents are not read. One entry per file, as in any file index."""
+    if not paths:
+        return {}
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    return {r["path"]: (r["length"], r["modificationTime"]) for r in listed.collect()}
+
+
+class LedgerHeads:
+    """Last blocks of ledgers at ``path/_heads``: each batch adds those of its own ledgers, and every ``BASE_EVERY`` batches
+    all are written as a base in buckets, of which a batch reads those that its ledgers fall into."""
+
+    def __init__(self, spark, path: str, kind: str):
+        self.spark, self.path = spark, f"{path}/_heads"
+        self.schema = f"ledger_id {kind}, index bigint, current_hash string, ts_us bigint"
+
+    @staticmethod
+    def bucket() -> Column:
+        return F.pmod(F.xxhash64("ledger_id"), F.lit(HEAD_BUCKETS)).cast("int")
+
+    def read(self, batch_id: int, buckets: list[int] | None = None) -> DataFrame:
+        """Heads before batch ``batch_id``; with ``buckets``, at least those of ledgers in them."""
+        bases = [n for n in _numbered(self.spark, self.path, "base") if n < batch_id]
+        parts = [n for n in _numbered(self.spark, self.path, "batch") if (bases[-1] if bases else -1) < n < batch_id]
+        found = self.spark.createDataFrame([], self.schema)
+        if parts:
+            found = found.unionByName(self.spark.read.schema(self.schema).parquet(*[f"{self.path}/batch={n}" for n in parts]))
+        if bases:
+            base = self.spark.read.schema(self.schema + ", bucket int").parquet(f"{self.path}/base={bases[-1]}")
+            found = found.unionByName((base if buckets is None else base.filter(F.col("bucket").isin(buckets))).drop("bucket"))
+        if buckets is not None:
+            found = found.filter(self.bucket().isin(buckets))
+        return found.groupBy("ledger_id").agg(F.max_by(F.struct("index", "current_hash", "ts_us"), "index").alias("h")).select("ledger_id", "h.*")
+
+    def add(self, batch_id: int, blocks: DataFrame) -> None:
+        last = F.max_by(F.struct("index", "current_hash", "ts_us"), "pos")
+        blocks.groupBy("ledger_id").agg(last.alias("h")).select("ledger_id", "h.*").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        bases = [n for n in _numbered(self.spark, self.path, "base") if n < batch_id]
+        if batch_id - (bases[-1] if bases else -1) >= BASE_EVERY:
+            self.read(batch_id + 1).withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base={batch_id}")
 
 
 def ledger_writer(path: str, genesis_us: int, order: list[str], clock: Callable[[], int] | None = None) -> Callable[[DataFrame, int], None]:
@@ -244,24 +309,43 @@ def ledger_writer(path: str, genesis_us: int, order: list[str], clock: Callable[
 
     Each batch owns one folder and overwrites it, so a repeated batch leaves a ledger of the same events. A block's time
     is when it is appended (``clock``, microseconds) and never before its predecessor's; ``ts_us`` only orders events.
-    The heads of all ledgers are written with each batch, so a batch does not read earlier blocks. At its first batch a
-    writer verifies what is there: events of broken ledgers (LDG-07), and events with a ``reason``, go to
-    ``path/_rejects`` instead.
+    What a batch writes follows its events (``LedgerHeads``), and it reads no earlier blocks that are as they were.
+
+    At its first batch a writer verifies all blocks. At each later one it lists the files: ledgers with blocks in files that
+    are new or changed are verified, and all are if a file is gone. Events of broken ledgers (LDG-07), and events with a
+    ``reason``, go to ``path/_rejects`` instead.
     """
     clock = clock or (lambda: time.time_ns() // 1000)
     broken: list[DataFrame] = []
+    known_files: dict[str, tuple] = {}
+
+    def refresh(spark, kind: str, written: list[int]) -> None:
+        """Bring the list of broken ledgers up to date."""
+        schema = f"ledger_id {kind}, pos bigint, index bigint, ts_us bigint, event_type string, payload string, previous_hash string, current_hash string"
+        folders = [f"{path}/batch={b}" for b in written]
+        now = _files(spark, folders)
+        changed = [f for f, facts in now.items() if known_files.get(f) != facts]
+        gone = [f for f in known_files if f not in now]
+        first = not broken
+        if first:
+            broken.append(spark.createDataFrame([], f"ledger_id {kind}"))
+        if changed or gone:
+            blocks = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+            if not (first or gone):
+                touched = spark.read.schema(schema).parquet(*changed).select("ledger_id").distinct()
+                blocks = blocks.join(touched, "ledger_id", "left_semi")
+            bad = L.verify(blocks).filter("NOT valid").select("ledger_id")
+            if gone and not first:  # a ledger may have lost all of its blocks: its head is known all the same
+                heads = LedgerHeads(spark, path, kind).read(written[-1] + 1 if written else 0)
+                bad = bad.unionByName(heads.join(blocks.groupBy("ledger_id").agg(F.max("index").alias("top")), "ledger_id", "left").filter("top IS NULL OR top < index").select("ledger_id"))
+            broken[0] = materialise(broken[0].unionByName(bad).distinct(), "broken-ledgers")
+        known_files.clear()
+        known_files.update(now)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, kind = batch.sparkSession, batch.schema["ledger_id"].dataType.simpleString()
-        written = [b for b in _batches(spark, path) if b < batch_id]
-        if not broken:
-            bad = spark.createDataFrame([], f"ledger_id {kind}")
-            if written:
-                blocks = spark.read.schema(f"ledger_id {kind}, pos bigint, index bigint, ts_us bigint, event_type string, payload string, previous_hash string, current_hash string, batch bigint").parquet(path)
-                bad = L.verify(blocks.filter(F.col("batch") < batch_id)).filter("NOT valid").select("ledger_id")
-            broken.append(materialise(bad, "broken-ledgers"))
-        head_schema = f"ledger_id {kind}, index bigint, current_hash string, ts_us bigint"
-        heads = spark.read.schema(head_schema).parquet(f"{path}/_heads/batch={written[-1]}") if written else spark.createDataFrame([], head_schema)
+        refresh(spark, kind, [b for b in _numbered(spark, path, "batch") if b < batch_id])
+        store = LedgerHeads(spark, path, kind)
         batch = batch.persist()
         try:
             reason = F.col("reason") if "reason" in batch.columns else F.lit(None).cast("string")
@@ -269,14 +353,16 @@ def ledger_writer(path: str, genesis_us: int, order: list[str], clock: Callable[
             batch_ = batch_.withColumn("reason", F.coalesce("reason", F.when(F.col("__bad"), F.lit("LEDGER_BROKEN")))).drop("__bad")
             batch_.filter("reason IS NOT NULL").write.mode("overwrite").parquet(f"{path}/_rejects/batch={batch_id}")
             events = batch_.filter("reason IS NULL").drop("reason").withColumnRenamed("ts_us", "__event_us")
+            buckets = [r[0] for r in events.select(store.bucket()).distinct().collect()]  # at most HEAD_BUCKETS numbers
+            heads = store.read(batch_id, buckets)
             first = L.genesis(events.select("ledger_id").distinct().join(heads, "ledger_id", "left_anti"), F.lit(genesis_us)).select(*L.BLOCK_COLUMNS)
             known = heads.unionByName(first.select(*HEAD_COLUMNS))
             now = F.greatest(F.col("__head_us"), F.lit(clock()))
             events = events.join(known.select("ledger_id", F.col("ts_us").alias("__head_us")), "ledger_id").withColumn("ts_us", now)
             added = L.append_events(known, events, ["__event_us" if c == "ts_us" else c for c in order], F.floor(F.col("__event_us") / F.lit(3600e6)))
             first.unionByName(added).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-            own = _heads(spark.read.parquet(f"{path}/batch={batch_id}"))
-            own.unionByName(heads.join(own, "ledger_id", "left_anti")).write.mode("overwrite").parquet(f"{path}/_heads/batch={batch_id}")
+            store.add(batch_id, spark.read.parquet(f"{path}/batch={batch_id}"))
+            known_files.update(_files(spark, [f"{path}/batch={batch_id}"]))
         finally:
             batch.unpersist()
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import kernels as K
 from ..session import scratch
@@ -314,46 +314,7 @@ def _follow_session(state: dict, row: dict) -> dict:
 # ---- streams -----------------------------------------------------------------------------------------------------------
 
 
-class Waiting:
-    """STM-09: chunks that the watermark has not passed, one state entry each; taken in order of time and arrival."""
-
-    FIELDS = ["seq", "pcm", "speaker", "action", "role", "financial", "language"]
-
-    def __init__(self, handle):
-        key = StructType([StructField("us", LongType()), StructField("n", LongType())])
-        self.handle, self.entries = handle, handle.getMapState("waiting", key, "seq bigint, pcm binary, speaker string, action string, role string, financial boolean, language string")
-        self.count = handle.getValueState("arrived", StructType([StructField("n", LongType())]))
-
-    def add(self, frames: Iterator[pd.DataFrame]) -> None:
-        n, first = (self.count.get()[0] if self.count.exists() else 0), None
-        for pdf in frames:
-            for row in J._records(pdf):
-                self.entries.updateValue((row["us"], n), tuple(row[f] for f in self.FIELDS))
-                first, n = row["us"] if first is None else min(first, row["us"]), n + 1
-        self.count.update((n,))
-        if first is not None:
-            self.wake(first // 1000, earlier=True)
-
-    def take(self, watermark_ms: int) -> tuple[list[dict], int | None]:
-        """Rows whose time has come, in order of ``seq``, and the time of the first that still waits."""
-        due, later = [], None
-        for us, n in sorted(tuple(k) for k in self.entries.keys()):
-            if us // 1000 <= watermark_ms:
-                value = self.entries.getValue((us, n))
-                due.append({**dict(zip(self.FIELDS, value)), "us": us, "n": n})
-                self.entries.removeKey((us, n))
-            else:
-                later = us if later is None else min(later, us)
-        return sorted(due, key=lambda r: (r["seq"], r["n"])), later
-
-    def wake(self, at_ms: int, earlier: bool = False) -> None:
-        """One timer at ``at_ms``; with ``earlier``, only if none is set before."""
-        timers = list(self.handle.listTimers())
-        if earlier and timers and min(timers) <= at_ms:
-            return
-        for timer in timers:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at_ms)
+WAITING = ["seq", "pcm", "speaker", "action", "role", "financial", "language"]
 
 
 class Collector(StatefulProcessor):
@@ -363,7 +324,7 @@ class Collector(StatefulProcessor):
         self.kind, self.rules, self.idle_ms = kind, rules, idle_ms
 
     def init(self, handle) -> None:
-        self.waiting = Waiting(handle)
+        self.waiting = J.Waiting(handle, WAITING, ", ".join(f"{c} {CHUNK_TYPES[c]}" for c in WAITING))
         self.value = handle.getValueState("call", StructType([StructField("json", StringType())]))
         self.chunks = handle.getMapState("chunks", "name string, number bigint", "pcm binary")
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from earshot.operators import blocks
 from earshot.operators import evaluation as E
 
 
@@ -80,3 +81,11 @@ def test_benchmark_flips_for_humans(spark):
     assert got["nat"].correct == 1 and got["A07"].correct == 1 and got["A17"].correct == 0 and got["zzz"].split_kind == "Unknown"
     gap = E.generalisation(E.system_benchmark(df, 0.5)).first()
     assert (gap.known_detected_pct, gap.unseen_detected_pct, gap.generalization_gap_pct) == (100.0, 50.0, 50.0)
+
+
+def test_blocks_are_even_where_scores_pile_up(spark):
+    rows = spark.range(40_000).selectExpr("CASE WHEN id < 39600 THEN 0.5 + id * 1e-9 ELSE id / 40000D END AS v").repartition(7)
+    cut = blocks.with_depth_block(rows, "v", "b", 64)
+    per = cut.groupBy("b").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
+    assert [r.b for r in per] == list(range(64)) and max(r.n for r in per) <= 2 * min(r.n for r in per)
+    assert all(a.high < b.low for a, b in zip(per, per[1:]))

@@ -175,3 +175,42 @@ def test_ledger_files(spark, tmp_path):
 def test_row_blocks_are_bounded(spark):
     df = spark.range(10).select(F.lit("x").alias("k"), "id")
     assert [r.rn for r in B.row_index(df, ["k"], ["id"], B.int_block("id", 3)).orderBy("id").collect()] == list(range(1, 11))
+
+
+def test_writer_refuses_ledgers_broken_between_batches(spark, tmp_path, monkeypatch):
+    from earshot.streaming import jobs as J
+
+    monkeypatch.setattr(J, "BASE_EVERY", 3)
+    path = str(tmp_path / "ledger")
+    write = J.ledger_writer(path, T0, ["ts_us"], lambda: T0 + 10)
+
+    def batch(number, names):
+        rows = [(n, T0 + number, "E", json.dumps({"b": number})) for n in names]
+        write(spark.createDataFrame(rows, "ledger_id string, ts_us long, event_type string, payload string"), number)
+
+    files = lambda n: spark.read.parquet(f"{path}/_heads/batch={n}")
+    verdict = lambda: {r.ledger_id: (r.valid, r.blocks_verified) for r in L.verify(spark.read.parquet(path)).collect()}
+    batch(0, "abcdef")
+    batch(1, "ab")
+    assert {r.ledger_id for r in files(1).collect()} == {"a", "b"}  # what is written follows the batch
+    # someone rewrites a block of c: its next event is refused, those of others are not
+    held = spark.read.parquet(f"{path}/batch=0").collect()
+    changed = [r.asDict() | ({"payload": '{"b":9}'} if r.ledger_id == "c" and r.pos == 1 else {}) for r in held]
+    spark.createDataFrame([tuple(r[c] for c in L.BLOCK_COLUMNS) for r in changed], SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch=0")
+    for number in range(2, 8):
+        batch(number, "abc" if number % 2 else "ac")
+    got = verdict()
+    assert got["a"] == (True, 9) and got["b"] == (True, 6) and got["d"] == (True, 2) and not got["c"][0]
+    refused = J.rejected_events(spark, path).collect()
+    assert len(refused) == 6 and {(r.ledger_id, r.reason) for r in refused} == {("c", "LEDGER_BROKEN")}
+    # heads come from the base and the batches after it
+    assert {r.ledger_id: r["index"] for r in J.LedgerHeads(spark, path, "string").read(8).collect()} == {"a": 8, "b": 5, "c": 1, "d": 1, "e": 1, "f": 1}
+    # a whole folder goes: ledgers that lost blocks take no more events
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=1")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    batch(8, "abd")
+    assert {(r.ledger_id, r.ts_us) for r in J.rejected_events(spark, path).collect() if r.ts_us == T0 + 8} == {("a", T0 + 8), ("b", T0 + 8)}
+    # a batch that is written again leaves the same ledger
+    before = spark.read.parquet(path).count()
+    batch(8, "abd")
+    assert spark.read.parquet(path).count() == before
