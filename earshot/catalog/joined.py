@@ -74,7 +74,7 @@ def joined_audio_state(spark, d):
     return followed.select("call_id", "seq", "speaker", "cut_for", "cut_from", "cut_to", "risk", "risk_a", "risk_b", "peak_a", "peak_b", rnd("history_mean", 6).alias("history_mean"), "history_max", "turns_a", "turns_b", events.alias("events"))
 
 
-@query("joined_session_state", f"""
+_SESSION = f"""
 WITH RECURSIVE {_CHUNKS},
 s AS (
   SELECT DISTINCT call_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS who, '' AS h, 0::BIGINT AS t, NULL::DOUBLE AS prob, 0.08e0 AS eb, 0.05e0 AS ea, 0.08e0 AS rb, 0.05e0 AS ra FROM c
@@ -82,7 +82,10 @@ s AS (
   SELECT call_id, k, seq, who, h, t, prob, eb, ea, CASE who WHEN 'B' THEN least(greatest(eb, 0.01e0), 0.99e0) ELSE rb END, CASE who WHEN 'A' THEN least(greatest(ea, 0.01e0), 0.35e0) ELSE ra END
   FROM (SELECT * REPLACE (CASE who WHEN 'B' THEN CASE WHEN prob > eb THEN 0.7e0 * prob + (1e0 - 0.7e0) * eb ELSE 0.35e0 * prob + (1e0 - 0.35e0) * eb END ELSE eb END AS eb, CASE who WHEN 'A' THEN 0.3e0 * prob + 0.7e0 * ea ELSE ea END AS ea)
    FROM (SELECT s.call_id, c.k, c.seq, c.who, s.h || c.h AS h, t + n AS t, ('0x' || substr(md5(right(repeat('0', 2800) || s.h || c.h, 2800)), 1, 4))::INTEGER % 1000 / 1000e0 AS prob, eb, ea, rb, ra
-     FROM s JOIN c ON s.call_id = c.call_id AND c.k = s.k + 1)))
+     FROM s JOIN c ON s.call_id = c.call_id AND c.k = s.k + 1)))"""
+
+
+@query("joined_session_state", f"""{_SESSION}
 SELECT call_id, seq, who AS speaker, greatest(t - 700, 0) AS cut_from, t AS cut_to, prob, {r('rb', 9)} AS remote_prob, {r('ra', 9)} AS local_prob FROM s WHERE k > 0""")
 def joined_session_state(spark, d):
     """STM-03, STM-12, STM-14: the last mixed seconds of a session, silence before its start included."""
@@ -90,6 +93,14 @@ def joined_session_state(spark, d):
     return followed.select("call_id", "seq", "speaker", "cut_from", "cut_to", "prob", rnd("remote_prob", 9).alias("remote_prob"), rnd("local_prob", 9).alias("local_prob"))
 
 
+@query("joined_session_alerts", f"""{_SESSION}
+SELECT call_id, count(*) AS alerts, min(seq) AS first_alert FROM s WHERE k > 0 AND rb >= 0.7 GROUP BY call_id""")
+def joined_session_alerts(spark, d):
+    """STM-06: rows of sessions whose remote party is at 0.70 or more."""
+    alerts = live.J.session_alerts(J.replay_calls(_channels(spark, d), _digest_score, "session", RULES))
+    return alerts.groupBy("call_id").agg(F.count("*").alias("alerts"), F.min("seq").alias("first_alert"))
+
+
 @query("joined_audio_streams", """
 SELECT k AS kind, count(*) AS streamed, count(*) AS replayed, 0::BIGINT AS differing FROM conversations, (VALUES ('monitor'), ('session')) t(k) WHERE role <> 'system' AND octet_length(encode(text)) >= 2 GROUP BY k""")
 def joined_audio_streams(spark, d):

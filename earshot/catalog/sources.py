@@ -372,7 +372,8 @@ def role_labels_and_clock(spark, d):
     return table(spark, d, "events").select("event_id", role_label(F.concat("event_type", F.lit("_agent"))).alias("role_label"), clock("value").alias("clock"))
 
 
-@query("standardised_clips")
+@query("standardised_clips", """
+SELECT doc_id, floor(octet_length(encode(text)) // 2 / 16000e0 * 10000 + 0.5e0) / 10000 AS duration_sec, 0.95e0 AS peak FROM documents WHERE octet_length(encode(text)) // 2 >= 1000""")
 def standardised_clips(spark, d):
     """SRC-20: whole documents as clips, silence cut, half a second kept, peak set to 0.95."""
     out = media.standardise(spoken(spark, d), shortest=1000)

@@ -191,11 +191,15 @@ def normalise_peak(y: np.ndarray, target: float = 0.95, minimum: float = 0.03) -
     return y if top < minimum else y / top * target
 
 
-def voiced_or_whole(y: np.ndarray, top_db: float = 28.0, shortest: int = 8000, frame: int = 2048, hop: int = 512) -> np.ndarray:
-    """SIG-07: hops whose frame is within ``top_db`` of the loudest; the whole clip where too little is left."""
+def voiced(y: np.ndarray, top_db: float = 28.0, frame: int = 2048, hop: int = 512) -> np.ndarray:
+    """SIG-07: hops whose frame is within ``top_db`` of the loudest."""
     if not len(y):
         return y
     power = np.maximum(1e-10, frame_levels(y, frame, hop) ** 2)
-    keep = np.repeat(power > power.max() * 10 ** (-top_db / 10.0), hop)[: len(y)]
-    cut = y[: len(keep)][keep]
+    return y[np.repeat(power > power.max() * 10 ** (-top_db / 10.0), hop)[: len(y)]]
+
+
+def voiced_or_whole(y: np.ndarray, top_db: float = 28.0, shortest: int = 8000) -> np.ndarray:
+    """SIG-07: ``voiced``; the whole clip where too little is left."""
+    cut = voiced(y, top_db)
     return cut if len(cut) >= max(shortest, 1) else y

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, rnd
-from ..functions.vectors import cosine_similarity, mean_vector
+from ..functions.vectors import cosine_similarity
+from .metric_index import nearest_in_index
 
 
 def two_clusters(vectors: np.ndarray) -> np.ndarray:
@@ -105,15 +106,12 @@ CENTROIDS_AT_ONCE = 2000
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """JOIN-08, general form: nearest centroid by cosine, of equal ones that with the smallest key.
 
-    Centroids are speakers, so they are few: up to ``CENTROIDS_AT_ONCE`` are one scalar array that rows scan in place.
-    More are taken in blocks of that size, and rows keep the best of the blocks before; nothing is paired or shuffled.
+    Up to ``CENTROIDS_AT_ONCE`` are one scalar array that rows scan in place; more are an index of balls with exact pruning
+    (``metric_index``), which is broadcast. Nothing is paired or shuffled.
     """
-    out, blocks = vectors.withColumn("__best", F.lit(None).cast(f"struct<d:double,k:{centroids.schema[key].dataType.simpleString()}>")), 1
-    if (count := centroids.count()) > CENTROIDS_AT_ONCE:
-        blocks = -(-count // CENTROIDS_AT_ONCE)
-    for block in range(blocks):
-        own = centroids if blocks == 1 else centroids.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
-        packed = own.select(F.struct(key, "centroid").alias("c")).agg(F.array_sort(F.collect_list("c")).alias("cs")).scalar()
-        distances = F.transform("__cs", lambda c: F.struct((F.lit(1.0) - cosine_similarity(vector, c["centroid"])).alias("d"), c[key].alias("k")))
-        out = out.withColumn("__cs", packed).withColumn("__best", F.array_min(F.array_append(distances, F.coalesce("__best", F.array_min(distances))))).drop("__cs")
+    if centroids.count() > CENTROIDS_AT_ONCE:
+        return nearest_in_index(vectors, centroids, key, vector)
+    packed = centroids.select(F.struct(key, "centroid").alias("c")).agg(F.array_sort(F.collect_list("c")).alias("cs")).scalar()
+    distances = F.transform("__cs", lambda c: F.struct((F.lit(1.0) - cosine_similarity(vector, c["centroid"])).alias("d"), c[key].alias("k")))
+    out = vectors.withColumn("__cs", packed).withColumn("__best", F.array_min(distances)).drop("__cs")
     return out.withColumns({"nearest": F.col("__best.k"), "distance": F.col("__best.d")}).drop("__best")

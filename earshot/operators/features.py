@@ -89,6 +89,16 @@ def voiced_and_normalised(pcm, top_db: float = 28.0, shortest: int = 8000) -> Co
     return prepare(pcm)
 
 
+def cut_at_silence(pcm, top_db: float = 28.0) -> Column:
+    """SIG-07 on long clips: the hops that are kept, however few; empty for a missing clip."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def cut(pcm: pd.Series) -> pd.Series:
+        return pcm.map(lambda y: K.voiced(np.asarray([] if y is None else y, dtype=np.float64), top_db))
+
+    return cut(pcm)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def silence_levels(pcm: pd.Series) -> pd.Series:
     """Frame levels for SIG-07 (2048 samples every 512), of clips of any length."""

@@ -54,14 +54,19 @@ def parse_ledgers(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks, tagged.select(F.col("file").alias("ledger_id"), "status")
 
 
-def read_ledger_files(spark: SparkSession, path: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def read_ledger_files(spark: SparkSession, path: str, expected: DataFrame | None = None, largest: int = 256 << 20) -> tuple[DataFrame, DataFrame]:
     """SRC-08 over a folder of ledger files, one array per file.
 
+    A file is one JSON value, so it is parsed as one row; files of more than ``largest`` bytes are not read and reported as
+    TOO_LARGE.
+
     Spark plans no work for files of zero length; ``expected`` (ledger_id = path) names the files that
     should be there, and those without content are reported as EMPTY_FILE.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "utf-8").alias("value"), F.col("path").alias("file"))
+    found = spark.read.format("binaryFile").load(path)
+    files = found.filter(F.col("length") <= largest).select(F.decode("content", "utf-8").alias("value"), F.col("path").alias("file"))
     blocks, status = parse_ledgers(files)
+    status = status.unionByName(found.filter(F.col("length") > largest).select(F.col("path").alias("ledger_id"), F.lit("TOO_LARGE").alias("status")))
     if expected is not None:
         status = expected.select("ledger_id").join(status, "ledger_id", "left").fillna({"status": "EMPTY_FILE"})
     return blocks, status

@@ -170,6 +170,8 @@ def test_ledger_files(spark, tmp_path):
     ok = H.foreign_hash_ok("index", "timestamp", "event_type", "payload", "previous_hash", "current_hash")
     row = L.verify(got, foreign_ok=ok).first()
     assert row.valid and row.blocks_verified == 4
+    few, status = stores.read_ledger_files(spark, str(tmp_path), expected, largest=100)
+    assert few.count() == 0 and {r.ledger_id.rsplit("/", 1)[1]: r.status for r in status.collect()} == {**by, "good.json": "TOO_LARGE"}
 
 
 def test_row_blocks_are_bounded(spark):
