@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
 from ..plans import live
-from ..session import materialise, table
+from ..session import materialise, scratch, table
+from ..sources.pcm_stream import pcm_stream
+from ..sources.ranged import write_raw
 from ..streaming import joined as J
 from . import query, r
 from .models import _document_model
@@ -115,3 +117,26 @@ def joined_audio_streams(spark, d):
         one = per.agg(F.sum("s").alias("streamed"), F.sum(F.col("n") - F.col("s")).alias("replayed"), F.sum(F.abs("net")).alias("differing")).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("pcm_file_stream", """
+WITH c AS (SELECT 'c' || conv_id AS call_id, encode(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS b, string_agg(coalesce(text, ''), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT call_id, (octet_length(b) + 499) // 500 AS chunks, octet_length(b) AS bytes, md5(t) AS digest, true AS limited FROM c WHERE octet_length(b) > 0""")
+def pcm_file_stream(spark, d):
+    """SRC-14, SRC-11: growing files of PCM as a stream with a limit per trigger, stopped while files grow and started again."""
+    whole = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("@1700000000000000.pcm"))
+    calls = materialise(whole.select(name.alias("name"), F.encode(F.array_join(F.transform("t", lambda x: x["text"]), ""), "utf-8").alias("pcm")), "call-bytes")
+    folder, out, checkpoint, most = scratch(spark, "pcm-files"), scratch(spark, "pcm-out"), scratch(spark, "pcm-checkpoint"), 0
+    half = calls.withColumn("pcm", F.substring("pcm", F.lit(1), F.expr("octet_length(pcm) div 2")))
+    for recorded, done in ((half, False), (calls, True)):
+        write_raw(recorded, folder, done)
+        query_ = pcm_stream(spark, folder, 500, 2).writeStream.format("parquet").option("checkpointLocation", checkpoint).start(out)
+        query_.processAllAvailable()
+        most = max([most, *(p["numInputRows"] for p in query_.recentProgress)])
+        query_.stop()
+    limited = most <= 2 * calls.count()
+    read = spark.read.schema("call_id string, seq long, event_ts timestamp, pcm binary").parquet(out)
+    per = read.groupBy("call_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("pcm")).alias("bytes"), F.array_sort(F.collect_list(F.struct("seq", "pcm"))).alias("c"))
+    joined = F.aggregate("c", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["pcm"]))
+    return per.select("call_id", "chunks", "bytes", F.md5(joined).alias("digest"), F.lit(limited).alias("limited"))

@@ -9,22 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, rnd
 from ..functions.vectors import cosine_similarity
+from ..session import materialise
 from .metric_index import nearest_in_index
 
 
-def two_clusters(vectors: np.ndarray) -> np.ndarray:
-    """0/1 labels of average-linkage clustering under cosine distance, cut at two clusters.
+def average_linkage(sums: np.ndarray, size: np.ndarray, count: int) -> np.ndarray:
+    """Labels of average-linkage clustering under cosine distance, cut at ``count`` clusters; an item stands for ``size`` unit
+    vectors with the given sum.
 
     The mean cosine similarity of two clusters of unit vectors is the dot product of their sums over
-    the product of their sizes, so only sums are kept: memory is linear in the number of segments.
-    Nearest-neighbour chains give the merges; the last one in height order is undone.
+    the product of their sizes, so only sums are kept: memory is linear in the number of items.
+    Nearest-neighbour chains give the merges; the last ones in height order are undone.
     """
-    n = len(vectors)
-    if n < 2:
-        return np.zeros(n, dtype=np.int64)
-    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-    sums = vectors / np.where(lengths > 0, lengths, 1.0)
-    size, alive = np.ones(n), np.ones(n, dtype=bool)
+    n = len(sums)
+    sums, size, alive = sums.astype(np.float64).copy(), size.astype(np.float64).copy(), np.ones(n, dtype=bool)
     merges, chain = [], []
     while alive.sum() > 1:
         if not chain:
@@ -52,28 +50,89 @@ def two_clusters(vectors: np.ndarray) -> np.ndarray:
             i = parent[i]
         return i
 
-    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - 2]:
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(n - count, 0)]:
         parent[root(b)] = root(a)
-    roots = np.array([root(i) for i in range(n)])
+    return np.array([root(i) for i in range(n)], dtype=np.int64)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(lengths > 0, lengths, 1.0)
+
+
+def two_clusters(vectors: np.ndarray) -> np.ndarray:
+    """0/1 labels of average-linkage clustering under cosine distance, cut at two clusters; the first item's is 0."""
+    if len(vectors) < 2:
+        return np.zeros(len(vectors), dtype=np.int64)
+    roots = average_linkage(_units(vectors), np.ones(len(vectors)), 2)
     return (roots != roots[0]).astype(np.int64)
 
 
-def cluster_segments(segments: DataFrame, call="call_id", index="seg_idx", vector="emb") -> DataFrame:
+AT_ONCE = 2000  # segments, or features, that are clustered in one task
+
+
+def cluster_segments(segments: DataFrame, call="call_id", index="seg_idx", vector="emb", most: int = AT_ONCE) -> DataFrame:
     """ML-08: ``cluster`` per segment; the first segment's cluster is 0 ("Speaker A", WIN-08).
 
-    A call is one group: its segments are bounded by the length of a conversation.
+    A call of up to ``most`` segments is one group. The segments of a longer one are dealt over groups of about that size, each
+    group is merged to an eighth as many clustering features (sum and size), these are dealt and merged again until they
+    fit one group, and that is cut in two. So no task holds more than about ``most`` items, and far ends of a long call
+    meet as features and not segment by segment.
     """
+    kind = segments.schema[call].dataType.simpleString()
+    counts = segments.groupBy(call).agg(F.count("*").alias("__n"))
+    slim = segments.select(call, index, vector).join(counts, call)
     fields = segments.select(call, index).schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", cluster long"
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index, kind="stable")
         return pd.DataFrame({call: pdf[call], index: pdf[index], "cluster": two_clusters(np.stack(pdf[vector].to_numpy()).astype("float64"))})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", cluster long"
-    labels = segments.select(call, index, vector).groupBy(call).applyInPandas(label, schema)
+    labels = slim.filter(F.col("__n") <= most).drop("__n").groupBy(call).applyInPandas(label, schema)
+    longest = counts.agg(F.max("__n")).first()[0] or 0
+    if longest > most:
+        labels = labels.unionByName(_cluster_long(slim.filter(F.col("__n") > most), call, index, vector, most, longest, kind))
     return segments.join(labels, [call, index])
 
 
+def _cluster_long(long: DataFrame, call: str, index: str, vector: str, most: int, longest: int, kind: str) -> DataFrame:
+    """Labels of calls of more than ``most`` segments, by levels of clustering features."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item", kind="stable")
+        roots = average_linkage(np.stack(pdf["total"].to_numpy()).astype("float64"), pdf["size"].to_numpy(), max(1, len(pdf) // 8))
+        return pd.DataFrame({call: pdf[call], "item": pdf["item"], "into": pdf["item"].to_numpy()[roots]})
+
+    def halve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item", kind="stable")
+        return pd.DataFrame({call: pdf[call], "item": pdf["item"], "into": average_linkage(np.stack(pdf["total"].to_numpy()).astype("float64"), pdf["size"].to_numpy(), 2)})
+
+    @F.pandas_udf("array<double>")
+    def unit(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: _units(np.asarray(x, dtype=np.float64)[None, :])[0])
+
+    width = F.col("width")
+    items = materialise(long.select(call, F.col(index).cast("bigint").alias("item"), unit(F.col(vector).cast("array<double>")).alias("total"), F.lit(1).cast("bigint").alias("size"), F.col("__n").alias("width")), "features")
+    schema, maps = f"`{call}` {kind}, item bigint, into bigint", []
+    while longest > most:
+        part = F.pmod(F.xxhash64("item"), F.ceil(width / F.lit(most)))
+        into = materialise(items.withColumn("part", part).select(call, "part", "item", "total", "size").groupBy(call, "part").applyInPandas(merge, schema), "merged")
+        maps.append(into)
+        joined = items.join(into, [call, "item"]).select(call, "into", "size", F.posexplode("total").alias("i", "x"))
+        sums = joined.groupBy(call, "into", "i").agg(F.sum("x").alias("x"), F.sum("size").alias("size"))
+        items = sums.groupBy(call, F.col("into").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"), F.first("size").alias("size"))
+        widths = items.groupBy(call).agg(F.count("*").alias("width"))
+        items = materialise(items.join(widths, call), "features")
+        longest = items.agg(F.max("width")).first()[0]
+    found = items.groupBy(call).applyInPandas(halve, schema)
+    for into in reversed(maps):  # from features back to segments
+        found = into.withColumnRenamed("into", "__up").join(found.withColumnRenamed("item", "__up"), [call, "__up"]).select(call, "item", "into")
+    found = materialise(found, "labels")
+    first = found.groupBy(call).agg(F.min_by("into", "item").alias("first"))
+    return found.join(first, call).select(call, F.col("item").cast(long.schema[index].dataType).alias(index), (F.col("into") != F.col("first")).cast("bigint").alias("cluster"))
+
+
 def assign_by_margin(clustered: DataFrame, width: int, call="call_id", vector="emb", margin=0.007) -> DataFrame:
     """JOIN-08, batch rule: nearer cluster mean (tie to A); nearly equal similarities mean overlap.
 

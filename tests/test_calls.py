@@ -116,3 +116,27 @@ def test_call_events(spark):
     assert got == [(0, "INFO", 5.0), (2, "INFO", 40.0), (5, "INFO", 7.0), (6, "ALERT", 90.0), (7, "OVERLAP", 25.0)]
     last = C.call_events(tel, F.lit(0), most=1).first()
     assert last.seq == 7 and "Bank Agent" in [r.text for r in C.call_events(tel, F.lit(0)).collect() if r.seq == 6][0]
+
+
+def test_long_calls_are_clustered_in_parts(spark):
+    rng = np.random.default_rng(11)
+    voices = rng.normal(size=(2, 12))
+    rows = []
+    for name, n in (("short", 30), ("long", 700), ("one", 1), ("edge", 64)):
+        who = (rng.random(n) < 0.4).astype(int)
+        who[0] = 0
+        rows += [(name, k, (voices[w] + 0.4 * rng.normal(size=12)).tolist(), int(w)) for k, w in enumerate(who)]
+    df = spark.createDataFrame(rows, "call_id string, seg_idx int, emb array<double>, who int").repartition(5)
+    whole = {(r.call_id, r.seg_idx): r.cluster for r in L.cluster_segments(df).collect()}
+    split = L.cluster_segments(df, most=64)
+    assert split.schema["seg_idx"].dataType.simpleString() == "int" and split.count() == len(rows)
+    wrong = 0
+    for r in split.collect():
+        if r.call_id != "long":  # one group: equal labels
+            assert r.cluster == whole[r.call_id, r.seg_idx]
+        else:
+            wrong += r.cluster != r.who
+    assert wrong <= 7
+    sums = np.stack([r[2] for r in rows if r[0] == "edge"])
+    labels = L.average_linkage(L._units(sums), np.ones(len(sums)), 5)
+    assert len(set(labels.tolist())) == 5
