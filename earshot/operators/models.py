@@ -51,6 +51,11 @@ def to_vectors(df: DataFrame, names: list[str], shortcuts: list[str] = (), featu
     return df.withColumn("features", array_to_vector(array))
 
 
+def spread(df: DataFrame) -> int:
+    """Partitions for training rows: as many as the session shuffles into."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _estimators(kind: str, settings: dict, seed: int) -> list:
     common = {"featuresCol": "features", "labelCol": "label"}
 
@@ -81,8 +86,11 @@ class SpoofModel:
     def fit(cls, train: DataFrame, kind: str = "random_forest", names: list[str] | None = None, shortcuts: list[str] = (), seed: int = 42, **overrides) -> "SpoofModel":
         """ML-01 .. ML-04. ``train`` has ``label`` and the feature map ``f``."""
         names = FEATURE_NAMES if names is None else names
-        # fitting reads its rows many times, so they are written once
+        # fitting reads its rows many times, so they are written once; samples are drawn by partition and place, so rows are
+        # dealt and ordered by what they hold, and a model does not depend on the order of files
         data = balanced_weights(materialise(to_vectors(train, names, shortcuts).select("label", "features"), "train"))
+        place = F.xxhash64(vector_to_array("features"), "label")
+        data = data.repartition(spread(train), place).sortWithinPartitions(place)
         voters = [e.fit(data) for e in _estimators(kind, {**SETTINGS[kind], **overrides}, seed)]
         return cls(kind, voters, names, 0.5, list(shortcuts))
 
