@@ -39,7 +39,7 @@ def unit_block(value, slices: int = 4096) -> Column:
     return F.floor(as_col(value) * slices)
 
 
-def depth_bounds(df: DataFrame, value, count: int = 1024) -> Column:
+def depth_bounds(df: DataFrame, value, count: int = 256) -> Column:
     """``count - 1`` ascending bounds that cut the rows of ``df`` into blocks of nearly equal size, as a scalar.
 
     They come from one mergeable quantile summary whose rank error is a tenth of a block, so a value that many rows lie near
@@ -49,7 +49,7 @@ def depth_bounds(df: DataFrame, value, count: int = 1024) -> Column:
     return df.agg(F.percentile_approx(as_col(value), shares, F.lit(10 * count)).alias("bounds")).scalar()
 
 
-def depth_block(value, bounds: Column, count: int = 1024) -> Column:
+def depth_block(value, bounds: Column, count: int = 256) -> Column:
     """Block of a value among ``depth_bounds``: how many bounds are not above it, by binary search; never decreases with it.
 
     ``count`` must be a power of two. Without bounds (no rows) it is NULL.
@@ -59,7 +59,7 @@ def depth_block(value, bounds: Column, count: int = 1024) -> Column:
     return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(bounds, low + step - 1) <= v, low + step).otherwise(low))
 
 
-def with_depth_block(df: DataFrame, value, name: str, count: int = 1024) -> DataFrame:
+def with_depth_block(df: DataFrame, value, name: str, count: int = 256) -> DataFrame:
     """``df`` with the block of ``value`` among blocks of nearly equal size as column ``name``."""
     bound = df.withColumn("__bounds", depth_bounds(df, value, count))
     return bound.withColumn(name, depth_block(value, F.col("__bounds"), count)).drop("__bounds")
