@@ -7,8 +7,9 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions.corpus import file_name
-from ..operators.features import cut_at_silence, scaled
+from ..operators.features import change_clips
 
 
 def audio_listing(spark: SparkSession, root: str, pattern: str = "*.{wav,flac}") -> DataFrame:
@@ -135,7 +136,7 @@ def json_messages(messages: DataFrame, text: str = "message") -> tuple[DataFrame
 def standardise(clips: DataFrame, pcm: str = "pcm", top_db: float = 30.0, shortest: int = 8000) -> DataFrame:
     """SRC-20: silence cut, clips of at least half a second kept, peak normalised; adds ``duration_sec``.
 
-    Missing and silent clips are too short; clips of any length take two NumPy passes, no array lambdas.
+    Missing and silent clips are too short; clips of any length take one NumPy pass, a few clips at a time, no array lambdas.
     """
-    cut = clips.withColumn(pcm, cut_at_silence(pcm, top_db)).filter(F.size(pcm) >= shortest)
-    return cut.withColumn("duration_sec", F.size(pcm) / 16000.0).withColumn(pcm, scaled(pcm, 0.95, 0.03))
+    cut = change_clips(clips, lambda y: K.normalise_peak(K.voiced(y, top_db), 0.95, 0.03), pcm).filter(F.size(pcm) >= shortest)
+    return cut.withColumn("duration_sec", F.size(pcm) / 16000.0)

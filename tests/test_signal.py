@@ -185,3 +185,41 @@ def test_noise_is_seeded(spark):
     df = spark.createDataFrame([(1, [0.0] * 100, 0.01), (2, [0.0] * 100, 0.0)], "id int, pcm array<float>, noise_amp double")
     a, b = (sorted((r.id, tuple(r.pcm)) for r in X.add_noise(x, "id").collect()) for x in (df, df.repartition(3)))
     assert a == b and np.std(a[0][1]) == pytest.approx(0.01, rel=0.3) and set(a[1][1]) == {0.0}
+
+
+def test_changed_clips_leave_a_few_at_a_time():
+    """A batch of any size is handed on in parts of bounded samples, with the values of a pass over whole columns."""
+    import pyarrow as pa
+    from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+
+    class Table:
+        schema = StructType([StructField("k", IntegerType()), StructField("pcm", BinaryType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(5)
+    raw = [None, b"", b"\x01", *(rng.integers(-20000, 20000, 200_001, dtype="<i2").tobytes() for _ in range(20))]
+    batch = pa.RecordBatch.from_pydict({"k": pa.array(range(len(raw)), pa.int32()), "pcm": pa.array(raw, pa.binary())})
+    run = X.change_clips(Table(), lambda y: K.normalise_peak(y, 0.95, 0.03))
+    out = list(run(iter([batch])))
+    assert max(len(b.column(1).flatten()) for b in out) <= X.SMALL + 200_001 and len(out) > 3
+    got = pa.Table.from_batches(out)
+    assert got["k"].to_pylist() == list(range(len(raw)))
+    for y, b in zip(got["pcm"], raw):
+        np.testing.assert_array_equal(np.array(y.values), K.normalise_peak(K.decode_pcm(b or b"").astype(np.float64), 0.95, 0.03))
+
+
+def test_changed_clips_where_flagged(spark):
+    df = spark.createDataFrame([(1, [0.5, -0.25], True), (2, [0.5], False), (3, None, True)], "k int, pcm array<float>, loud boolean")
+    got = {r.k: list(r.pcm) for r in X.change_clips(df, lambda y: y * 2, where="loud").collect()}
+    assert got == {1: [1.0, -0.5], 2: [0.5], 3: []}
+
+
+def test_standardised_clips(spark):
+    y = np.concatenate([np.zeros(8192), 0.5 * sine(300, 1.0), np.zeros(8192)])
+    df = spark.createDataFrame([("a", y.tolist()), ("short", [0.5] * 100), ("none", None)], "name string, pcm array<float>")
+    rows = media.standardise(df).collect()
+    want = K.normalise_peak(K.voiced(np.array(y, dtype=np.float32).astype(float), 30.0), 0.95, 0.03)
+    assert [r.name for r in rows] == ["a"] and rows[0].duration_sec == pytest.approx(len(want) / RATE)
+    np.testing.assert_allclose(rows[0].pcm, want)
