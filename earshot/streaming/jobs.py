@@ -58,13 +58,19 @@ def closed_stream(chunks: DataFrame, label: str, delay: str = "10 seconds") -> D
 # --- windows (STM-01) ----------------------------------------------------------------------------
 
 def rolling_risk(chunks: DataFrame, length: str = "3 seconds", hop: str = "1 second", delay: str = "5 seconds", tau=0.5102) -> DataFrame:
-    """STM-01: level and risk of the last three seconds, once per second; near silence gets 2.5."""
+    """STM-01: level and risk of the last three seconds, once per second; near silence gets 2.5.
+
+    A window whose chunks have no length has no mean: its probability and risk are NaN, as 0 / 0 is in doubles, and NaN is over
+    every limit, as in the ordering of SQL engines.
+    """
+    none, seconds = F.lit(float("nan")), F.sum("dur")
+    mean = lambda value: F.when(seconds == 0, none).otherwise(F.sum(value * F.col("dur")) / seconds)
     win = chunks.withWatermark("event_ts", delay).groupBy("call_id", F.window("event_ts", length, hop)).agg(
-        F.count("*").alias("chunks"), F.sqrt(F.sum(F.col("rms") * F.col("rms") * F.col("dur")) / F.sum("dur")).alias("rms"), F.max("peak").alias("peak"),
-        (F.sum(F.col("prob") * F.col("dur")) / F.sum("dur")).alias("prob"))
-    judged = R.assess_risk(win, prob="prob", tau=tau)
-    return judged.select("call_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "chunks", rnd("prob", 6).alias("prob"),
-                         Q.silence_or("stream", "rms", "peak", "risk_score").alias("risk_score"), (F.col("alert") & ~Q.near_silent("stream", "rms", "peak")).alias("alert"))
+        F.count("*").alias("chunks"), F.sqrt(mean(F.col("rms") * F.col("rms"))).alias("rms"), F.max("peak").alias("peak"), mean(F.col("prob")).alias("prob"))
+    judged, lost = R.assess_risk(win, prob="prob", tau=tau), F.isnan("prob")
+    risk = Q.silence_or("stream", "rms", "peak", F.when(lost, none).otherwise(F.col("risk_score")))
+    return judged.select("call_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "chunks", F.when(lost, none).otherwise(rnd("prob", 6)).alias("prob"),
+                         risk.alias("risk_score"), ((F.col("alert") | lost) & ~Q.near_silent("stream", "rms", "peak")).alias("alert"))
 
 
 def call_sessions(chunks: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,19 @@ def test_queued_payloads(spark):
     got = [r.p and json.loads(r.p) for r in df.select(J.synced_payload(F.col("payload"), F.col("queued_at")).alias("p")).collect()]
     new = {"edge_synced": True, "original_queued_at": 1.5}
     assert got == [{"k": 1, **new}, {"a": [1, {"b": None}], **new}, new, None, None, None, None, new]
+
+
+def test_rolling_window_of_chunks_without_length(spark, tmp_path):
+    """The mean over no seconds is NaN, as in the SQL, and does not end the stream."""
+    from earshot import catalog
+
+    catalog.load_all()
+    rows = [(1, dt.datetime(2024, 1, 5, 1), 7, "x", 0.0, ""), (2, dt.datetime(2024, 1, 5, 1), 8, "x", 300.0, "")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["rolling_window_risk"](spark, f"{tmp_path}").collect()]
+    with duckdb.connect() as db:
+        db.sql("SET TimeZone = 'UTC'")
+        db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = db.sql(catalog.SQL["rolling_window_risk"]).fetchall()
+    plain = lambda rows: sorted([(*r[:3], *("none" if isinstance(v, float) and np.isnan(v) else v for v in r[3:])) for r in rows], key=lambda r: r[:2])
+    assert plain(got) == plain(want) and len(got) == 6 and plain(got)[0][3] == "none"
