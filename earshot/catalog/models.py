@@ -11,7 +11,7 @@ from ..plans import call_analysis, clip_analysis, experiment, live
 from ..session import materialise, scratch, table
 from ..streaming import jobs as J
 from . import query, r
-from .signal import spoken
+from .signal import spoken, spoken_bytes
 
 NAMES = [f"e{i}" for i in range(64)]
 
@@ -107,7 +107,7 @@ def training_experiment(spark, d):
 
 def _document_model(spark, d):
     """Features of all documents, written once, and a model of the quality label."""
-    feats = clip_analysis.feature_table(spoken(spark, d).withColumnRenamed("doc_id", "audio_id"))
+    feats = clip_analysis.feature_table(spoken_bytes(spark, d).withColumnRenamed("doc_id", "audio_id"))
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("audio_id"), F.col("quality").cast("int").alias("label"))
     return M.SpoofModel.fit(feats.join(labels, "audio_id"), "logistic", rounds=20)
 
@@ -116,7 +116,7 @@ def _document_model(spark, d):
 def clip_analysis_query(spark, d):
     """ML-10, ML-11 over whole documents; lengths are scaled down with the clips."""
     model = _document_model(spark, d)
-    clips = spoken(spark, d).select(F.col("doc_id").alias("audio_id"), "pcm", F.col("lang").alias("language"), (F.pmod("doc_id", F.lit(3)) == 0).alias("unknown_number"),
+    clips = spoken_bytes(spark, d).select(F.col("doc_id").alias("audio_id"), "pcm", F.col("lang").alias("language"), (F.pmod("doc_id", F.lit(3)) == 0).alias("unknown_number"),
                                     (F.pmod("doc_id", F.lit(5)) == 0).alias("high_value"), F.lit(False).alias("prior_fraud"), F.lit(None).cast("double").alias("ext_prob"))
     out = clip_analysis.analyse_clips(clips, model, window=1024, minimum=1200, shortest=256)
     return out.select("audio_id", rnd("model_prob", 6).alias("model_prob"), "risk_score", "risk_level", "alert")

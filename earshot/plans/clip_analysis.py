@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import risk as R
 from ..functions.hashing import event_payload
-from ..functions.quality import near_silent
+from ..functions.quality import SILENCE_RULES
 from ..operators import calls
-from ..operators.features import clip_features, cut_spans, normalised, reject_reason, sliding_spans, sound_facts, voiced_and_normalised
+from ..operators.features import clip_features, cut_spans, facts_of, sliding_spans
 from ..operators.models import SpoofModel
 from ..session import materialise
 
@@ -18,38 +20,49 @@ RESULT = ["audio_id", "model_prob", "spoof_prob", "risk_score", "risk_level", "a
 SILENT_NOTE = "Audio level is near silent / ambient room noise. No synthetic voice detected. Please speak closer to the microphone."
 
 
-def _piece_spans(window: int, minimum: int):
-    """The whole clip and up to five windows of it (WIN-02) as (s, e)."""
-    n = F.size("pcm")
-    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
-    step = F.greatest(F.lit(1), F.floor((n - window) / 4).cast("int"))
-    starts = F.when(n >= minimum, F.slice(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)), step), 1, 5)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(span(F.lit(0), n)), F.transform(starts, lambda s: span(s, s + window)))
+def _pieces(window: int, minimum: int, shortest: int):
+    """The standardised clip (number -1) and up to five windows of it that are not silent (WIN-02), with the flag of a
+    near-silent clip (PRJ-10), which hands on no samples. Nothing of unusable clips (PRJ-15)."""
+    quiet_rms, quiet_peak, _ = SILENCE_RULES["batch"]
+
+    def pieces(y: np.ndarray):
+        n, finite, rms, peak = facts_of(y)
+        if not n or not finite:
+            return
+        if rms < quiet_rms and peak < quiet_peak:
+            yield -1, True, y[:0]
+            return
+        y = K.normalise_peak(K.voiced_or_whole(y, 28.0, shortest)).astype(np.float32).astype(np.float64)
+        yield -1, False, y
+        if len(y) >= minimum:
+            starts = range(0, max(len(y) - window, 0) + 1, max(1, (len(y) - window) // 4))
+            for win, start in enumerate(starts[:5]):
+                part = y[start : start + window]
+                if facts_of(part)[2] >= 0.003:
+                    yield win, False, K.normalise_peak(np.pad(part, (0, window - len(part))))
+
+    return pieces
 
 
 def analyse_clips(clips: DataFrame, model: SpoofModel, window: int = 48000, minimum: int = 56000, shortest: int = 8000) -> DataFrame:
-    """``clips``: audio_id, pcm, language, unknown_number, high_value, prior_fraud, ext_prob.
+    """``clips``: audio_id, pcm (samples, or int16 bytes), language, unknown_number, high_value, prior_fraud, ext_prob.
 
-    Audio is read once. Clips without samples or with samples that are not finite give no result: ``usable_clips`` lists
-    them with the reason (PRJ-15). A near-silent clip keeps its row but hands no samples to the feature job. The only
-    shuffle is one aggregation of at most six score rows per clip.
+    Audio is read once, and one clip at a time goes from its samples to the numbers of its pieces in one pass. Clips without
+    samples or with samples that are not finite give no result: ``usable_clips`` lists them with the reason (PRJ-15). A
+    near-silent clip keeps its row but hands no samples to the feature job. The only shuffle is one aggregation of at most
+    six score rows per clip.
     """
     facts = [c for c in clips.columns if c != "pcm"]
-    df = clips.withColumn("__facts", sound_facts("pcm")).filter(reject_reason("__facts").isNull())
-    df = df.withColumn("silent", near_silent("batch", "__facts.rms", "__facts.peak"))
-    df = df.withColumn("pcm", F.when(F.col("silent"), F.array().cast("array<double>")).otherwise(voiced_and_normalised("pcm", 28.0, shortest)))
-    rows = df.select("audio_id", F.to_json(F.struct("silent", *facts)).alias("facts"), "pcm", _piece_spans(window, minimum).alias("spans"))
     whole = F.col("win") < 0
-    pieces = cut_spans(rows).select("audio_id", F.when(F.col("pos") == 0, F.col("facts")).alias("facts"), (F.col("pos") - 1).alias("win"), "pcm")
-    pieces = pieces.withColumn("__facts", sound_facts("pcm")).filter(whole | (F.col("__facts.rms") >= 0.003)).drop("__facts")
-    pieces = pieces.withColumn("pcm", F.when(whole, F.col("pcm").cast("array<double>")).otherwise(normalised("pcm")))
-    scored = model.score(clip_features(pieces)).select("audio_id", "win", "model_prob", "facts", F.when(whole, F.col("f")).alias("f"))
+    rows = clips.select("audio_id", F.to_json(F.struct(*facts)).alias("facts"), "pcm")
+    features = clip_features(rows, pieces=_pieces(window, minimum, shortest), more="win int, silent boolean")
+    scored = model.score(features).select("audio_id", "win", "silent", "model_prob", F.when(whole, F.col("facts")).alias("facts"), F.when(whole, F.col("f")).alias("f"))
 
     in_window = F.when(~whole, F.col("model_prob"))
     per_clip = scored.groupBy("audio_id").agg(
         F.max(F.when(whole, F.col("model_prob"))).alias("global_prob"), F.percentile(in_window, F.lit(0.75)).alias("p75"), F.median(in_window).alias("med"),
-        F.first("f", ignorenulls=True).alias("f"), F.first("facts", ignorenulls=True).alias("facts"))
-    fact_type = ", ".join(f"`{c}` {t}" for c, t in [("silent", "boolean"), *((c, clips.schema[c].dataType.simpleString()) for c in facts if c != "audio_id")])
+        F.first("f", ignorenulls=True).alias("f"), F.first("facts", ignorenulls=True).alias("facts"), F.max("silent").alias("silent"))
+    fact_type = ", ".join(f"`{c}` {clips.schema[c].dataType.simpleString()}" for c in facts if c != "audio_id")
     out = per_clip.withColumn("facts", F.from_json("facts", fact_type)).select("*", "facts.*")
     feat = lambda name: F.col("f")[name]
     out = out.withColumn("model_prob", F.when(F.col("silent"), 0.02).otherwise(calls.window_blend("global_prob", "p75", "med")))

@@ -53,3 +53,17 @@ def test_call_analysis(spark, model):
     pages = {r.call_id: r for r in report.collect()}
     spoken = [e.speaker for e in pages["two"].timeline]
     assert spoken[0] in ("Speaker A", "Overlap (A+B)") and len(spoken) == got["two"].n_segments
+
+
+def test_clip_analysis_from_bytes_in_one_pass(spark, model):
+    """Clips as int16 bytes give what their samples give, and one Python step takes a clip to the numbers of its pieces."""
+    clips = {"long": voice(150, 5.0, 1), "short": voice(150, 1.0, 2), "silent": np.zeros(16000, np.float32) + 0.001, "none": np.zeros(0, np.float32)}
+    pcm = {k: (v * 32767).astype("<i2") for k, v in clips.items()}
+    facts = "language string, unknown_number boolean, high_value boolean, prior_fraud boolean, ext_prob double"
+    raw = spark.createDataFrame([(k, bytearray(v.tobytes()), "hi", True, False, False, None) for k, v in pcm.items()], f"audio_id string, pcm binary, {facts}")
+    samples = spark.createDataFrame([(k, (v / np.float32(32768)).tolist(), "hi", True, False, False, None) for k, v in pcm.items()], f"audio_id string, pcm array<float>, {facts}")
+    one, two = (clip_analysis.analyse_clips(df, model) for df in (raw, samples))
+    rows = lambda df: sorted((r.audio_id, r.model_prob, r.risk_score, r.explanation) for r in df.collect())
+    assert rows(one) == rows(two) and [r[0] for r in rows(one)] == ["long", "short", "silent"]
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "ArrowEvalPython" not in plan  # one Python step

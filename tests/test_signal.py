@@ -223,3 +223,12 @@ def test_standardised_clips(spark):
     want = K.normalise_peak(K.voiced(np.array(y, dtype=np.float32).astype(float), 30.0), 0.95, 0.03)
     assert [r.name for r in rows] == ["a"] and rows[0].duration_sec == pytest.approx(len(want) / RATE)
     np.testing.assert_allclose(rows[0].pcm, want)
+
+
+def test_clips_of_bytes_are_decoded_where_they_are_described(spark):
+    rng = np.random.default_rng(5)
+    raw = [(rng.standard_normal(n) * 9000).astype("<i2").tobytes() + odd for n, odd in ((16000, b""), (700, b"x"), (0, b"x"))] + [None]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(raw)], "id int, pcm binary")
+    decoded = X.change_clips(df, kind="float")
+    for job in (X.clip_features, lambda c: X.describe_clips(c).select("id", "n_samples", "f0", "mfcc")):
+        assert sorted(map(str, job(df).collect())) == sorted(map(str, job(decoded).collect()))
