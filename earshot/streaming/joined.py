@@ -5,9 +5,9 @@ audio of the call and of each speaker, names the speaker, and cuts the audio tha
 stateless stage scores these cuts; they are dropped right after, so audio never goes through an exchange twice. A
 follower turns the scores of a call into smoothed risks and events.
 
-Rings are kept chunk by chunk: a chunk is written to state once, read only when a cut needs it, and removed when
-newer audio has pushed it out. What waits for the watermark is kept chunk by chunk too, so the work of a trigger follows
-its new rows and not the length of the call.
+Rings are kept chunk by chunk: a chunk is written to state once, at the end of its trigger, read only when a cut needs it, and
+removed when newer audio has pushed it out. What waits for the watermark is kept in blocks of chunks, so the work of a
+trigger follows its new rows and not the length of the call.
 """
 
 from __future__ import annotations
@@ -119,19 +119,25 @@ class DictStore:
 
 
 class MapStore:
-    """Chunks of one call in Spark's state."""
+    """Chunks of one call in Spark's state. New ones are held until ``flush``, as most are pushed out in the same trigger."""
 
     def __init__(self, state):
-        self.state = state
+        self.state, self.new = state, {}
 
     def put(self, name, number, pcm):
-        self.state.updateValue((name, number), (pcm,))
+        self.new[name, number] = pcm
 
     def get(self, name, number):
-        return bytes(self.state.getValue((name, number))[0])
+        return self.new[name, number] if (name, number) in self.new else bytes(self.state.getValue((name, number))[0])
 
     def remove(self, name, number):
-        self.state.removeKey((name, number))
+        if self.new.pop((name, number), None) is None:
+            self.state.removeKey((name, number))
+
+    def flush(self):
+        for key, pcm in self.new.items():
+            self.state.updateValue(key, (pcm,))
+        self.new = {}
 
 
 # ---- the collector -----------------------------------------------------------------------------------------------------
@@ -324,7 +330,7 @@ class Collector(StatefulProcessor):
         self.kind, self.rules, self.idle_ms = kind, rules, idle_ms
 
     def init(self, handle) -> None:
-        self.waiting = J.Waiting(handle, WAITING, ", ".join(f"{c} {CHUNK_TYPES[c]}" for c in WAITING))
+        self.waiting = J.Waiting(handle, WAITING)
         self.value = handle.getValueState("call", StructType([StructField("json", StringType())]))
         self.chunks = handle.getMapState("chunks", "name string, number bigint", "pcm binary")
 
@@ -342,6 +348,7 @@ class Collector(StatefulProcessor):
             return
         state, store = json.loads(self.value.get()[0]) if self.value.exists() else collector_start(), MapStore(self.chunks)
         out = [o for o in (collect(state, store, r, self.kind, self.rules) for r in due) if o is not None]
+        store.flush()
         self.value.update((json.dumps(state),))
         if later is not None:
             self.waiting.wake(later // 1000)

@@ -3,6 +3,7 @@ import json
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,65 @@ def test_rolling_window_of_chunks_without_length(spark, tmp_path):
         want = db.sql(catalog.SQL["rolling_window_risk"]).fetchall()
     plain = lambda rows: sorted([(*r[:3], *("none" if isinstance(v, float) and np.isnan(v) else v for v in r[3:])) for r in rows], key=lambda r: r[:2])
     assert plain(got) == plain(want) and len(got) == 6 and plain(got)[0][3] == "none"
+
+
+class Handle:
+    """State of one call in memory; ``requests`` counts writes, reads and removals of map entries."""
+
+    def __init__(self):
+        self.held, self.value, self.timers, self.requests = {}, None, [], 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        handle = self
+
+        class Value:
+            exists = lambda _: handle.value is not None
+            get = lambda _: handle.value
+
+            def update(self, value):
+                handle.value = value
+
+        return Value()
+
+    def keys(self):
+        return list(self.held)
+
+    def _count(self, key):
+        self.requests += 1
+        return key
+
+    def updateValue(self, key, value):
+        self.held[self._count(key)] = value
+
+    def getValue(self, key):
+        return self.held[self._count(key)]
+
+    def removeKey(self, key):
+        del self.held[self._count(key)]
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, timer):
+        self.timers.remove(timer)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_waiting_chunks_take_few_requests():
+    handle, rng = Handle(), np.random.default_rng(1)
+    waiting = J.Waiting(handle, ["seq", "emb", "role"])
+    order = rng.permutation(3000)
+    for part in np.array_split(order, 3):
+        waiting.add(iter([pd.DataFrame({"event_ts": [T0 + dt.timedelta(seconds=int(s)) for s in part], "seq": part, "emb": [np.array([s, 1.0]) for s in part], "role": None})]))
+    start = int((T0 - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    assert handle.timers == [start]
+    first, later = waiting.take(start + 999_999)
+    assert [r["seq"] for r in first] == list(range(1000)) and later == (start + 1_000_000) * 1000 and first[5]["emb"].tolist() == [5.0, 1.0] and first[5]["role"] is None
+    rest, later = waiting.take(start + 10_000_000)
+    assert [r["seq"] for r in rest] == list(range(1000, 3000)) and later is None and not handle.held
+    assert handle.requests < 100  # one entry per chunk took 9 000
