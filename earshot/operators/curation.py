@@ -110,18 +110,21 @@ def _name_split(key=KEY) -> Column:
 
 
 def stratified_split(df: DataFrame, ident, label: str | None = "label", train=0.70, dev=0.15, seed=42) -> DataFrame:
-    """CUR-01: adds ``split``; each label is cut at the same shares (``label=None``: one common cut)."""
+    """CUR-01: adds ``split``; each label is cut at the same shares (``label=None``: one common cut).
+
+    The cuts, one row per label, go to the clips: a join that deals clips by label puts half of them into one task.
+    """
     keyed = _scoped(df, ident, seed)
     strata = [label] if label else [SCOPE]
     cuts = _two_cuts(keyed, strata, F.floor(F.col("size") * train), F.floor(F.col("size") * (train + dev)))
-    return _clean(match(keyed, cuts, strata).withColumn("split", _name_split()).drop("cut_a", "cut_b"))
+    return _clean(match(keyed, F.broadcast(cuts), strata).withColumn("split", _name_split()).drop("cut_a", "cut_b"))
 
 
 def fixed_split(df: DataFrame, ident, train: int = 1400, dev: int = 300, seed=42) -> DataFrame:
     """CUR-03: the first ``train`` and the next ``dev`` rows of the draw, the rest is test."""
     keyed = _scoped(df, ident, seed)
     cuts = _two_cuts(keyed, [SCOPE], F.lit(train), F.lit(train + dev))
-    return _clean(keyed.join(cuts, [SCOPE]).withColumn("split", _name_split()).drop("cut_a", "cut_b"))
+    return _clean(keyed.join(F.broadcast(cuts), [SCOPE]).withColumn("split", _name_split()).drop("cut_a", "cut_b"))
 
 
 def speaker_disjoint_split(df: DataFrame, speaker: str = "speaker_id", train=0.70, dev=0.15, seed=42) -> DataFrame:

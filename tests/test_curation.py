@@ -113,3 +113,16 @@ def test_null_slices_keep_their_metrics(spark):
     rows = spark.createDataFrame([(i % 2, (i % 10) / 10, None if i % 3 else "x") for i in range(60)], "label int, score double, language string")
     got = {r.language: r for r in E.sliced_metrics(rows, ["language"], 0.5).collect()}
     assert got[None].n == 40 and got["x"].n == 20 and got[None].roc_auc is not None
+
+
+def test_splits_do_not_deal_clips_by_label(spark):
+    """Joins by size off, as for large tables: clips meet their cuts where they are."""
+    df = spark.range(400).select(F.col("id").alias("audio_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("label"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for split in (K.stratified_split(df, "audio_id"), K.stratified_split(df, "audio_id", label=None), K.fixed_split(df, "audio_id", 100, 50)):
+            plan = split._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan) and split.count() == 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
