@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id (of equal ids, the first row).
 
-    Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, computed exactly. Groups
+    Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, computed exactly; candidates
+    are the links of the trie join of fingerprints, and what shares a MinHash band. Groups
     whose ids are all null keep one row too; null and blank texts are one group. An empty table stays empty; columns of
     any names pass through. Documents are written once and not moved: the rows to drop are lists of ids beside them.
     """

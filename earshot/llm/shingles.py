@@ -1,10 +1,11 @@
-"""Near-duplicate groups by exact similarity of shingle sets: MinHash bands propose, the sets themselves decide.
-
-Two texts are linked if the Jaccard similarity of their sets of word shingles reaches the limit. Texts that share a band
-(the smallest images of their shingles under ``ROWS`` hash functions) are candidates; with 40 bands of six, a pair of
-similarity 0.8 shares none with a chance of 5 in a million, a pair above it more rarely. Candidate components are then
-searched breadth first with the sets of shingles, so no pair below the limit is ever linked; large ones are split over
-tasks.
+"""Near-duplicate groups by exact similarity of shingle sets: SimHash and MinHash propose, the sets themselves decide.
+
+Two texts are linked if the Jaccard similarity of their sets of word shingles reaches the limit. Candidates are the links of
+the trie join (``simhash``) over the SimHash fingerprints of the sets. No budget that the join can walk reaches all pairs at
+0.8, so texts that share a band (the smallest images of their shingles under ``ROWS`` hash functions) are candidates too; with
+40 bands of six, a pair of similarity 0.8 shares none with a chance of 5 in a million, a pair above it more rarely. Candidate
+components are then searched breadth first with the sets of shingles, so no pair below the limit is ever linked; large ones
+are split over tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import frozen, is_listed, own_path, write_id_lists
-from .simhash import _LOWER, components
+from .simhash import _LOWER, Rule, components, linked, majority
 from .words import mix
 
 BANDS, ROWS = 40, 6
@@ -47,9 +48,9 @@ def bands(digests: np.ndarray) -> np.ndarray:
 
 
 def sketch_column(text: Column, size: int = 5) -> Column:
-    """``digest`` (128 bits of the set of shingles) and ``bands`` of a text; a null text is empty."""
+    """``digest`` (128 bits of the set of shingles), ``bands`` and ``print`` (SimHash of the set) of a text; a null text is empty."""
 
-    @F.arrow_udf("struct<digest:binary,bands:array<long>>")
+    @F.arrow_udf("struct<digest:binary,bands:array<long>,print:long>")
     def run(texts):
         import pyarrow as pa
         import xxhash
@@ -57,7 +58,8 @@ def sketch_column(text: Column, size: int = 5) -> Column:
         sets = [shingles(t.as_py() or "", size) for t in texts]
         digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
         keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([digests, keys], ["digest", "bands"])
+        prints = pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([digests, keys, prints], ["digest", "bands", "print"])
 
     return run(text)
 
@@ -171,7 +173,7 @@ def _pair_task(limit: float, size: int):
 def split_groups(texts: DataFrame, stars: DataFrame, limit: float, size: int, most: int = MOST) -> DataFrame:
     """(node, root) of the linked sets in large candidate components; ``texts``: node, root (of the component), text; frozen.
 
-    First each set is compared with the centres of its bands (``stars``: a, b), which connects most of a dense group; a
+    First each set is compared with the centres of its bands and its trie links (``stars``: a, b), which connects most of a dense group; a
     centre with many partners is met in several tasks. What is connected then is a part. Sets of small parts of a
     component are dealt over mixed chunks, those of a large part over chunks of its own, and only chunks that hold
     different parts are compared, two at a time. So a task never holds more than about two chunks, and every pair of
@@ -183,8 +185,8 @@ def split_groups(texts: DataFrame, stars: DataFrame, limit: float, size: int, mo
     rays = inside.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), slots).cast("int").alias("slot"))
     centres = partners.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
     met = rays.unionByName(centres).join(texts.select(F.col("node").alias("b"), "text"), "b")
-    linked = frozen(met.groupBy("a", "slot").applyInArrow(_star_task(limit, size), "a long, b long"), "star-links")
-    parts = components(linked).withColumnRenamed("root", "v")
+    links = frozen(met.groupBy("a", "slot").applyInArrow(_star_task(limit, size), "a long, b long"), "star-links")
+    parts = components(links).withColumnRenamed("root", "v")
     sets = frozen(texts.select("node", "root").join(parts, "node", "left").select("node", "root", F.coalesce("v", "node").alias("v")), "parts")
 
     sizes = sets.groupBy("root", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -205,10 +207,19 @@ def split_groups(texts: DataFrame, stars: DataFrame, limit: float, size: int, mo
     wanted = pairs.select("root", "c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c"))
     work = wanted.join(dealt, ["root", "c"]).join(texts.select("node", "text"), "node")
     more = work.select("node", "v", "c", "c1", "c2", "text").groupBy("c1", "c2").applyInArrow(_pair_task(limit, size), "a long, b long")
-    return components(linked.unionByName(more))
+    return components(links.unionByName(more))
+
+
+def _trie_links(distinct: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b), a < b, that connect all sets whose fingerprints are equal or linked by the trie join; ``distinct``: node,
+    print; frozen."""
+    prints = frozen(distinct.groupBy("print").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("times")), "prints")
+    equal = distinct.join(prints.filter("times > 1").select("print", F.col("node").alias("a")), "print").filter("node > a").select("a", F.col("node").alias("b"))
+    near = linked(prints.select("node", F.array("print").alias("fp")), rule)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(equal)
 
 
-def repeated_rows(rows: DataFrame, limit: float = 0.8, size: int = 5, most: int = MOST) -> DataFrame:
+def repeated_rows(rows: DataFrame, limit: float = 0.8, size: int = 5, most: int = MOST, rule: Rule = Rule()) -> DataFrame:
     """``row_id`` of all ``rows`` (row_id, doc_id, text, sketch; frozen) but one of each group of linked texts.
 
     The row with the smallest doc_id stays (of equal ids, the first row; null ids come last). Equal sets of shingles are
@@ -218,11 +229,12 @@ def repeated_rows(rows: DataFrame, limit: float = 0.8, size: int = 5, most: int
     """
     # hot sets are combined before the exchange
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
-    distinct = rows.groupBy("sketch.digest").agg(F.min(F.struct("row_id", "sketch.bands")).alias("m"), F.min(order).alias("first"), F.count(F.lit(1)).alias("times"))
-    distinct = frozen(distinct.select("digest", F.col("m.row_id").alias("node"), F.col("m.bands").alias("bands"), "first", "times"), "shingle-sets")
+    distinct = rows.groupBy("sketch.digest").agg(F.min(F.struct("row_id", "sketch.bands", "sketch.print")).alias("m"), F.min(order).alias("first"), F.count(F.lit(1)).alias("times"))
+    distinct = frozen(distinct.select("digest", F.col("m.row_id").alias("node"), F.col("m.bands").alias("bands"), F.col("m.print").alias("print"), "first", "times"), "shingle-sets")
     keys = distinct.select("node", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("band", "a")
-    stars = frozen(keys.join(shared, "band").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "stars")
+    banded = keys.join(shared, "band").filter("node > a").select("a", F.col("node").alias("b"))
+    stars = frozen(banded.unionByName(_trie_links(distinct.select("node", "print"), rule)).distinct(), "stars")
     candidates = components(stars)
     wanted = own_path(rows.sparkSession, "candidates")
     write_id_lists(candidates.select(F.col("node").alias("row_id")), wanted)
@@ -231,8 +243,8 @@ def repeated_rows(rows: DataFrame, limit: float = 0.8, size: int = 5, most: int
     texts = frozen(texts, "candidate-texts", "zstd")
     small = texts.filter(F.col("sets") <= most).groupBy("root").applyInArrow(_group_task(limit, size), "node long, first long").select("node", F.col("first").alias("root"))
     large = texts.filter(F.col("sets") > most).drop("sets")
-    linked = small if large.isEmpty() else small.unionByName(split_groups(large, stars, limit, size, most))
-    named = frozen(distinct.drop("bands").join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first", "times"), "shingle-groups")
+    found = small if large.isEmpty() else small.unionByName(split_groups(large, stars, limit, size, most))
+    named = frozen(distinct.drop("bands", "print").join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first", "times"), "shingle-groups")
     groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("times").alias("rows")).filter("rows > 1")
     several = named.join(groups, "root").select("digest", F.col("kept.row_id").alias("kept"))
     # both sides come from an exchange of this join alone, so a hot digest is split at run time

@@ -57,6 +57,14 @@ def fingerprint(text: str, size: int = 4, seed: int = 42, words: int = 1) -> lis
     return [int.from_bytes(np.packbits(2 * row > count).tobytes(), "big") for row in ones]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes: the bits that are set in over half of them; zero for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for low in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[low : low + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint_column(text: Column, size: int = 4, seed: int = 42, words: int = 1) -> Column:
     """Fingerprint of a text as an array of ``words`` signed longs; null and blank texts give zeros."""
 

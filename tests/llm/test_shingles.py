@@ -75,6 +75,23 @@ def test_split_components_give_the_same_rows(spark, most):
     assert {r.doc_id for r in gone} == set(range(len(texts))) - brute(texts)
 
 
+def test_trie_join_proposes_candidates(spark):
+    """Near copies that share no band are found by their fingerprints; what is linked is still decided by the sets."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        base = prose(rng, 600, vocabulary=3000)
+        texts += [base, edited(rng, base, 1), prose(rng, 40, vocabulary=3000)]
+    rows = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    alone = F.struct("sketch.digest", F.array("doc.doc_id").alias("bands"), "sketch.print")
+    rows = with_row_ids(rows).withColumn("sketch", shingles.sketch_column(F.col("doc.text")))
+    rows = frozen(rows.select("row_id", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), alone.alias("sketch")), "trie-test")
+    prints = dict(rows.select("doc_id", "sketch.print").collect())
+    near = {k + 1 for k in range(0, 36, 3) if bin((prints[k] ^ prints[k + 1]) & (1 << 64) - 1).count("1") <= 4 and jaccard(texts[k], texts[k + 1]) >= 0.8}
+    gone = shingles.repeated_rows(rows).join(rows, "row_id").select("doc_id").collect()
+    assert len(near) > 5 and {r.doc_id for r in gone} == near
+
+
 def test_groups_of_sets():
     rng = np.random.default_rng(3)
     sets = []
