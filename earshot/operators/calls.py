@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk as R
 from ..functions.numeric import as_col, rnd
+from ..session import materialise
 from . import ordered
 
 SIGNALS = ["phase_var", "hf_ratio", "jitter", "contrast_std"]
@@ -145,7 +146,9 @@ def call_events(telemetry: DataFrame, block: Column, most: int = 30, alert_at: f
     A change of speaker is an event: OVERLAP (risk 25), INFO, or ALERT when the remote party's risk is at ``alert_at`` or
     more. An event with the text of the one before it is left out.
     """
-    spoken = ordered.turn_changes(telemetry.filter("is_speech"), ["call_id"], ["seq"], block, "speaker").filter("changed = 1")
+    # ordered operators read their rows more than once, so the recursion behind these is not run for each reading
+    told = materialise(telemetry.filter("is_speech").select("call_id", "seq", "timestamp", "speaker", "role", "risk_a", "risk_b"), "telemetry")
+    spoken = ordered.suppress_repeats(told, ["call_id"], ["seq"], block, "speaker")  # the first row of every turn
     remote = F.concat(F.lit("Remote party ("), F.initcap(F.replace("role", F.lit("_"), F.lit(" "))), F.lit(")"))
     overlap, local, hot = F.col("speaker") == "OVERLAP", F.col("speaker") == "A", F.col("risk_b") >= alert_at
     events = spoken.select(
@@ -154,5 +157,5 @@ def call_events(telemetry: DataFrame, block: Column, most: int = 30, alert_at: f
         F.when(overlap, "Both parties speak; not scored").when(local, "Local party speaks").otherwise(F.concat(remote, F.when(hot, " speaks: high risk of a cloned voice").otherwise(" speaks"))).alias("text"),
         F.when(overlap, 25.0).when(local, F.col("risk_a")).otherwise(F.col("risk_b")).alias("risk"),
     )
-    events = ordered.suppress_repeats(events, ["call_id"], ["seq"], block, "text")
+    events = ordered.suppress_repeats(materialise(events, "call-events"), ["call_id"], ["seq"], block, "text")
     return ordered.last_events(events, ["call_id"], [F.desc("seq")], most)
