@@ -1,5 +1,8 @@
 """Work done once: rows behind ordered operators, parts of a queue, and chunks of a call."""
 
+from pyspark.sql import functions as F
+
+from earshot.catalog import streams
 from earshot.operators import blocks as B
 from earshot.operators import calls as C
 
@@ -17,3 +20,18 @@ def test_call_events_read_their_telemetry_once(spark):
     got = C.call_events(tel.mapInPandas(counted, tel.schema), B.int_block("seq", 4), most=5).collect()
     assert seen.value == len(rows)
     assert sorted((r.call_id, r.seq, r.type) for r in got) == [(c, i, "ALERT" if (i // 3) % 2 else "INFO") for c in (1, 2) for i in (27, 30, 33, 36, 39)]
+
+
+def test_parts_of_a_queue_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    ts = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1_000_000)
+    e = spark.range(90).select(F.col("id").alias("event_id"), ts.alias("ts"), F.pmod("id", F.lit(8)).alias("user_id"), F.lit("x").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    e.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    tasks, enqueue = [], streams.stores.enqueue
+    monkeypatch.setattr(streams.stores, "enqueue", lambda df, path: (tasks.append(df.rdd.getNumPartitions()), enqueue(df, path)))
+    got = {r.ledger_id: tuple(r)[1:] for r in streams.queue_drain_rejects(spark, str(tmp_path)).collect()}
+    want = {}
+    for i in range(90):
+        bad, late = i % 10 < 2, i % 8 % 7 == 0 and i % 3 > 0
+        blocks, invalid, refused, _ = want.get(f"s{i % 8}", (1, 0, 0, True))
+        want[f"s{i % 8}"] = (blocks + (not bad and not late), invalid + bad, refused + (late and not bad), True)
+    assert tasks == [3, 3, 3] and got == want
