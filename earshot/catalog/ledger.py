@@ -135,6 +135,7 @@ def ledger_verify_against_checkpoints(spark, d):
     cp = L.create_checkpoints(full)
     cp = cp.withColumn("last_block_hash", F.when(m == 2, "a" * 64).otherwise(F.col("last_block_hash")))
     cp = cp.withColumn("cumulative_hash", F.when(m == 3, "b" * 64).otherwise(F.col("cumulative_hash")))
+    cp = materialise(cp, "checkpoints")  # read three times below
     last = L.heads(full).select("ledger_id", F.col("index").alias("top"))
     short = full.join(last, "ledger_id").filter(~((m == 1) & (F.col("pos") == F.col("top")))).drop("top")
     return L.verify_against_checkpoints(short, cp)

@@ -129,6 +129,21 @@ def lagged(df: DataFrame, keys: list[str], order: list, block, **cols) -> DataFr
     return out.drop(BLOCK, KEYED, "__prev", "__first", "__carry", "__pick", *[f"__v_{n}" for n in cols])
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, block, name: str = "rn", **cols) -> DataFrame:
+    """``row_index`` and ``lagged`` in one scan: the rows are shuffled and sorted once for both."""
+    df = _keyed(df, keys, block)
+    df = df.withColumns({f"__v_{n}": as_col(c) for n, c in cols.items()})
+    packed = F.struct(*[F.col(f"__v_{n}").alias(n) for n in cols])
+    rank = F.struct(*[as_col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    each = df.groupBy(KEYED).agg(F.count("*").alias("__n"), F.max_by(packed, rank).alias("__last"))
+    carry = each.select(KEYED, F.sum("__n").over(_before(keys)).alias("__before"), F.lag("__last").over(_over_blocks(keys)).alias("__carry"))
+    inside = Window.partitionBy(KEYED).orderBy(*order)
+    local = df.withColumns({"__prev": F.lag(packed).over(inside), "__at": F.row_number().over(inside)})
+    out = local.join(carry, KEYED, "left").withColumn("__pick", F.when(F.col("__at") == 1, F.col("__carry")).otherwise(F.col("__prev")))
+    out = out.withColumns({name: F.coalesce("__before", F.lit(0)) + F.col("__at"), **{n: F.col(f"__pick.{n}") for n in cols}})
+    return out.drop(BLOCK, KEYED, "__prev", "__at", "__before", "__carry", "__pick", *[f"__v_{n}" for n in cols])
+
+
 # --- bounded frames ------------------------------------------------------------------------------
 
 def last_rows(df: DataFrame, keys: list[str], order: list, block, rows: int, size: int = 4096, **aggs) -> DataFrame:

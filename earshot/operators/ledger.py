@@ -78,8 +78,7 @@ def check_blocks(ledger: DataFrame, foreign_ok: Column | None = None, block_rows
     df = ledger.select("ledger_id", "pos", "index", "ts_us", "previous_hash", "current_hash", yes(bad_genesis).alias("__genesis"), no(valid_schema).alias("__schema"), no(same_hash).alias("__hash_bad"))
 
     block = blocks.int_block("pos", block_rows)
-    df = blocks.row_index(df, ["ledger_id"], ["pos"], block, "__n").withColumn("position", F.col("__n") - 1).drop("__n")
-    df = blocks.lagged(df, ["ledger_id"], ["pos"], block, __hash="current_hash", __ts="ts_us")
+    df = blocks.numbered(df, ["ledger_id"], ["pos"], block, "__n", __hash="current_hash", __ts="ts_us").withColumn("position", F.col("__n") - 1)
     start, later = F.col("position") == 0, F.col("position") > 0
     status = (
         F.when(start & F.col("__genesis"), "GENESIS_BLOCK_INVALID")

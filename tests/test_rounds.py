@@ -22,6 +22,14 @@ def test_call_events_read_their_telemetry_once(spark):
     assert sorted((r.call_id, r.seq, r.type) for r in got) == [(c, i, "ALERT" if (i // 3) % 2 else "INFO") for c in (1, 2) for i in (27, 30, 33, 36, 39)]
 
 
+def test_numbered_is_row_index_and_lagged(spark):
+    rows = [(k, i, None if i % 7 == 3 else f"v{k}{i}") for k in (1, 2, None) for i in range(0, 60, 1 if k == 1 else 11)]
+    df, block = spark.createDataFrame(rows, "k long, i long, v string").repartition(5), B.int_block("i", 8)
+    once = B.numbered(df, ["k"], ["i"], block, "n", before="v")
+    twice = B.lagged(B.row_index(df, ["k"], ["i"], block, "n"), ["k"], ["i"], block, before="v")
+    assert sorted(map(str, once.select("k", "i", "v", "n", "before").collect())) == sorted(map(str, twice.select("k", "i", "v", "n", "before").collect()))
+
+
 def test_parts_of_a_queue_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     ts = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1_000_000)
     e = spark.range(90).select(F.col("id").alias("event_id"), ts.alias("ts"), F.pmod("id", F.lit(8)).alias("user_id"), F.lit("x").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
