@@ -8,7 +8,7 @@ from ..functions.numeric import rnd
 from ..operators import models as M
 from ..operators.evaluation import rates, confusion
 from ..plans import call_analysis, clip_analysis, experiment, live
-from ..session import materialise, scratch, table
+from ..session import balance_tasks, materialise, scratch, table
 from ..streaming import jobs as J
 from . import query, r
 from .signal import spoken, spoken_bytes
@@ -134,7 +134,7 @@ def call_analysis_query(spark, d):
 
 def _call_audio(spark, d):
     """Turns of conversations as chunks of a call, half a second apart."""
-    c = table(spark, d, "conversations")
+    c = balance_tasks(table(spark, d, "conversations"))
     return c.select(F.col("conv_id").alias("call_id"), F.col("turn").cast("bigint").alias("seq"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("turn") * 500_000).alias("event_ts"), F.encode("text", "utf-8").alias("pcm"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,15 @@ RATE = 16000
 def score_chunks(chunks: DataFrame, model: SpoofModel, kind: str = "monitor") -> DataFrame:
     """``chunks``: call_id, seq, event_ts, pcm (int16 bytes). Adds what the call state needs: length, level, clipping, voice
     vector, probability and risk. Stateless and without a shuffle; empty chunks are skipped (SRC-14)."""
-    audio = live_chunks(chunks).select("call_id", "seq", "event_ts", X.pcm_to_samples("pcm").alias("samples"))
-    audio = audio.withColumn("facts", X.sound_facts("samples")).withColumn("clipped", F.size(F.filter("samples", lambda v: F.abs(v) >= 0.99)) / F.size("samples"))
-    described = X.with_statistics(X.describe_clips(audio, "samples"))
-    voice = X.timbre_monitor() if kind == "monitor" else X.timbre_session()
-    scored = model.score(described.select("call_id", "seq", "event_ts", "facts", "clipped", voice.alias("emb"), X.feature_map().alias("f")))
+
+    def facts(y):
+        n, _, rms, peak = X.facts_of(y)
+        yield n, rms, peak, float((np.abs(y) >= 0.99).mean()) if n else None, y
+
+    # from bytes to numbers in one Python pass, a few chunks at a time
+    described = X.summarise_clips(live_chunks(chunks).select("call_id", "seq", "event_ts", "pcm"), pieces=facts, more="n int, rms double, peak double, clipped double")
+    voice = X.timbre_monitor(True) if kind == "monitor" else X.timbre_session(True)
+    scored = model.score(described.select("call_id", "seq", "event_ts", F.struct("n", "rms", "peak").alias("facts"), "clipped", voice.alias("emb"), X.feature_map().alias("f")))
     f = lambda name: F.col("f")[name]
     judged = R.assess_risk(
         scored, prob="model_prob", tau=model.threshold, phase=f("acoustic_phase_derivative_var"), hf=f("spectral_hf_energy_ratio"), jitter=f("prosody_jitter"), contrast=f("spectral_contrast_std"))

@@ -1,10 +1,12 @@
 """Work done once: rows behind ordered operators, parts of a queue, and chunks of a call."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from earshot.catalog import streams
+from earshot.catalog import models, streams
 from earshot.operators import blocks as B
 from earshot.operators import calls as C
+from earshot.operators import features as X
 
 
 def test_call_events_read_their_telemetry_once(spark):
@@ -43,3 +45,29 @@ def test_parts_of_a_queue_are_written_by_many_tasks(spark, tmp_path, monkeypatch
         blocks, invalid, refused, _ = want.get(f"s{i % 8}", (1, 0, 0, True))
         want[f"s{i % 8}"] = (blocks + (not bad and not late), invalid + bad, refused + (late and not bad), True)
     assert tasks == [3, 3, 3] and got == want
+
+
+def test_chunks_are_spread_and_described_in_one_pass(spark, tmp_path):
+    from earshot.plans import live
+
+    class Plain:
+        threshold = 0.5
+
+        def score(self, df):
+            return df.withColumn("model_prob", F.lit(0.5))
+
+    rng = np.random.default_rng(4)
+    rows = [(c, t, "user", "".join(map(chr, rng.integers(32, 1500, 40 * (t + 1))))) for c in range(3) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    audio = models._call_audio(spark, str(tmp_path))
+    assert audio.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    for kind, voice in (("monitor", X.timbre_monitor()), ("session", X.timbre_session())):
+        scored = live.score_chunks(audio, Plain(), kind)
+        assert scored._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1 and "ArrowEvalPython" not in scored._jdf.queryExecution().executedPlan().toString()
+        y = live.live_chunks(audio).select("call_id", "seq", X.pcm_to_samples("pcm").alias("pcm"))
+        facts = X.describe_clips(y.withColumn("facts", X.sound_facts("pcm"))).select("call_id", "seq", "facts.*", voice.alias("emb"))
+        want = {(r.call_id, r.seq): r for r in facts.collect()}
+        got = {(r.call_id, r.seq): r for r in scored.collect()}
+        assert got.keys() == want.keys() and len(got) == 12
+        for key, r in got.items():
+            np.testing.assert_allclose([r.dur * 16000, r.rms, r.peak, *r.emb], [want[key].n, want[key].rms, want[key].peak, *want[key].emb], atol=1e-12, rtol=1e-9)
