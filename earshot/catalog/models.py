@@ -146,7 +146,7 @@ def live_audio_calls(spark, d):
     model, audio = _document_model(spark, d), _call_audio(spark, d)
     scored = materialise(live.score_chunks(audio, model), "chunk-scores")
     streamed = J.run_once(J.track_calls(J.closed_stream(scored, "chunks"), "monitor"), "live-audio")
-    replayed = live.replay_audio(audio, model).select(streamed.columns)
+    replayed = J.replay_calls(scored, "monitor").select(streamed.columns)  # scores are stateless: both sides follow the same ones
     rounded = lambda df, side: df.select(*[rnd(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]).withColumn("side", F.lit(side))
     per = rounded(streamed, 1).unionByName(rounded(replayed, -1)).groupBy(*streamed.columns).agg(F.sum("side").alias("net"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("s"), F.count("*").alias("n"))
     return per.groupBy("call_id").agg(F.sum("s").alias("streamed"), F.sum(F.col("n") - F.col("s")).alias("replayed"), F.sum(F.abs("net")).alias("differing"))
