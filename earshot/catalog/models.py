@@ -11,7 +11,7 @@ from ..plans import call_analysis, clip_analysis, experiment, live
 from ..session import balance_tasks, materialise, scratch, table
 from ..streaming import jobs as J
 from . import query, r
-from .signal import spoken, spoken_bytes
+from .signal import spoken_bytes
 
 NAMES = [f"e{i}" for i in range(64)]
 
@@ -105,11 +105,17 @@ def training_experiment(spark, d):
     return metrics
 
 
+LABELS_AT_ONCE = 1 << 21  # labels that are broadcast
+
+
 def _document_model(spark, d):
-    """Features of all documents, written once, and a model of the quality label."""
-    feats = clip_analysis.feature_table(spoken_bytes(spark, d).withColumnRenamed("doc_id", "audio_id"))
+    """A model of the quality label from the features of the labelled documents; documents without a label train nothing and
+    are not described. Labels go to the texts; with more than ``LABELS_AT_ONCE`` Spark chooses the join, which may move texts."""
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("audio_id"), F.col("quality").cast("int").alias("label"))
-    return M.SpoofModel.fit(feats.join(labels, "audio_id"), "logistic", rounds=20)
+    if labels.count() <= LABELS_AT_ONCE:
+        labels = F.broadcast(labels)
+    labelled_clips = spoken_bytes(spark, d).withColumnRenamed("doc_id", "audio_id").join(labels, "audio_id")
+    return M.SpoofModel.fit(clip_analysis.feature_table(labelled_clips), "logistic", rounds=20)
 
 
 @query("clip_analysis")
@@ -126,7 +132,7 @@ def clip_analysis_query(spark, d):
 def call_analysis_query(spark, d):
     """ML-12 over whole documents as calls; lengths are scaled down with the clips."""
     model = _document_model(spark, d)
-    calls = spoken(spark, d).select(F.col("doc_id").alias("call_id"), "pcm", F.col("lang").alias("language"), F.lit("father").alias("role"), (F.pmod("doc_id", F.lit(2)) == 0).alias("financial"))
+    calls = spoken_bytes(spark, d).select(F.col("doc_id").alias("call_id"), "pcm", F.col("lang").alias("language"), F.lit("father").alias("role"), (F.pmod("doc_id", F.lit(2)) == 0).alias("financial"))
     rules = call_analysis.SegmentRules(shortest=200, longest=400, silence=64, margin=32, frame=128, hop=32, top_db=6.0)
     verdicts, _ = call_analysis.analyse_calls(calls, model, rules, min_speech=0.02)
     return verdicts.select("call_id", "call_assessment", "overall_call_risk", "n_segments", "num_speakers", "overlap_percent", "quality_level")

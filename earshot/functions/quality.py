@@ -10,6 +10,11 @@ from .numeric import as_col
 MIN_SPEECH_SEC, MIN_SNR_DB, MAX_CLIPPING_PCT = 1.5, 4.0, 8.0
 
 
+def gate_faults(speech_sec, snr_db, clipping_pct, min_speech: float = MIN_SPEECH_SEC, min_snr: float = MIN_SNR_DB, max_clipping: float = MAX_CLIPPING_PCT):
+    """PRJ-06 tests of columns or of numbers: too short, too much clipped, too noisy."""
+    return speech_sec < min_speech, clipping_pct > max_clipping, snr_db < min_snr
+
+
 def quality_gate(
     speech_sec,
     snr_db,
@@ -23,7 +28,7 @@ def quality_gate(
     """PRJ-06: level, usability and the reason for a rejection."""
     s, n, c, t = as_col(speech_sec), as_col(snr_db), as_col(clipping_pct), as_col(telephony)
     empty = F.lit(False) if total_sec is None else as_col(total_sec) == 0
-    short, clipped, noisy = s < min_speech, c > max_clipping, n < min_snr
+    short, clipped, noisy = gate_faults(s, n, c, min_speech, min_snr, max_clipping)
     return {
         "quality_level": F.when(empty | short, "unusable")
         .when(clipped | noisy, "poor")

@@ -5,17 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import signal as S
-from ..functions.kernels import energy_share, frame_levels
+from ..functions.kernels import energy_share, frame_levels, gate_measures
 from ..functions.numeric import let, rnd
 from ..operators import calls as C
 from ..operators import clustering as L
-from ..operators.features import clip_features, cut_spans, describe_clips, timbre_segment
+from ..operators.features import feature_map, summarise_clips, timbre_segment
 from ..operators.models import SpoofModel
 from ..session import materialise
 
@@ -64,76 +63,80 @@ def speech_spans(pcm, rules: SegmentRules, levels=None) -> Column:
     return let(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(pair(F.lit(0), total))))
 
 
-def call_measures(frame: int, hop: int, rules: SegmentRules):
-    """One Arrow pass per call: SIG-06 band share, gate levels (SIG-05) and segment levels."""
+def spans_of(y: np.ndarray, rules: SegmentRules) -> list[tuple[int, int]]:
+    """``speech_spans`` of one call's samples."""
+    total = len(y)
+    power = np.maximum(1e-10, frame_levels(y, rules.frame, rules.hop) ** 2)
+    loud = np.flatnonzero(power > power.max() * 10 ** (-rules.top_db / 10.0))
+    starts, ends = np.maximum(0, loud * rules.hop - rules.margin), np.minimum(total, (loud + 1) * rules.hop + rules.margin)
+    parts = np.flatnonzero(starts[1:] > ends[:-1] + rules.silence) + 1  # ends never fall, so neighbours decide
+    merged = zip(starts[np.r_[0, parts]].tolist(), ends[np.r_[parts - 1, -1]].tolist()) if len(loud) else ()
+    cuts = [(f, min(e, f + rules.longest)) for s, e in merged for f in range(s, max(e - 1, s) + 1, rules.longest)]
+    return [(s, e) for s, e in cuts if e - s >= rules.shortest] or [(0, total)]
 
-    @F.pandas_udf("band_share double, gate_levels array<double>, levels array<double>, clipped double, n int")
-    def measure(pcm: pd.Series) -> pd.DataFrame:
-        rows = []
-        for y in pcm:
-            y = np.asarray([] if y is None else y, dtype=np.float64)
-            # samples that are not finite count as none, so such a call fails the gate (PRJ-15)
-            if len(y) and np.isfinite(y).all():
-                rows.append((energy_share(y[: 4 * RATE], 300.0, 3400.0, 1e-9), frame_levels(y, frame, hop), frame_levels(y, rules.frame, rules.hop), float((np.abs(y) >= 0.985).mean()), len(y)))
-            else:
-                rows.append((0.0, [], [], 0.0, 0))
-        return pd.DataFrame(rows, columns=["band_share", "gate_levels", "levels", "clipped", "n"])
 
-    return measure
+MEASURES = "share double, usable_sec double, speech_ratio double, snr_db double, clipped double, n int"
 
 
-def gate(calls: DataFrame, frame: int = 480, hop: int = 240, min_speech: float = Q.MIN_SPEECH_SEC, rules: SegmentRules = SegmentRules()) -> DataFrame:
-    """PRJ-06 with SIG-03, SIG-05 and SIG-06 measured on the audio; adds ``quality`` and ``levels``, no shuffle."""
-    df = calls.withColumn("__m", call_measures(frame, hop, rules)("pcm"))
-    df = df.withColumns({"clipping_percent": F.col("__m.clipped") * 100, "total_sec": F.col("__m.n") / float(RATE), "telephony": F.col("__m.band_share") > 0.88})
-    df = df.withColumns(S.gate_measures("__m.gate_levels", hop))
-    df = df.withColumns(Q.quality_gate("usable_sec", "snr_db", "clipping_percent", "telephony", min_speech=min_speech, total_sec="total_sec"))
-    return df.select(*calls.columns, F.col("__m.levels").alias("levels"), F.struct(*GATE_FIELDS).alias("quality"))
+def _turns(rules: SegmentRules, min_speech: float, frame: int, hop: int):
+    """The speech segments of a call that passes the gate (PRJ-06, SIG-03, SIG-05, SIG-06), numbered from 0, and its measures with
+    the first; of any other call the measures alone, numbered -1. Samples that are not finite count as none (PRJ-15)."""
 
+    def pieces(y: np.ndarray):
+        if not len(y) or not np.isfinite(y).all():
+            yield -1, -1, -1, 0.0, 0.0, 0.0, 0.0, 0.0, 0, None
+            return
+        speech, ratio, snr = gate_measures(frame_levels(y, frame, hop), hop)
+        clipped = float((np.abs(y) >= 0.985).mean())
+        measures = (energy_share(y[: 4 * RATE], 300.0, 3400.0, 1e-9), speech, ratio, snr, clipped, len(y))
+        if any(Q.gate_faults(speech, snr, clipped * 100, min_speech)):
+            yield -1, -1, -1, *measures, None
+            return
+        for at, (s, e) in enumerate(spans_of(y, rules)):
+            yield at, s, e, *(measures if at == 0 else [None] * len(measures)), y[s:e]
 
-GATE_FIELDS = ["usable_sec", "total_sec", "speech_ratio", "snr_db", "clipping_percent", "telephony", "quality_level", "is_usable", "rejection_reason"]
+    return pieces
 
 
-def segment_calls(gated: DataFrame, rules: SegmentRules = SegmentRules()) -> DataFrame:
-    """Calls to speech segments with their samples, no shuffle.
+QUALITY = ["usable_sec", "total_sec", "speech_ratio", "snr_db", "clipping_percent", "telephony", "quality_level", "is_usable", "rejection_reason"]
 
-    A call that failed the gate is one row without samples and with seg_idx -1.
-    """
-    pair = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"))
-    spans = F.when(F.col("quality.is_usable"), speech_spans("pcm", rules, "levels")).otherwise(F.array(pair))
-    rows = cut_spans(gated.select("call_id", F.to_json("quality").alias("quality"), "pcm", spans.alias("spans")))
-    start, end = rnd(F.col("s") / float(RATE), 2), rnd(F.col("e") / float(RATE), 2)
-    return rows.select("call_id", F.when(F.col("s") >= 0, F.col("pos")).otherwise(-1).alias("seg_idx"), F.when(F.col("pos") == 0, F.col("quality")).alias("quality"),
-                       start.alias("start_sec"), end.alias("end_sec"), rnd(end - start, 2).alias("dur"), "pcm")
 
+def describe_calls(calls: DataFrame, model: SpoofModel, rules: SegmentRules = SegmentRules(), min_speech: float = Q.MIN_SPEECH_SEC, frame: int = 480, hop: int = 240) -> DataFrame:
+    """Gate, segments, voice vector, score and risk signals in one pass over the samples (or int16 bytes), no shuffle.
 
-def describe_segments(segments: DataFrame, model: SpoofModel) -> DataFrame:
-    """Voice vector, score and risk signals of every segment; samples are dropped before anything is shuffled."""
-    keep = [c for c in segments.columns if c != "pcm"]
-    voiced = describe_clips(segments, hop=256, keep_pcm=True).select(*keep, "pcm", timbre_segment().alias("emb"))
-    scored = model.score(clip_features(voiced))
+    A row per speech segment, each described once; a call that failed the gate is one row with seg_idx -1, of which nothing is
+    described. The first row of a call has its ``quality`` and its other columns as ``facts``.
+    """
+    facts = [c for c in calls.columns if c not in ("call_id", "pcm")]
+    df = summarise_clips(calls, pieces=_turns(rules, min_speech, frame, hop), more=f"seg_idx int, s int, e int, {MEASURES}", finer=2)
+    df = df.withColumns({"clipping_percent": F.col("clipped") * 100, "total_sec": F.col("n") / float(RATE), "telephony": F.col("share") > 0.88})
+    df = df.withColumns(Q.quality_gate("usable_sec", "snr_db", "clipping_percent", "telephony", min_speech=min_speech, total_sec="total_sec"))
+    first, spoken = F.col("seg_idx") <= 0, F.col("seg_idx") >= 0
+    start, end = rnd(F.col("s") / float(RATE), 2), rnd(F.col("e") / float(RATE), 2)
+    scored = model.score(df.select(
+        "call_id", "seg_idx", F.when(first, F.struct(*facts)).alias("facts"), F.when(first, F.struct(*QUALITY)).alias("quality"), start.alias("start_sec"), end.alias("end_sec"),
+        F.when(spoken, timbre_segment(True)).alias("emb"), F.when(spoken, feature_map()).alias("f")))
     f = lambda name: F.col("f")[name]
-    return scored.select(*keep, "emb", F.col("model_prob").alias("prob"), f("acoustic_phase_derivative_var").alias("phase_var"), f("spectral_hf_energy_ratio").alias("hf_ratio"),
-                         f("prosody_jitter").alias("jitter"), f("spectral_contrast_std").alias("contrast_std"))
+    return scored.select(
+        "call_id", "seg_idx", "facts", "quality", "start_sec", "end_sec", rnd(F.col("end_sec") - F.col("start_sec"), 2).alias("dur"), "emb", F.col("model_prob").alias("prob"),
+        f("acoustic_phase_derivative_var").alias("phase_var"), f("spectral_hf_energy_ratio").alias("hf_ratio"), f("prosody_jitter").alias("jitter"), f("spectral_contrast_std").alias("contrast_std"))
 
 
 def analyse_calls(calls: DataFrame, model: SpoofModel, rules: SegmentRules = SegmentRules(), min_speech: float = Q.MIN_SPEECH_SEC) -> tuple[DataFrame, DataFrame]:
-    """``calls``: call_id, pcm, language, role, financial. Returns (verdict per call, report pages).
+    """``calls``: call_id, pcm (samples, or int16 bytes), language, role, financial. Returns (verdict per call, report pages).
 
-    Audio is read once: gate, segmentation, voices and scores are one pass whose small result is
-    written, because diarisation and the report read it several times.
+    Audio is read once: gate, segmentation, voices and scores are one pass whose small result is written with the facts of
+    the calls, because diarisation and the report read it several times.
     """
-    described = materialise(describe_segments(segment_calls(gate(calls, min_speech=min_speech, rules=rules), rules), model), "segments")
-    quality_type = "usable_sec double, total_sec double, speech_ratio double, snr_db double, clipping_percent double, telephony boolean, quality_level string, is_usable boolean, rejection_reason string"
-    quality = described.filter("quality IS NOT NULL").select("call_id", F.from_json("quality", quality_type).alias("q")).select("call_id", "q.*")
-    voices = described.filter("seg_idx >= 0").drop("quality")
+    described = materialise(describe_calls(calls, model, rules, min_speech), "segments")
+    facts = described.filter("seg_idx <= 0").select("call_id", "facts.*", "quality.*")
+    voices = described.filter("seg_idx >= 0").drop("facts", "quality")
     segments = materialise(L.assign_by_margin(L.cluster_segments(voices), 28).drop("emb"), "diarised")
     durations = C.call_durations(segments)
     conf = segments.groupBy("call_id").agg(rnd(F.max("cluster_conf"), 3).alias("diarization_confidence"))
-    facts = calls.drop("pcm").join(quality, "call_id")
     people = C.speaker_assessments(C.speaker_scores(segments, durations), facts.join(conf, "call_id"), model.threshold)
     empty = {"n_segments": 0, "total_speech_seconds": 0.0, "overlap_seconds": 0.0, "overlap_percent": 0.0, "seconds_a": 0.0, "seconds_b": 0.0, "num_speakers": 0}
-    all_durations = quality.select("call_id").join(durations, "call_id", "left").fillna(empty)
-    remote = quality.select("call_id").join(C.remote_risk(people), "call_id", "left").fillna({"overall_call_risk": 0.0, "remote_level": "low"})
+    all_durations = facts.select("call_id").join(durations, "call_id", "left").fillna(empty)
+    remote = facts.select("call_id").join(C.remote_risk(people), "call_id", "left").fillna({"overall_call_risk": 0.0, "remote_level": "low"})
     verdicts = C.call_verdicts(all_durations, remote, facts)
     return verdicts, C.call_report(segments, verdicts, people)
