@@ -7,6 +7,8 @@ very long call combines before the shuffle; lists in reports come in pages of bo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ SIGNALS = ["phase_var", "hf_ratio", "jitter", "contrast_std"]
 PAGE = 512
 
 
+@dataclass(frozen=True)
+class TurnRules:
+    """Seconds: ``shortest`` turn that is scored, ``least`` clean speech of a scored speaker (PRJ-11); speech over ``second`` makes a
+    second speaker (AGG-19); with less than ``doubtful`` in all, much overlap rejects a call (PRJ-12)."""
+
+    shortest: float = 0.7
+    least: float = 1.0
+    second: float = 0.5
+    doubtful: float = 4.0
+
+
 def weighted_mean(value, weight) -> Column:
     """AGG-17: sum(x * d) / max(sum(d), 1e-4)."""
     v, w = as_col(value), as_col(weight)
@@ -37,7 +50,7 @@ def blend_windows(clips: DataFrame, windows: DataFrame, clip="audio_id", prob="p
     return clips.join(stats, clip, "left").withColumn("blended", window_blend("global_prob", "p75", "med")).drop("p75", "med")
 
 
-def call_durations(segments: DataFrame) -> DataFrame:
+def call_durations(segments: DataFrame, rules: TurnRules = TurnRules()) -> DataFrame:
     """AGG-19: seconds of A, B, overlap and in total, overlap share and number of speakers."""
     sec = lambda cond: F.sum(F.when(cond, F.col("dur")).otherwise(0.0))
     clean = ~F.col("is_overlap")
@@ -51,28 +64,28 @@ def call_durations(segments: DataFrame) -> DataFrame:
     return out.select(
         "call_id", "n_segments", rnd("t", 2).alias("total_speech_seconds"), rnd("o", 2).alias("overlap_seconds"),
         rnd(F.col("o") / F.greatest(F.col("t"), F.lit(1e-4)) * 100, 1).alias("overlap_percent"),
-        rnd("a", 2).alias("seconds_a"), rnd("b", 2).alias("seconds_b"), F.when(rnd("b", 2) > 0.5, 2).otherwise(1).alias("num_speakers"))
+        rnd("a", 2).alias("seconds_a"), rnd("b", 2).alias("seconds_b"), F.when(rnd("b", 2) > rules.second, 2).otherwise(1).alias("num_speakers"))
 
 
-def excess_overlap(overlap_percent, total_speech) -> Column:
+def excess_overlap(overlap_percent, total_speech, rules: TurnRules = TurnRules()) -> Column:
     """PRJ-12."""
-    return (as_col(overlap_percent) >= 60.0) & (as_col(total_speech) < 4.0)
+    return (as_col(overlap_percent) >= 60.0) & (as_col(total_speech) < rules.doubtful)
 
 
-def speaker_scores(segments: DataFrame, durations: DataFrame) -> DataFrame:
+def speaker_scores(segments: DataFrame, durations: DataFrame, rules: TurnRules = TurnRules()) -> DataFrame:
     """PRJ-11 + AGG-17: one row per (call, speaker) present, with weighted scores of eligible turns.
 
     A turn counts when it is the speaker's own, not overlapped and at least 0.7 s long; a speaker needs
-    a turn like that and 1.0 s of clean speech, otherwise ``eligible`` is false.
+    a turn like that and 1.0 s of clean speech (``rules``), otherwise ``eligible`` is false.
     """
     wanted = F.when(F.col("num_speakers") > 1, F.array(F.lit("Speaker A"), F.lit("Speaker B"))).otherwise(F.array(F.lit("Speaker A")))
     people = durations.select("call_id", "seconds_a", "seconds_b", "num_speakers", F.explode(wanted).alias("speaker"))
     people = people.withColumn("clean_seconds", F.when(F.col("speaker") == "Speaker A", F.col("seconds_a")).otherwise(F.col("seconds_b")))
-    clean = segments.filter(~F.col("is_overlap") & (F.col("dur") >= 0.7) & F.col("speaker").isin("Speaker A", "Speaker B"))
+    clean = segments.filter(~F.col("is_overlap") & (F.col("dur") >= rules.shortest) & F.col("speaker").isin("Speaker A", "Speaker B"))
     means = clean.groupBy("call_id", "speaker").agg(
         weighted_mean("prob", "dur").alias("spoof_prob"), *[weighted_mean(c, "dur").alias(c) for c in SIGNALS], F.count("*").alias("clean_turns"))
     out = people.join(means, ["call_id", "speaker"], "left")
-    return out.withColumn("eligible", (F.coalesce(F.col("clean_turns"), F.lit(0)) > 0) & (F.col("clean_seconds") >= 1.0)).drop("seconds_a", "seconds_b")
+    return out.withColumn("eligible", (F.coalesce(F.col("clean_turns"), F.lit(0)) > 0) & (F.col("clean_seconds") >= rules.least)).drop("seconds_a", "seconds_b")
 
 
 def speaker_assessments(scores: DataFrame, calls: DataFrame, tau=0.51) -> DataFrame:
@@ -100,11 +113,11 @@ def remote_risk(assessments: DataFrame) -> DataFrame:
     return calls.select("call_id", F.when(hit, F.col("s")).otherwise(0.0).alias("overall_call_risk"), F.when(hit, F.col("n")).otherwise("low").alias("remote_level"))
 
 
-def call_verdicts(durations: DataFrame, remote: DataFrame, calls: DataFrame) -> DataFrame:
+def call_verdicts(durations: DataFrame, remote: DataFrame, calls: DataFrame, rules: TurnRules = TurnRules()) -> DataFrame:
     """RSK-10 with both rejections (PRJ-06 unusable audio, PRJ-12 overlap). ``calls`` adds is_usable, role, financial."""
     df = durations.join(remote, "call_id").join(calls, "call_id")
     decision = R.call_decision("remote_level", "overall_call_risk")
-    reject = ~F.col("is_usable") | excess_overlap("overlap_percent", "total_speech_seconds")
+    reject = ~F.col("is_usable") | excess_overlap("overlap_percent", "total_speech_seconds", rules)
     df = df.withColumn("call_assessment", F.when(reject, "insufficient_evidence").otherwise(decision))
     guidance = F.when(~F.col("is_usable"), F.format_string(R.GUIDANCE["unusable"], F.col("rejection_reason"))).when(
         reject, R.GUIDANCE["overlap"]

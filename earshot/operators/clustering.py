@@ -89,7 +89,10 @@ def cluster_segments(segments: DataFrame, call="call_id", index="seg_idx", vecto
         pdf = pdf.sort_values(index, kind="stable")
         return pd.DataFrame({call: pdf[call], index: pdf[index], "cluster": two_clusters(np.stack(pdf[vector].to_numpy()).astype("float64"))})
 
-    labels = slim.filter(F.col("__n") <= most).drop("__n").groupBy(call).applyInPandas(label, schema)
+    # dealt by number, as the rows of many calls are few bytes and would be one task
+    dealt = slim.filter(F.col("__n").between(2, most)).drop("__n").repartition(2 * segments.sparkSession.sparkContext.defaultParallelism, call)
+    single = slim.filter("__n = 1").select(call, index, F.lit(0).cast("bigint").alias("cluster"))
+    labels = dealt.groupBy(call).applyInPandas(label, schema).unionByName(single)
     longest = counts.agg(F.max("__n")).first()[0] or 0
     if longest > most:
         labels = labels.unionByName(_cluster_long(slim.filter(F.col("__n") > most), call, index, vector, most, longest, kind))

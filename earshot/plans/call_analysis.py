@@ -78,7 +78,7 @@ def spans_of(y: np.ndarray, rules: SegmentRules) -> list[tuple[int, int]]:
 MEASURES = "share double, usable_sec double, speech_ratio double, snr_db double, clipped double, n int"
 
 
-def _turns(rules: SegmentRules, min_speech: float, frame: int, hop: int):
+def _turns(rules: SegmentRules, min_speech: float, frame: int, hop: int, min_snr: float):
     """The speech segments of a call that passes the gate (PRJ-06, SIG-03, SIG-05, SIG-06), numbered from 0, and its measures with
     the first; of any other call the measures alone, numbered -1. Samples that are not finite count as none (PRJ-15)."""
 
@@ -89,7 +89,7 @@ def _turns(rules: SegmentRules, min_speech: float, frame: int, hop: int):
         speech, ratio, snr = gate_measures(frame_levels(y, frame, hop), hop)
         clipped = float((np.abs(y) >= 0.985).mean())
         measures = (energy_share(y[: 4 * RATE], 300.0, 3400.0, 1e-9), speech, ratio, snr, clipped, len(y))
-        if any(Q.gate_faults(speech, snr, clipped * 100, min_speech)):
+        if any(Q.gate_faults(speech, snr, clipped * 100, min_speech, min_snr)):
             yield -1, -1, -1, *measures, None
             return
         for at, (s, e) in enumerate(spans_of(y, rules)):
@@ -101,16 +101,16 @@ def _turns(rules: SegmentRules, min_speech: float, frame: int, hop: int):
 QUALITY = ["usable_sec", "total_sec", "speech_ratio", "snr_db", "clipping_percent", "telephony", "quality_level", "is_usable", "rejection_reason"]
 
 
-def describe_calls(calls: DataFrame, model: SpoofModel, rules: SegmentRules = SegmentRules(), min_speech: float = Q.MIN_SPEECH_SEC, frame: int = 480, hop: int = 240) -> DataFrame:
+def describe_calls(calls: DataFrame, model: SpoofModel, rules: SegmentRules = SegmentRules(), min_speech: float = Q.MIN_SPEECH_SEC, frame: int = 480, hop: int = 240, min_snr: float = Q.MIN_SNR_DB) -> DataFrame:
     """Gate, segments, voice vector, score and risk signals in one pass over the samples (or int16 bytes), no shuffle.
 
     A row per speech segment, each described once; a call that failed the gate is one row with seg_idx -1, of which nothing is
     described. The first row of a call has its ``quality`` and its other columns as ``facts``.
     """
     facts = [c for c in calls.columns if c not in ("call_id", "pcm")]
-    df = summarise_clips(calls, pieces=_turns(rules, min_speech, frame, hop), more=f"seg_idx int, s int, e int, {MEASURES}", finer=2)
+    df = summarise_clips(calls, pieces=_turns(rules, min_speech, frame, hop, min_snr), more=f"seg_idx int, s int, e int, {MEASURES}", finer=2)
     df = df.withColumns({"clipping_percent": F.col("clipped") * 100, "total_sec": F.col("n") / float(RATE), "telephony": F.col("share") > 0.88})
-    df = df.withColumns(Q.quality_gate("usable_sec", "snr_db", "clipping_percent", "telephony", min_speech=min_speech, total_sec="total_sec"))
+    df = df.withColumns(Q.quality_gate("usable_sec", "snr_db", "clipping_percent", "telephony", min_speech=min_speech, min_snr=min_snr, total_sec="total_sec"))
     first, spoken = F.col("seg_idx") <= 0, F.col("seg_idx") >= 0
     start, end = rnd(F.col("s") / float(RATE), 2), rnd(F.col("e") / float(RATE), 2)
     scored = model.score(df.select(
@@ -122,21 +122,22 @@ def describe_calls(calls: DataFrame, model: SpoofModel, rules: SegmentRules = Se
         f("acoustic_phase_derivative_var").alias("phase_var"), f("spectral_hf_energy_ratio").alias("hf_ratio"), f("prosody_jitter").alias("jitter"), f("spectral_contrast_std").alias("contrast_std"))
 
 
-def analyse_calls(calls: DataFrame, model: SpoofModel, rules: SegmentRules = SegmentRules(), min_speech: float = Q.MIN_SPEECH_SEC) -> tuple[DataFrame, DataFrame]:
+def analyse_calls(calls: DataFrame, model: SpoofModel, rules: SegmentRules = SegmentRules(), min_speech: float = Q.MIN_SPEECH_SEC, min_snr: float = Q.MIN_SNR_DB, turns: C.TurnRules = C.TurnRules()) -> tuple[DataFrame, DataFrame]:
     """``calls``: call_id, pcm (samples, or int16 bytes), language, role, financial. Returns (verdict per call, report pages).
 
     Audio is read once: gate, segmentation, voices and scores are one pass whose small result is written with the facts of
     the calls, because diarisation and the report read it several times.
     """
-    described = materialise(describe_calls(calls, model, rules, min_speech), "segments")
+    described = materialise(describe_calls(calls, model, rules, min_speech, min_snr=min_snr), "segments")
     facts = described.filter("seg_idx <= 0").select("call_id", "facts.*", "quality.*")
     voices = described.filter("seg_idx >= 0").drop("facts", "quality")
-    segments = materialise(L.assign_by_margin(L.cluster_segments(voices), 28).drop("emb"), "diarised")
-    durations = C.call_durations(segments)
+    clustered = materialise(L.cluster_segments(voices), "clustered")
+    segments = materialise(L.assign_by_margin(clustered, 28).drop("emb"), "diarised")
+    durations = C.call_durations(segments, turns)
     conf = segments.groupBy("call_id").agg(rnd(F.max("cluster_conf"), 3).alias("diarization_confidence"))
-    people = C.speaker_assessments(C.speaker_scores(segments, durations), facts.join(conf, "call_id"), model.threshold)
+    people = C.speaker_assessments(C.speaker_scores(segments, durations, turns), facts.join(conf, "call_id"), model.threshold)
     empty = {"n_segments": 0, "total_speech_seconds": 0.0, "overlap_seconds": 0.0, "overlap_percent": 0.0, "seconds_a": 0.0, "seconds_b": 0.0, "num_speakers": 0}
     all_durations = facts.select("call_id").join(durations, "call_id", "left").fillna(empty)
     remote = facts.select("call_id").join(C.remote_risk(people), "call_id", "left").fillna({"overall_call_risk": 0.0, "remote_level": "low"})
-    verdicts = C.call_verdicts(all_durations, remote, facts)
+    verdicts = C.call_verdicts(all_durations, remote, facts, turns)
     return verdicts, C.call_report(segments, verdicts, people)
